@@ -6,9 +6,8 @@ and the same projection runs on a stream.  Everything after it - selectors,
 fields, links, checks - is built-in expressions over those arrays.
 
 The same tree was first built with ``aggregate``/``transform`` over a native
-token array.  It gave equal results but folding a stack with interpreted
-lambdas took about five milliseconds for a 7 KB page, roughly eight times the
-cost of this helper.
+token array.  It gave equal results, but folding a stack with interpreted
+lambdas took several times as long per page as this helper.
 
 ``els`` is indexed by ``eid`` (entry 0 is the document) and numbered in document
 order, so the descendants of an element are the slice ``eid+1 .. last`` and its
@@ -27,18 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# One alternative per token class: comments, raw-text elements, declarations,
-# tags (quoted attribute values may hold '>'), text, and a stray '<'.
+# Groups: slash, tag name and attribute text of a tag (quoted values may hold
+# '>'); text or a stray '<'; script or style with its body.  Comments and
+# declarations fill no group.
 TOKEN_PATTERN = (
     r"<!--.*?(?:-->|\Z)"
-    r"|<script\b.*?(?:</script\s*>|\Z)"
-    r"|<style\b.*?(?:</style\s*>|\Z)"
+    r"|(<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z))"
+    r"""|<(/?)([a-z][^\s/<>"']*)([^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*)>"""
+    r"|<(/?)([a-z][^\s/<>]*)([^<>]*)>"
     r"|<[!?][^>]*>"
-    r"""|</?[a-z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>"""
-    r"|</?[a-z][^<>]*>"
-    r"|[^<]+|<"
+    r"|([^<]+|<)"
 )
-CLASS_PATTERN = r"""[\s"'/]class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+ATTRIBUTE_PATTERN = r"""[\s/]([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?"""
 
 # Elements that never have content.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
@@ -56,7 +55,7 @@ ELEMENT = T.StructType(
     [T.StructField(n, _INT) for n in ("eid", "parent", "child_no", "last", "t_start", "t_end",
                                       "pos", "end_pos")]
     + [T.StructField("last_child", T.BooleanType()), T.StructField("tag", _STR),
-       T.StructField("classes", T.ArrayType(_STR)), T.StructField("raw", _STR)])
+       T.StructField("classes", T.ArrayType(_STR)), T.StructField("attrs", _STR)])
 PAGE = T.StructType([T.StructField("els", T.ArrayType(ELEMENT)),
                      T.StructField("texts", T.ArrayType(_STR))])
 
@@ -64,64 +63,109 @@ _ELEMENT_ARROW = [
     ("eid", pa.int32()), ("parent", pa.int32()), ("child_no", pa.int32()), ("last", pa.int32()),
     ("t_start", pa.int32()), ("t_end", pa.int32()), ("pos", pa.int32()), ("end_pos", pa.int32()),
     ("last_child", pa.bool_()), ("tag", pa.string()), ("classes", pa.list_(pa.string())),
-    ("raw", pa.string())]
+    ("attrs", pa.string())]
 
 
-def page_rows(page: str, token_re, class_re) -> tuple[list[list], list[str]]:
-    """Elements of one page (as lists in ELEMENT order) and its texts.
+class Columns:
+    """Element columns of one Arrow batch, filled page after page."""
+
+    def __init__(self) -> None:
+        for name, _ in _ELEMENT_ARROW:
+            setattr(self, name, [])
+        self.texts: list[str] = []
+
+
+def class_names(attrs: str, attribute_re) -> list[str]:
+    """Class list from the attribute text of a tag."""
+    start = attrs.find(' class="')
+    if start >= 0 and "'" not in attrs[:start] and attrs.count('"', 0, start) % 2 == 0:
+        return attrs[start + 8:attrs.find('"', start + 8)].split()
+    if "class" in attrs.lower():
+        for name, value in attribute_re.findall(attrs):
+            if name.lower() == "class":
+                return value.strip("\"'").split()
+    return []
+
+
+def read_page(page: str, token_re, attribute_re, out: Columns) -> None:
+    """Append the elements and texts of one page.
 
     An end tag closes the innermost open element of its name and all inside it;
     it is ignored when there is none, or when an inline end tag would have to
     close a block.  Elements left open end with their container.
     """
-    #        eid parent child_no last t_start t_end pos end_pos last_child tag classes raw
-    root = [0, -1, 1, 0, 0, 0, 0, 0, True, "", [], ""]
-    els, texts, stack, kids = [root], [], [root], [0]
+    base, t_base = len(out.eid), len(out.texts)
+    texts, last, t_end, end_pos, last_child = (
+        out.texts, out.last, out.t_end, out.end_pos, out.last_child)
+    # open elements: number, name, children so far, latest child
+    ids, names, kids, kid = [], [], [], []
     pos = 0
 
+    def add(parent: int, child_no: int, tag: str, classes: list[str], attrs: str) -> int:
+        eid = len(last) - base
+        here = len(texts) - t_base
+        out.eid.append(eid)
+        out.parent.append(parent)
+        out.child_no.append(child_no)
+        last.append(eid)
+        out.t_start.append(here)
+        t_end.append(here)
+        out.pos.append(pos)
+        end_pos.append(pos)
+        last_child.append(False)
+        out.tag.append(tag)
+        out.classes.append(classes)
+        out.attrs.append(attrs)
+        return eid
+
     def close(depth: int) -> None:
-        while len(stack) > depth:
-            el = stack.pop()
+        final, t_final = len(last) - base - 1, len(texts) - t_base
+        while len(ids) > depth:
+            at = base + ids.pop()
+            names.pop()
             if kids.pop():
-                last_kid[el[0]][8] = True
-            el[3], el[5], el[7] = len(els) - 1, len(texts), pos
-
-    last_kid: dict[int, list] = {}
-    for match in token_re.finditer(page):
-        token = match.group()
-        lead = token[:2]
-        if lead[0] != "<" or len(token) == 1:
+                last_child[base + kid[-1]] = True
+            kid.pop()
+            last[at], t_end[at], end_pos[at] = final, t_final, pos
+
+    def push(eid: int, tag: str) -> None:
+        ids.append(eid)
+        names.append(tag)
+        kids.append(0)
+        kid.append(0)
+
+    push(add(-1, 1, "", [], ""), "")
+    for blob, slash, tag, attrs, slash2, tag2, attrs2, text in token_re.findall(page):
+        if text:
             pos += 1
-            texts.append(html_std.unescape(token) if "&" in token else token)
+            texts.append(html_std.unescape(text) if "&" in text else text)
             continue
-        if lead in ("<!", "<?"):
+        if tag2:
+            slash, tag, attrs = slash2, tag2, attrs2
+        elif blob:
+            tag, attrs = blob[1:7].rstrip(" >"), ""
+            tag = "script" if tag.lower() == "script" else "style"
+        elif not tag:
             continue
         pos += 1
-        name = token[2 if lead == "</" else 1:-1].split(None, 1)
-        tag = name[0].partition("/")[0].partition(">")[0].lower() if name else ""
-        if lead == "</":
-            at = len(stack) - 1
-            while at > 0 and stack[at][9] != tag:
-                if stack[at][9] in BLOCK_TAGS and tag not in BLOCK_TAGS:
-                    at = 0
-                at -= 1
+        tag = tag.lower()
+        if slash:
+            if names[-1] == tag:
+                close(len(ids) - 1)
+                continue
+            at = len(names) - 1
+            while at > 0 and names[at] != tag:
+                at = at - 1 if tag in BLOCK_TAGS or names[at] not in BLOCK_TAGS else 0
             if at > 0:
                 close(at)
             continue
-        found = class_re.search(token) if "class" in token or "CLASS" in token else None
-        value = (found.group(1) or found.group(2) or found.group(3) or "") if found else ""
         kids[-1] += 1
-        parent = stack[-1][0]
-        el = [len(els), parent, kids[-1], len(els), len(texts), len(texts), pos, pos, False,
-              tag, value.split(), token]
-        last_kid[parent] = el
-        els.append(el)
-        if tag not in EMPTY_TAGS and not token.endswith("/>"):
-            stack.append(el)
-            kids.append(0)
+        eid = add(ids[-1], kids[-1], tag, class_names(attrs, attribute_re) if attrs else [], attrs)
+        kid[-1] = eid
+        if tag not in EMPTY_TAGS and attrs[-1:] != "/":
+            push(eid, tag)
     pos += 1
     close(0)
-    return els, texts
 
 
 # The helper travels with the plan, so workers need no copy of this package.
@@ -140,25 +184,23 @@ def _offsets(sizes: list[int | None]) -> pa.Array:
 def parse_page(pages: pa.Array) -> pa.Array:
     """Markup -> struct(els, texts); null for null. One Arrow batch at a time."""
     token_re = re.compile(TOKEN_PATTERN, re.I | re.S)
-    class_re = re.compile(CLASS_PATTERN, re.I)
-    rows, texts, n_els, n_texts = [], [], [], []
+    attribute_re = re.compile(ATTRIBUTE_PATTERN)
+    out, n_els, n_texts = Columns(), [], []
     for page in pages:
         text = page.as_py()
         if text is None:
             n_els.append(None)
             n_texts.append(None)
             continue
-        e, t = page_rows(text, token_re, class_re)
-        rows += e
-        texts += t
-        n_els.append(len(e))
-        n_texts.append(len(t))
-    columns = list(zip(*rows)) if rows else [[] for _ in _ELEMENT_ARROW]
+        before, t_before = len(out.eid), len(out.texts)
+        read_page(text, token_re, attribute_re, out)
+        n_els.append(len(out.eid) - before)
+        n_texts.append(len(out.texts) - t_before)
     element = pa.StructArray.from_arrays(
-        [pa.array(c, t) for c, (_, t) in zip(columns, _ELEMENT_ARROW)],
+        [pa.array(getattr(out, n), t) for n, t in _ELEMENT_ARROW],
         fields=[pa.field(n, t) for n, t in _ELEMENT_ARROW])
     els = pa.ListArray.from_arrays(_offsets(n_els), element)
-    words = pa.ListArray.from_arrays(_offsets(n_texts), pa.array(texts, pa.string()))
+    words = pa.ListArray.from_arrays(_offsets(n_texts), pa.array(out.texts, pa.string()))
     return pa.StructArray.from_arrays([els, words], names=["els", "texts"])
 
 
@@ -174,17 +216,14 @@ def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
             .drop("_page"))
 
 
-_ATTRIBUTE = r"""[\s/]([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?"""
-
-
-def attribute(raw: Column, name: str) -> Column:
-    """Attribute of an open tag; null when absent, '' when it has no value."""
-    names = F.transform(F.regexp_extract_all(raw, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
-    values = F.regexp_extract_all(raw, F.lit(_ATTRIBUTE), F.lit(2))
+def attribute(attrs: Column, name: str) -> Column:
+    """One attribute from an element's attribute text; null when absent, '' when it has no value."""
+    names = F.transform(F.regexp_extract_all(attrs, F.lit(ATTRIBUTE_PATTERN), F.lit(1)), F.lower)
+    values = F.regexp_extract_all(attrs, F.lit(ATTRIBUTE_PATTERN), F.lit(2))
     value = F.get(values, F.array_position(names, F.lit(name)).cast("int") - 1)
     bare = F.regexp_replace(value, r"""^["']|["']$""", "")
     # References in attribute values: only the ampersand occurs in addresses.
-    return F.when(F.contains(F.lower(raw), F.lit(name)),
+    return F.when(F.contains(F.lower(attrs), F.lit(name)),
                   F.replace(bare, F.lit("&amp;"), F.lit("&")))
 
 

@@ -51,7 +51,7 @@ def class_has_substrings(parts: list[str], tag: str, need_all: bool) -> Predicat
 def has_attribute(name: str, value: str, tag: str) -> Predicate:
     """E8"""
     return lambda e: (e["tag"] == tag) & (
-        F.coalesce(attribute(e["raw"], name), F.lit("")) == value)
+        F.coalesce(attribute(e["attrs"], name), F.lit("")) == value)
 
 
 def both(*preds: Predicate) -> Predicate:

@@ -20,21 +20,21 @@ def _tags(tag: str) -> Column:
 def listing_hrefs() -> Column:
     """Addresses of the listing links of a parsed page, in document order."""
     links = F.filter(F.col("els"), has_class("s-item__link", "a"))
-    return F.filter(F.transform(links, lambda t: attribute(t["raw"], "href")), U.is_listing_link)
+    return F.filter(F.transform(links, lambda t: attribute(t["attrs"], "href")), U.is_listing_link)
 
 
 def next_page_flags() -> Column:
     """struct(link, href, button, disabled) from the first next-link and next-button."""
     def nexts(tag: str) -> Column:
         return F.get(F.filter(_tags(tag), lambda t: F.coalesce(
-            attribute(t["raw"], "type"), F.lit("")) == "next"), F.lit(0))
+            attribute(t["attrs"], "type"), F.lit("")) == "next"), F.lit(0))
 
     link, button = nexts("a"), nexts("button")
     return F.struct(
         link.isNotNull().alias("link"),
-        (F.coalesce(attribute(link["raw"], "href"), F.lit("")) != "").alias("href"),
+        (F.coalesce(attribute(link["attrs"], "href"), F.lit("")) != "").alias("href"),
         button.isNotNull().alias("button"),
-        (F.coalesce(attribute(button["raw"], "aria-disabled"), F.lit("")) == "true").alias("disabled"))
+        (F.coalesce(attribute(button["attrs"], "aria-disabled"), F.lit("")) == "true").alias("disabled"))
 
 
 def has_next(flags: Column, rule: Column) -> Column:

@@ -362,7 +362,7 @@ def q_sel_all(spark, sf):
     found = S.all_where(F.col("els"), S.is_tag("a"))
     return (pages.select("page_id", F.posexplode(found).alias("n", "el"))
             .select("page_id", F.col("n").cast("bigint").alias("n"),
-                    attribute(F.col("el.raw"), "href").alias("href")))
+                    attribute(F.col("el.attrs"), "href").alias("href")))
 
 
 @query
@@ -378,8 +378,8 @@ def q_attr_read(spark, sf):
     button = S.first_where(F.col("els"), S.is_tag("button"))
     link = S.first_where(F.col("els"), S.has_attribute("type", "next", "a"))
     return pages.withColumns({"_b": button, "_l": link}).select(
-        "o_orderkey", attribute(F.col("_b.raw"), "aria-disabled").alias("disabled"),
-        F.coalesce(attribute(F.col("_l.raw"), "href"), F.lit("")).alias("href"))
+        "o_orderkey", attribute(F.col("_b.attrs"), "aria-disabled").alias("disabled"),
+        F.coalesce(attribute(F.col("_l.attrs"), "href"), F.lit("")).alias("href"))
 
 
 @query
@@ -587,7 +587,7 @@ def q_links_per_page(spark, sf):
     hrefs = pages.select("page_id", F.explode(S.all_where(F.col("els"), S.is_tag("a"))).alias("el"))
     return hrefs.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("links"),
-        F.count(F.when(F.contains(attribute(F.col("el.raw"), "href"), F.lit("?")), 1)).alias("with_query"))
+        F.count(F.when(F.contains(attribute(F.col("el.attrs"), "href"), F.lit("?")), 1)).alias("with_query"))
 
 
 @query
