@@ -20,6 +20,7 @@ import html as html_std
 import re
 import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -52,8 +53,7 @@ BLOCK_TAGS = frozenset(["html", "body", "head", "div", "section", "article", "ma
 
 _INT, _STR = T.IntegerType(), T.StringType()
 ELEMENT = T.StructType(
-    [T.StructField(n, _INT) for n in ("eid", "parent", "child_no", "last", "t_start", "t_end",
-                                      "pos", "end_pos")]
+    [T.StructField(n, _INT) for n in ("eid", "parent", "child_no", "last", "t_start", "t_end")]
     + [T.StructField("last_child", T.BooleanType()), T.StructField("tag", _STR),
        T.StructField("classes", T.ArrayType(_STR)), T.StructField("attrs", _STR)])
 PAGE = T.StructType([T.StructField("els", T.ArrayType(ELEMENT)),
@@ -61,8 +61,7 @@ PAGE = T.StructType([T.StructField("els", T.ArrayType(ELEMENT)),
 
 _ELEMENT_ARROW = [
     ("eid", pa.int32()), ("parent", pa.int32()), ("child_no", pa.int32()), ("last", pa.int32()),
-    ("t_start", pa.int32()), ("t_end", pa.int32()), ("pos", pa.int32()), ("end_pos", pa.int32()),
-    ("last_child", pa.bool_()), ("tag", pa.string()), ("classes", pa.list_(pa.string())),
+    ("t_start", pa.int32()), ("t_end", pa.int32()), ("last_child", pa.bool_()), ("tag", pa.string()), ("classes", pa.list_(pa.string())),
     ("attrs", pa.string())]
 
 
@@ -70,7 +69,7 @@ class Columns:
     """Element columns of one Arrow batch, filled page after page."""
 
     def __init__(self) -> None:
-        for name, _ in _ELEMENT_ARROW:
+        for name, _ in _ELEMENT_ARROW[1:]:
             setattr(self, name, [])
         self.texts: list[str] = []
 
@@ -94,50 +93,40 @@ def read_page(page: str, token_re, attribute_re, out: Columns) -> None:
     it is ignored when there is none, or when an inline end tag would have to
     close a block.  Elements left open end with their container.
     """
-    base, t_base = len(out.eid), len(out.texts)
-    texts, last, t_end, end_pos, last_child = (
-        out.texts, out.last, out.t_end, out.end_pos, out.last_child)
+    base, t_base = len(out.tag), len(out.texts)
+    texts, last, t_end, last_child = out.texts, out.last, out.t_end, out.last_child
+    add_parent, add_no, add_last, add_start, add_end, add_flag, add_tag, add_classes, add_attrs = (
+        out.parent.append, out.child_no.append, last.append, out.t_start.append, t_end.append,
+        last_child.append, out.tag.append, out.classes.append, out.attrs.append)
     # open elements: number, name, children so far, latest child
-    ids, names, kids, kid = [], [], [], []
-    pos = 0
-
-    def add(parent: int, child_no: int, tag: str, classes: list[str], attrs: str) -> int:
-        eid = len(last) - base
-        here = len(texts) - t_base
-        out.eid.append(eid)
-        out.parent.append(parent)
-        out.child_no.append(child_no)
-        last.append(eid)
-        out.t_start.append(here)
-        t_end.append(here)
-        out.pos.append(pos)
-        end_pos.append(pos)
-        last_child.append(False)
-        out.tag.append(tag)
-        out.classes.append(classes)
-        out.attrs.append(attrs)
-        return eid
+    ids, names, kids, kid = [0], [""], [0], [0]
+    eid = 0
 
     def close(depth: int) -> None:
-        final, t_final = len(last) - base - 1, len(texts) - t_base
+        t_final = len(texts) - t_base
         while len(ids) > depth:
             at = base + ids.pop()
             names.pop()
             if kids.pop():
                 last_child[base + kid[-1]] = True
             kid.pop()
-            last[at], t_end[at], end_pos[at] = final, t_final, pos
+            last[at], t_end[at] = eid, t_final
 
-    def push(eid: int, tag: str) -> None:
-        ids.append(eid)
-        names.append(tag)
-        kids.append(0)
-        kid.append(0)
-
-    push(add(-1, 1, "", [], ""), "")
+    def add(parent: int, child_no: int, tag: str, classes: list[str], attrs: str) -> None:
+        here = len(texts) - t_base
+        add_parent(parent)
+        add_no(child_no)
+        add_last(eid)
+        add_start(here)
+        add_end(here)
+        add_flag(False)
+        add_tag(tag)
+        add_classes(classes)
+        add_attrs(attrs)
+
+    add(-1, 1, "", [], "")
     for blob, slash, tag, attrs, slash2, tag2, attrs2, text in token_re.findall(page):
         if text:
-            pos += 1
             texts.append(html_std.unescape(text) if "&" in text else text)
             continue
         if tag2:
@@ -147,7 +136,6 @@ def read_page(page: str, token_re, attribute_re, out: Columns) -> None:
             tag = "script" if tag.lower() == "script" else "style"
         elif not tag:
             continue
-        pos += 1
         tag = tag.lower()
         if slash:
             if names[-1] == tag:
@@ -159,12 +147,15 @@ def read_page(page: str, token_re, attribute_re, out: Columns) -> None:
             if at > 0:
                 close(at)
             continue
+        eid += 1
         kids[-1] += 1
-        eid = add(ids[-1], kids[-1], tag, class_names(attrs, attribute_re) if attrs else [], attrs)
         kid[-1] = eid
+        add(ids[-1], kids[-1], tag, class_names(attrs, attribute_re) if attrs else [], attrs)
         if tag not in EMPTY_TAGS and attrs[-1:] != "/":
-            push(eid, tag)
-    pos += 1
+            ids.append(eid)
+            names.append(tag)
+            kids.append(0)
+            kid.append(0)
     close(0)
 
 
@@ -192,12 +183,13 @@ def parse_page(pages: pa.Array) -> pa.Array:
             n_els.append(None)
             n_texts.append(None)
             continue
-        before, t_before = len(out.eid), len(out.texts)
+        before, t_before = len(out.tag), len(out.texts)
         read_page(text, token_re, attribute_re, out)
-        n_els.append(len(out.eid) - before)
+        n_els.append(len(out.tag) - before)
         n_texts.append(len(out.texts) - t_before)
+    eids = np.concatenate([np.arange(n, dtype=np.int32) for n in [0, *n_els] if n is not None])
     element = pa.StructArray.from_arrays(
-        [pa.array(getattr(out, n), t) for n, t in _ELEMENT_ARROW],
+        [pa.array(eids), *[pa.array(getattr(out, n), t) for n, t in _ELEMENT_ARROW[1:]]],
         fields=[pa.field(n, t) for n, t in _ELEMENT_ARROW])
     els = pa.ListArray.from_arrays(_offsets(n_els), element)
     words = pa.ListArray.from_arrays(_offsets(n_texts), pa.array(out.texts, pa.string()))
