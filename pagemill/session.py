@@ -17,6 +17,8 @@ def build_session(app: str = "pagemill", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # Pages are wide rows that grow when parsed; keep read splits moderate.
         "spark.sql.files.maxPartitionBytes": "64m",
+        # A batch of whole pages goes to a Python worker; keep it small.
+        "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
         # Whole-store rewrites are never wanted; only touched partitions are replaced.
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         **conf,
