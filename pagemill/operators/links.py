@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import urls as U
 from pagemill.functions.markup import attribute
 from pagemill.functions.select import has_class
-from pagemill.operators.sequence import spread_join
+from pagemill.operators.sequence import ROWS_PER_SLICE, hot_join, spread_join
 
 PAGE_KEY = ["market", "search_term", "page_num"]
 
@@ -102,11 +102,12 @@ def unseen(links: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return links.join(seen.select(*keys).distinct(), keys, "left_anti")
 
 
-def link_products(links: DataFrame, products: DataFrame, how: str = "inner") -> DataFrame:
-    """Links with the product read at their address.
+def link_products(links: DataFrame, products: DataFrame, how: str = "inner",
+                  rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Links (a staged table) with the product read at their address.
 
     ``products`` holds one row per (market, url).  A popular listing may be linked
-    from anywhere, so its links are split over several tasks.
+    from anywhere, so the links of such a listing are split over several tasks.
     """
-    return spread_join(links, products, ["market", "url"],
-                       F.concat_ws("|", "search_term", "page_num", "pos"), how)
+    return hot_join(links, products, ["market", "url"],
+                    F.concat_ws("|", "search_term", "page_num", "pos"), how, rows_per_slice)

@@ -86,11 +86,35 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: Column,
                 how: str = "inner", slices: int = 16) -> DataFrame:
-    """Join facts to one-row-per-key data when a key may hold a third of ``big``.
+    """Join facts to a few bytes per key (caps, last pages) when a key may hold a third of ``big``.
 
-    Each key of ``big`` is split over ``slices`` tasks and ``small`` is repeated
-    that many times; no side has to fit anywhere whole.
+    Every key of ``big`` is split over ``slices`` tasks and ``small`` is repeated
+    that many times; no side has to fit anywhere whole.  For wide ``small`` rows
+    use :func:`hot_join`.
     """
     salted = big.withColumn("_slice", F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("int"))
     copies = small.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return salted.join(copies, [*keys, "_slice"], how).drop("_slice")
+
+
+# Rows of one key that a single join task takes.
+ROWS_PER_SLICE = 1_000_000
+
+
+def hot_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: Column,
+             how: str = "inner", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Join where only keys with more than ``rows_per_slice`` rows in ``big`` are split.
+
+    Counts are combined on the map side.  At most ``|big| / rows_per_slice`` keys
+    can be hot, which bounds the broadcast: 10**11 links, more than 100 TB of
+    pages can hold, give 10**5 keys.  ``big`` is read twice; hand in a staged table.
+    """
+    hot = F.broadcast(
+        big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slice)
+        .select(*keys, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices")))
+    slices = F.coalesce("_slices", F.lit(1))
+    split = (big.join(hot, keys, "left")
+             .withColumn("_slice", F.pmod(F.xxhash64(spread_by), slices).cast("int")).drop("_slices"))
+    copies = (small.join(hot, keys, "left")
+              .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices"))
+    return split.join(copies, [*keys, "_slice"], how).drop("_slice")

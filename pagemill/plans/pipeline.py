@@ -63,7 +63,9 @@ def run(captures: DataFrame, terms: DataFrame, rules: DataFrame,
     """Search pages -> links -> products -> caps -> summary, all terms in one job.
 
     ``terms`` is (market, search_term, max_items).  Extraction results and links
-    are staged because the position of a product needs two passes over them.
+    are staged because the joins and positions need two passes over them.  Product
+    pages are parsed where they are read, before the join: fields are a thousandth
+    of the markup, so markup is never shuffled.
     """
     searches = checked_pages(captures, rules, "search").where("is_valid")
     pages = stage(reached_pages(stage(page_facts(searches), "facts")), "pages")
@@ -75,7 +77,7 @@ def run(captures: DataFrame, terms: DataFrame, rules: DataFrame,
 
     keys = DEDUP_KEYS[dedup_scope]
     order = [c for c in ("search_term", "page_num", "pos") if c not in keys]
-    links = keep_first(search_links(pages).drop("captured_at"), keys, order)
+    links = stage(keep_first(search_links(pages).drop("captured_at"), keys, order), "links")
     found = stage(link_products(links, products), "found")
     placed = positioned(found, TERM, "page_num", ["pos"])
     capped = spread_join(placed, terms, TERM, F.col("seq"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
 from pagemill.operators.links import has_next, page_limit, reached_pages
-from pagemill.operators.sequence import (PAGE_BLOCK, keep_first, positioned, spread_join, within_cap)
+from pagemill.operators.sequence import (PAGE_BLOCK, hot_join, keep_first, positioned, spread_join,
+                                         within_cap)
 from pagemill.operators.store import (appended, changed_since, envelopes, new_products, same_rows)
 from pagemill.operators.validate import with_verdict
 from pagemill.plans.rules import MARKETS, market_rules, with_rules
@@ -49,6 +50,8 @@ def test_spread_join_equals_join(spark, hot_rows):
         a = spread_join(df, caps, ["market", "search_term"], F.col("pos"), how)
         b = df.join(caps, ["market", "search_term"], how)
         assert same_rows(a.select(b.columns), b).first()[0]
+        c = hot_join(df, caps, ["market", "search_term"], F.col("pos"), how, rows_per_slice=100)
+        assert same_rows(c.select(b.columns), b).first()[0]
 
 
 def test_keep_first(hot_rows):

@@ -357,7 +357,7 @@ def q_sel_first(spark, sf):
 
 @query
 def q_sel_all(spark, sf):
-    """Every li of the raw pages in document order."""
+    """Every link of the raw pages in document order."""
     pages = with_elements(R.spread(R.table(spark, sf, "pages")))
     found = S.all_where(F.col("els"), S.is_tag("a"))
     return (pages.select("page_id", F.posexplode(found).alias("n", "el"))
@@ -615,7 +615,7 @@ def q_unseen_links(spark, sf):
 @query
 def q_link_products(spark, sf):
     products = _fields(spark, sf, "title", "price").where(FD.is_complete())
-    links = _links(spark, sf).drop("captured_at")
+    links = stage(_links(spark, sf).drop("captured_at"), "links")
     return link_products(links, products, "left").select(
         "market", "search_term", "page_num", "pos", "item_id", "title",
         F.col("title").isNull().alias("missing"))
