@@ -208,6 +208,11 @@ def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
             .drop("_page"))
 
 
+def page_elements(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """E1 as a table: one row per element, ``eid`` .. ``last`` being its interval."""
+    return parsed.select(*keys, F.inline("els")).where(F.col("eid") > 0)
+
+
 def attribute(attrs: Column, name: str) -> Column:
     """One attribute from an element's attribute text; null when absent, '' when it has no value."""
     names = F.transform(F.regexp_extract_all(attrs, F.lit(ATTRIBUTE_PATTERN), F.lit(1)), F.lower)

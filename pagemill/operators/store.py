@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import compact_time, iso_time, slug
 from pagemill.operators.links import unseen
-from pagemill.operators.sequence import chunk_no, keep_first, positioned
+from pagemill.operators.sequence import chunk_no, keep_first, positioned, spread_join
 from pagemill.schemas import PRODUCT_FIELDS
 
 # Products per envelope part; a term of any size is a run of bounded parts.
@@ -68,6 +68,19 @@ def changed_since(current: DataFrame, snapshot: DataFrame, keys: list[str]) -> D
     return joined.select(*keys, "rows", (~same).alias("changed"))
 
 
+def snapshot_rows(current: DataFrame, snapshot: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows to copy - those of the keys that changed since the last snapshot."""
+    changed = changed_since(current, snapshot, keys).where("changed").select(*keys)
+    return spread_join(current, changed, keys, F.col("url"))
+
+
+def write_snapshot(rows: DataFrame, path: str) -> None:
+    """Replace the snapshot of the keys in ``rows``, leave the others as they are."""
+    (rows.withColumn("term_slug", slug(F.col("search_term")))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("market", "term_slug").parquet(path))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row telling whether two tables hold the same bag of rows."""
     extra = a.exceptAll(b).unionByName(b.exceptAll(a))
@@ -80,6 +93,17 @@ def quarantine(rows: DataFrame, reason: Column, at: Column) -> DataFrame:
             .withColumn("quarantined_at", compact_time(at)))
 
 
+def save_or_quarantine(batch: DataFrame, save, path: str, at: Column) -> bool:
+    """Run ``save()``; if it fails, keep the batch aside with the reason. True when saved."""
+    try:
+        save()
+        return True
+    except Exception as failure:
+        reason = f"{type(failure).__name__}: {failure}".splitlines()[0][:500]
+        quarantine(batch, F.lit(reason), at).write.mode("append").parquet(path)
+        return False
+
+
 def envelopes(products: DataFrame, requested: Column, updated_at: Column,
               part_size: int = ENVELOPE_PART) -> DataFrame:
     """Products as envelope rows (market, search_term, part, envelope).

@@ -77,17 +77,19 @@ def attempt_class(status: Column, error: Column, is_valid: Column,
 
 def capture_outcome(attempts: DataFrame, keys: list[str],
                     max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """One row per page from its attempts (needs ``attempt`` and ``attempt_class``).
+    """One row per page from its attempts (``attempt``, ``attempt_class``, ``error``).
 
-    Only minima and counts are kept per page, so the map side reduces a page
-    fetched any number of times to one row before the shuffle.
+    Only minima, counts and the last error are kept per page, so the map side
+    reduces a page fetched any number of times to one row before the shuffle.
     """
     kind, n = F.col("attempt_class"), F.col("attempt")
+    failed = F.when(F.col("error").isNotNull() & (n <= max_attempts), n)
     summary = attempts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("logged"),
         F.min(F.when(kind == "success", n)).alias("_ok"),
         F.min(F.when(kind == "final", n)).alias("_final"),
-        F.max(n).alias("_last"))
+        F.max(n).alias("_last"),
+        F.max_by("error", failed).alias("last_error"))
     stop = F.least("_ok", "_final")
     used = F.least(F.coalesce(stop, F.col("_last")), F.col("_last"), F.lit(max_attempts))
     outcome = (
@@ -98,4 +100,4 @@ def capture_outcome(attempts: DataFrame, keys: list[str],
         .otherwise("pending"))
     return summary.select(
         *keys, "logged", used.alias("attempts_used"), outcome.alias("outcome"),
-        F.when(outcome == "success", F.col("_ok")).alias("success_attempt"))
+        F.when(outcome == "success", F.col("_ok")).alias("success_attempt"), "last_error")

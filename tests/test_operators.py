@@ -11,7 +11,8 @@ from pagemill.functions import urls as U
 from pagemill.operators.links import has_next, page_limit, reached_pages
 from pagemill.operators.sequence import (PAGE_BLOCK, hot_join, keep_first, positioned, spread_join,
                                          within_cap)
-from pagemill.operators.store import (appended, changed_since, envelopes, new_products, same_rows)
+from pagemill.operators.store import (appended, changed_since, envelopes, new_products, same_rows,
+                                      save_or_quarantine, snapshot_rows, write_snapshot)
 from pagemill.operators.validate import with_verdict
 from pagemill.plans.rules import MARKETS, market_rules, with_rules
 from pagemill.schemas import PRODUCT
@@ -124,6 +125,32 @@ def test_snapshot_detects_change(spark):
     assert changed_since(a, a.limit(0), ["market"]).first().changed
 
 
+def test_snapshot_replaces_changed_terms_only(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    a = products(spark, [("US", t, 1, i, f"u{i}", "t") for t in "ab" for i in range(3)])
+    write_snapshot(a, path)
+    keys = ["market", "search_term"]
+    b = a.withColumn("title", F.when((F.col("url") == "u1") & (F.col("search_term") == "b"), "new")
+                     .otherwise(F.col("title")))
+    rows = snapshot_rows(b, spark.read.parquet(path), keys)
+    assert {r.search_term for r in rows.collect()} == {"b"}
+    write_snapshot(rows, path)
+    assert snapshot_rows(b, spark.read.parquet(path), keys).count() == 0
+
+
+def test_failed_save_is_set_aside(spark, tmp_path):
+    batch = products(spark, [("US", "a", 1, 0, "u1", "x")])
+    path, at = str(tmp_path / "aside"), F.timestamp_seconds(F.lit(0))
+
+    def fail():
+        raise OSError("disk full")
+
+    assert not save_or_quarantine(batch, fail, path, at)
+    row = spark.read.parquet(path).first()
+    assert (row.url, row.reason, row.quarantined_at) == ("u1", "OSError: disk full", "19700101_000000")
+    assert save_or_quarantine(batch, lambda: None, path, at)
+
+
 def test_envelope_round_trip(spark, tmp_path):
     rows = products(spark, [("US", "red hat", 1 + i // 4, i, f"u{i:02d}", f"é{i}") for i in range(11)])
     out = envelopes(rows, F.lit(20), F.timestamp_seconds(F.lit(0)), part_size=4)

@@ -231,13 +231,16 @@ ORACLE: dict[str, str] = {
     "q_capture_outcome": """
         WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
                CASE WHEN event_type = 'view' THEN 'success' WHEN event_type IN ('click', 'error') THEN 'retry'
-                    WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'retry' ELSE 'final' END AS c FROM events),
+                    WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'retry' ELSE 'final' END AS c,
+               CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'Connection reset'
+                    ELSE 'bad certificate' END END AS err FROM events),
         g AS (SELECT user_id, count(*) AS logged, min(n) FILTER (WHERE c = 'success') AS good,
-                     min(n) FILTER (WHERE c = 'final') AS fin, max(n) AS last FROM e GROUP BY user_id),
+                     min(n) FILTER (WHERE c = 'final') AS fin, max(n) AS last,
+                     arg_max(err, n) FILTER (WHERE n <= 3 AND err IS NOT NULL) AS last_error FROM e GROUP BY user_id),
         o AS (SELECT *, CASE WHEN good <= 3 AND (fin IS NULL OR good < fin) THEN 'success' WHEN fin <= 3 THEN 'failed'
                      WHEN last >= 3 THEN 'exhausted' ELSE 'pending' END AS outcome FROM g)
         SELECT user_id, logged, least(coalesce(least(good, fin), last), last, 3) AS attempts_used, outcome,
-               CASE WHEN outcome = 'success' THEN good END AS success_attempt FROM o""",
+               CASE WHEN outcome = 'success' THEN good END AS success_attempt, last_error FROM o""",
     "q_complete_products": _listing("SELECT market, url, title, current_price FROM done"),
     "q_page_elements": f"WITH {_PAGE_TAGS} SELECT page_id, tag, count(*) AS n FROM t1 GROUP BY ALL",
     "q_sel_tag_class": _listing("SELECT k AS item, CAST(money AND k % 2 = 0 AS BIGINT) AS n FROM l2"),
@@ -353,9 +356,9 @@ ORACLE: dict[str, str] = {
                    least(items_found, coalesce(cap, items_found)) AS items_stored,
                    CAST(greatest(coalesce(cap - items_found, 0), 0) AS BIGINT) AS shortfall,
                    CASE WHEN dry THEN 'no more items' WHEN items_found < cap THEN 'shortfall' ELSE 'completed' END AS status,
-                   CAST(NULL AS VARCHAR) AS error
+                   wanted AND coalesce(items_found < cap, true) AS partial, CAST(NULL AS VARCHAR) AS error
             FROM (SELECT market, search_term, count(*) AS pages_read, sum(n_links) AS links_seen,
-                         bool_or(n_links = 0) AS dry, nullif({_CAP}, 0) AS cap FROM reached GROUP BY ALL)
+                         bool_or(n_links = 0) AS dry, arg_max(has_next AND n_links > 0, page_num) AS wanted, nullif({_CAP}, 0) AS cap FROM reached GROUP BY ALL)
             JOIN (SELECT market, search_term, count(item) AS items_found FROM
                     (SELECT DISTINCT r.market, r.search_term, d.k AS item FROM reached r
                      LEFT JOIN k0 ON r.okey = l_orderkey LEFT JOIN done d ON d.k = k0.item) GROUP BY ALL)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import select as S
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
-from pagemill.functions.markup import attribute, with_elements
+from pagemill.functions.markup import attribute, page_elements, with_elements
 from pagemill.operators import fields as FD
 from pagemill.operators.links import (has_next, link_products, page_facts, reached_pages,
                                       search_links, unseen)
@@ -239,7 +239,8 @@ def q_capture_outcome(spark, sf):
     error = F.when(F.col("event_type") == "purchase", F.when(
         F.col("event_id") % 2 == 0, "Connection reset").otherwise("bad certificate"))
     valid = F.col("event_type") == "view"
-    classed = log.withColumn("attempt_class", attempt_class(status, error, valid, F.lit(False)))
+    classed = log.withColumn("error", error).withColumn(
+        "attempt_class", attempt_class(status, F.col("error"), valid, F.lit(False)))
     return capture_outcome(classed, ["user_id"])
 
 
@@ -253,8 +254,7 @@ def q_complete_products(spark, sf):
 
 @query
 def q_page_elements(spark, sf):
-    pages = with_elements(R.spread(R.table(spark, sf, "pages")))
-    els = pages.select("page_id", F.inline("els")).where("eid > 0")
+    els = page_elements(with_elements(R.spread(R.table(spark, sf, "pages"))), ["page_id"])
     return els.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
