@@ -12,20 +12,18 @@ from pagemill.functions import text as X
 from pagemill.functions import urls as U
 from pagemill.functions.markup import attribute, page_elements, with_elements
 from pagemill.operators import fields as FD
-from pagemill.operators.links import (has_next, link_products, page_facts, reached_pages,
+from pagemill.operators.links import (link_products, page_facts, reached_pages,
                                       search_links, unseen)
 from pagemill.operators.sequence import (chunk_no, is_snapshot_batch, keep_first, positioned,
                                          progress, spread_join, within_cap)
-from pagemill.operators.store import (appended, changed_since, envelopes, quarantine, same_rows,
-                                      store_file_name, store_totals, write_store)
+from pagemill.operators.store import (appended, changed_since, envelopes, same_rows,
+                                      store_file_name, store_totals)
 from pagemill.operators.summary import TERM
 from pagemill.operators.validate import attempt_class, capture_outcome, with_verdict
 from pagemill.plans.pipeline import (checked_pages, page_rejects, product_rows, rejected_products,
                                      run, stage)
 from pagemill.plans.rules import unknown_markets
-from pagemill.schemas import TEXT_FIELDS
 from pagemill.session import work_dir
-from pagemill.sources.captures import fetched, stream_captures
 from pagemill.sources.store_io import read_envelopes, stored_products, write_envelopes
 from pagemill.sources.terms import search_requests, search_terms
 from pagemill.streaming import flow
@@ -696,45 +694,46 @@ def q_store_totals(spark, sf):
 SLICES = 3
 
 
-def _stream_input(spark, sf, steps: list[int]) -> str:
-    """Listing captures as one file per slice, written in order; returns the folder."""
-    path = work_dir(spark, "captures") + "/in"
-    _add_slices(spark, sf, path, steps)
-    return path
+def _add_slice(spark, sf, path, i):
+    """Add a third of the listing captures; whole search pages go together."""
+    pages = R.listing_captures(spark, sf).drop("item")
+    pages.where(F.col("page_num") % SLICES == i).write.mode("append").parquet(path)
 
 
-def _add_slices(spark, sf, path, steps):
-    pages = R.listing_captures(spark, sf).drop("item")
+def _stream_input(spark, sf, steps: list[int]) -> str:
+    """A folder of captures that arrived in the given order."""
+    path = work_dir(spark, "captures") + "/in"
     for i in steps:
-        # whole search pages per slice, so arrival order is page order
-        (pages.where(F.col("page_num") % SLICES == i)
-         .coalesce(1).write.mode("append").parquet(path))
+        _add_slice(spark, sf, path, i)
+    return path
 
 
-def _capture_stream(spark, path):
-    schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+def _products_from(spark, path):
+    captures = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return flow.product_stream(captures, R.rules(spark))
 
 
 def _run_upsert(spark, sf, caps=None, steps=(0, 1, 2)):
-    path = _stream_input(spark, sf, list(steps))
-    out = work_dir(spark, "stream")
+    """Slices arrive one by one; the stream runs after each, from where it stopped."""
+    path, out = work_dir(spark, "captures") + "/in", work_dir(spark, "stream")
     store, checkpoint = out + "/store", out + "/checkpoint"
     flow.open_store(spark, store)
-    products = flow.product_stream(_capture_stream(spark, path), R.rules(spark))
-    flow.start_upsert(products, store, checkpoint, caps=caps).awaitTermination()
-    return path, store, checkpoint
+    for i in steps:
+        _add_slice(spark, sf, path, i)
+        flow.start_upsert(_products_from(spark, path), store, checkpoint,
+                          caps=caps).awaitTermination()
+    return store
 
 
 @query
 def q_stream_products(spark, sf):
-    _, store, _ = _run_upsert(spark, sf)
+    store = _run_upsert(spark, sf)
     return _flat_store_info(flow.read_store(spark, store)).drop("batch_id", "captured_at")
 
 
 @query
 def q_stream_flush(spark, sf):
-    _, store, _ = _run_upsert(spark, sf)
+    store = _run_upsert(spark, sf)
     return flow.read_store(spark, store).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -749,8 +748,7 @@ def _stream_to_table(df, spark):
 @query
 def q_stream_dedup(spark, sf):
     path = _stream_input(spark, sf, [0, 1, 0, 2])
-    products = flow.product_stream(_capture_stream(spark, path), R.rules(spark))
-    seen = flow.first_seen(products, ["market", "url"])
+    seen = flow.first_seen(_products_from(spark, path), ["market", "url"])
     return _stream_to_table(seen.select("market", "url", "title"), spark)
 
 
@@ -759,7 +757,7 @@ def q_stream_cap(spark, sf):
     caps = (R.listing_captures(spark, sf).select("market", "search_term").distinct()
             .withColumn("max_items", F.when(F.col("market").isin("AU", "GB"), 5)
                         .when(F.col("market") == "US", 20).cast("int")))
-    _, store, _ = _run_upsert(spark, sf, caps=stage(caps, "caps"))
+    store = _run_upsert(spark, sf, caps=stage(caps, "caps"))
     return flow.read_store(spark, store).select("market", "search_term", "url")
 
 
@@ -767,8 +765,7 @@ def q_stream_cap(spark, sf):
 def q_stream_reset(spark, sf):
     """Two runs over the same captures: each starts with nothing seen."""
     path = _stream_input(spark, sf, [0, 1, 0])
-    products = flow.product_stream(_capture_stream(spark, path), R.rules(spark))
-    runs = products.select("market", "search_term", "url",
+    runs = _products_from(spark, path).select("market", "search_term", "url",
                            F.explode(F.array(F.lit(1), F.lit(2))).alias("run_id"))
     seen = flow.first_seen(runs, ["run_id", "market", "search_term", "url"])
     return _stream_to_table(seen, spark).groupBy("run_id", "market", "search_term").agg(
@@ -777,9 +774,6 @@ def q_stream_reset(spark, sf):
 
 @query
 def q_stream_resume(spark, sf):
-    """Stop after two slices, add the third and a repeat, start again with the same folders."""
-    path, store, checkpoint = _run_upsert(spark, sf, steps=(0, 1))
-    _add_slices(spark, sf, path, [2, 0])
-    products = flow.product_stream(_capture_stream(spark, path), R.rules(spark))
-    flow.start_upsert(products, store, checkpoint).awaitTermination()
+    """Starts and stops after every slice; the last one repeats captures already stored."""
+    store = _run_upsert(spark, sf, steps=(0, 1, 2, 0))
     return flow.read_store(spark, store).select("market", "search_term", "url", "title")
