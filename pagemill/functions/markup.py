@@ -6,7 +6,7 @@ and the same projection runs on a stream.  Everything after it - selectors,
 fields, links, checks - is built-in expressions over those arrays.
 
 The same tree was first built with ``aggregate``/``transform`` over a native
-token array.  It gave equal results, but folding a stack with interpreted
+token array; folding a stack with interpreted
 lambdas took more than twice as long per page as this helper.
 
 ``els`` is indexed by ``eid`` (entry 0 is the document) and numbered in document
