@@ -24,8 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """Bound Arrow batches in bytes, so that many long texts never meet in one batch."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    value = str(spark.conf.get(key, ""))
-    if not value.strip().isdigit() or not 0 < int(value) <= BATCH_BYTES:
+    value = str(spark.conf.get(key)).strip().lower().removesuffix("b")
+    if value[-1:] in "kmg":
+        value = str(int(value[:-1]) << {"k": 10, "m": 20, "g": 30}[value[-1]])
+    if not value.isdigit() or not 0 < int(value) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
