@@ -4,7 +4,8 @@ Ids are those of a given vocabulary with scores; the best segmentation has the l
 scores.  The search keeps a window of the longest piece's length; whenever all surviving
 backpointer paths meet in one boundary, the ids before it are committed and forgotten.  A mark of
 a space that follows another character is always such a boundary, as no piece crosses it, so
-committed chunks repeat and their ids are remembered in a bounded table.
+committed chunks repeat: those of a batch of texts are told apart by a hash, and each distinct one is searched
+once, many of one length in a step.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ import os
 import re
 import uuid
 from dataclasses import dataclass
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bound_batches, list_array, text_of, worker_cache
+from pagemill.llm.common import bound_batches, list_array, mix64, powers, text_of, worker_cache
 
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
@@ -29,6 +32,8 @@ UNKNOWN_PENALTY = 10.0
 COMMIT_EVERY = 64
 #: Chunks remembered by a worker; then the table starts anew.
 REMEMBERED = 400_000
+#: Characters of texts whose chunks are searched together.
+TOGETHER = 4 << 20
 DEFAULT_MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 
 
@@ -107,6 +112,195 @@ def viterbi(s: str, v: Vocabulary, every: int = COMMIT_EVERY) -> list[int]:
     return out + _trace(s, back, done, n, v)
 
 
+def viterbi_short(s: str, v: Vocabulary) -> list[int]:
+    """``viterbi`` for a chunk that fits its window: nothing has to be committed before the end."""
+    n, get, unknown = len(s), v.prefixes.get, v.unknown
+    best, starts, pieces = [None] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    best[0] = 0.0
+    for i in range(n):
+        score, alone = best[i], False
+        for j in range(i + 1, n + 1):
+            found = get(s[i:j], False)
+            if found is False:
+                break
+            if found is not None:
+                if j == i + 1:
+                    alone = True
+                total = score + found[1]
+                if best[j] is None or total > best[j]:
+                    best[j], starts[j], pieces[j] = total, i, found[0]
+        if not alone and (best[i + 1] is None or score + unknown > best[i + 1]):
+            best[i + 1], starts[i + 1], pieces[i + 1] = score + unknown, i, -1
+    out: list[int] = []
+    while n:
+        start = starts[n]
+        if pieces[n] >= 0:
+            out.append(pieces[n])
+        else:
+            out += [v.byte_ids[b] for b in reversed(s[start:n].encode("utf-8", "surrogatepass"))]
+        n = start
+    return out[::-1]
+
+
+class PrefixTable:
+    """The prefixes of all pieces by a 64-bit hash of their code points: two arrays of slots, the second for what collides."""
+
+    SLOTS = 20
+
+    def __init__(self, v: Vocabulary):
+        names = list(v.prefixes)
+        keys = np.array([self.hash_of(n) for n in names], np.uint64)
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two prefixes share a hash")
+        values = np.array([-1 if v.prefixes[n] is None else v.prefixes[n][0] for n in names], np.int32)
+        self.score = np.zeros(max(len(v.texts), 1), np.float64)
+        for i, score in v.pieces.values():
+            self.score[i] = score
+        self.tables = []
+        multiplier = 0x9E3779B97F4A7C15
+        while len(keys):
+            slot = self.slots(keys, multiplier)
+            _, first = np.unique(slot, return_index=True)
+            key, value = np.zeros(1 << self.SLOTS, np.uint64), np.full(1 << self.SLOTS, -2, np.int32)
+            key[slot[first]], value[slot[first]] = keys[first], values[first]
+            self.tables.append((multiplier, key, value))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values = keys[rest], values[rest]
+            multiplier = (multiplier * 0xD1342543DE82EF95 + 2) % (1 << 64) | 1
+
+    @staticmethod
+    def hash_of(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * 0x5851F42D4C957F2D + ord(c) + 1) % (1 << 64)
+        return h
+
+    @staticmethod
+    def grow(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return h * np.uint64(0x5851F42D4C957F2D) + codes + np.uint64(1)
+
+    @classmethod
+    def slots(cls, h: np.ndarray, multiplier: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((h * np.uint64(multiplier)) >> np.uint64(64 - cls.SLOTS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash; -1 for a prefix that is none, -2 for no prefix."""
+        (multiplier, key, value), *others = self.tables
+        slot = self.slots(h, multiplier)
+        out = np.where(key[slot] == h, value[slot], np.int32(-2))
+        for multiplier, key, value in others:
+            rest = np.flatnonzero(out == -2)
+            if not len(rest):
+                break
+            slot = self.slots(h[rest], multiplier)
+            out[rest] = np.where(key[slot] == h[rest], value[slot], np.int32(-2))
+        return out
+
+
+def viterbi_many(codes: np.ndarray, v: Vocabulary, table: PrefixTable) -> tuple[np.ndarray, np.ndarray]:
+    """``viterbi`` for many chunks of one length (rows of code points): ids one chunk after another, and how many each has."""
+    m, n = codes.shape
+    best = np.full((n + 1, m), -np.inf)
+    best[0] = 0.0
+    start, piece = np.zeros((n + 1, m), np.int32), np.full((n + 1, m), -1, np.int32)
+    for i in range(n):
+        live, h, alone = np.arange(m), np.zeros(m, np.uint64), np.zeros(m, bool)
+        for j in range(i + 1, n + 1):
+            h = table.grow(h, codes[live, j - 1].astype(np.uint64))
+            found = table.find(h)
+            whole = found >= 0
+            rows, ids = live[whole], found[whole]
+            if j == i + 1:
+                alone[rows] = True
+            total = best[i, rows] + table.score[ids]
+            better = total > best[j, rows]
+            rows = rows[better]
+            best[j, rows], start[j, rows], piece[j, rows] = total[better], i, ids[better]
+            alive = found > -2
+            live, h = live[alive], h[alive]
+            if not len(live):
+                break
+        total = best[i] + v.unknown
+        better = ~alone & (total > best[i + 1])
+        best[i + 1, better], start[i + 1, better], piece[i + 1, better] = total[better], i, -1
+    # All backpointer paths at once, from the ends.  A character outside the vocabulary is 256 + its code, negated.
+    rows, end, steps = np.arange(m), np.full(m, n), []
+    while len(rows):
+        begin = start[end, rows]
+        ids = piece[end, rows]
+        steps.append((rows, np.where(ids < 0, -256 - codes[rows, begin].astype(np.int32), ids)))
+        rows, end = rows[begin > 0], begin[begin > 0]
+    owner, ids = np.concatenate([r for r, _ in steps]), np.concatenate([x for _, x in steps])
+    order = np.lexsort((np.repeat(-np.arange(len(steps)), [len(r) for r, _ in steps]), owner))
+    owner, ids = owner[order], ids[order]
+    unknown = ids < 0
+    if unknown.any():
+        char = -256 - ids
+        n_bytes = np.where(unknown, 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000), 1)
+        step = np.arange(int(n_bytes.sum())) - np.repeat(np.cumsum(n_bytes) - n_bytes, n_bytes)
+        owner, ids, char, n_bytes = (np.repeat(x, n_bytes) for x in (owner, ids, char, n_bytes))
+        bits = char >> (6 * (n_bytes - 1 - step)) & 0x3F | 0x80
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[n_bytes] | char >> (6 * (n_bytes - 1))
+        ids = np.where(ids < 0, np.array(v.byte_ids)[np.where(step > 0, bits, lead) & 0xFF], ids)
+    return ids.astype(np.int32), np.bincount(owner, minlength=m)
+
+
+def encode_many(texts: list[str], v: Vocabulary, table: PrefixTable) -> tuple[list[int], np.ndarray]:
+    """Ids of a batch of texts, one text after another, and how many each has; each distinct chunk is searched once."""
+    plain = [i for i, t in enumerate(texts) if t and SPACE not in t and v.chunked]
+    single = {i: np.frombuffer(encode(t, v, {}), "<i4") for i, t in enumerate(texts) if t and (SPACE in t or not v.chunked)}
+    sizes, flat = [0] * len(texts), np.zeros(0, np.int32)
+    if plain:
+        codes = np.frombuffer("".join(SPACE + texts[i].replace(" ", SPACE) for i in plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        begin = np.cumsum([0, *[len(texts[i]) + 1 for i in plain[:-1]]])
+        mark = codes == ord(SPACE)
+        new = mark.copy()
+        new[1:] &= ~mark[:-1]
+        new[begin] = True
+        starts = np.flatnonzero(new)
+        lengths = np.diff(np.append(starts, len(codes)))
+        place = np.arange(len(codes)) - np.repeat(starts, lengths)
+        with np.errstate(over="ignore"):
+            names = mix64(np.add.reduceat(mix64(codes.astype(np.uint64)) * powers(int(lengths.max()))[place], starts) + lengths.astype(np.uint64))
+        _, first, which = np.unique(names, return_index=True, return_inverse=True)
+        size = lengths[first]
+        counts, parts, order = np.zeros(len(first), np.int64), [], []
+        for n in np.unique(size).tolist():
+            group = np.flatnonzero(size == n)
+            order.append(group)
+            if n > COMMIT_EVERY:
+                found = [viterbi("".join(map(chr, codes[starts[first[g]]:starts[first[g]] + n])), v) for g in group]
+                parts.append(np.array([x for f in found for x in f], np.int32))
+                counts[group] = [len(f) for f in found]
+            else:
+                ids, counts[group] = viterbi_many(codes[starts[first[group]][:, None] + np.arange(n)], v, table)
+                parts.append(ids)
+        # Where each distinct chunk's ids lie, then all chunks in the order of the texts.
+        group, known = np.concatenate(order), np.concatenate(parts)
+        at = np.zeros(len(first), np.int64)
+        at[group] = np.cumsum(counts[group]) - counts[group]
+        n = counts[which]
+        total = np.cumsum(n)
+        flat = known[np.repeat(at[which] - total + n, n) + np.arange(int(total[-1]))]
+        ends = np.append(total, total[-1])[np.searchsorted(starts, np.append(begin[1:], len(codes))) - 1]
+        for i, k in zip(plain, np.diff(np.concatenate([[0], ends])).tolist()):
+            sizes[i] = k
+    if single:
+        pieces, at = [], 0
+        for i in range(len(texts)):
+            if i in single:
+                pieces.append(single[i])
+                sizes[i] = len(single[i])
+            else:
+                pieces.append(flat[at:at + sizes[i]])
+                at += sizes[i]
+        flat = np.concatenate(pieces)
+    return sizes, flat
+
+
 def _offer(best: list, back: list, at: int, score: float, start: int, piece: int) -> None:
     while len(best) <= at:
         best.append(None)
@@ -160,10 +354,13 @@ def encode(text: str, v: Vocabulary, seen: dict[str, bytes]) -> bytes:
         for chunk in CHUNK.findall(s) if v.chunked else [s]:
             ids = seen.get(chunk)
             if ids is None:
-                ids = np.array(viterbi(chunk, v), "<i4").tobytes()
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                if len(chunk) <= COMMIT_EVERY:
+                if len(chunk) > COMMIT_EVERY:
+                    ids = np.array(viterbi(chunk, v), "<i4").tobytes()
+                else:
+                    found = viterbi_short(chunk, v)
+                    ids = pack(f"<{len(found)}i", *found)
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen[chunk] = ids
             parts.append(ids)
     return b"".join(parts)
@@ -180,17 +377,46 @@ def _encoder(shared):
 
     @F.arrow_udf(returnType="array<int>")
     def encode_texts(texts: pa.Array) -> pa.Array:
-        v, seen = shared.value, worker_cache(table)
-        data = [encode(t.as_py(), v, seen) for t in texts]
-        return list_array([len(d) // 4 for d in data], pa.array(np.frombuffer(b"".join(data), "<i4")))
+        v, kept = shared.value, worker_cache(table)
+        if not kept:
+            kept["prefixes"] = PrefixTable(v)
+        sizes, parts, rows, size = [], [], [], 0
+        for text in [*texts.to_pylist(), None]:
+            if rows and (text is None or size > TOGETHER):
+                n, ids = encode_many(rows, v, kept["prefixes"])
+                sizes += n
+                parts.append(ids)
+                rows, size = [], 0
+            if text is not None:
+                rows.append(text)
+                size += len(text)
+        return list_array(sizes, pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
     return encode_texts.asNondeterministic()
 
 
+def decode_many(ids: np.ndarray, sizes: list[int], v: Vocabulary) -> list[str]:
+    """``decode`` for lists of ids that lie one after another."""
+    length = np.array([len(t) for t in v.texts], np.int64)
+    begin = np.cumsum(length) - length
+    letters = np.frombuffer(b"".join(v.texts), np.uint8)
+    n = length[ids]
+    total = np.cumsum(n)
+    data = letters[np.repeat(begin[ids] - total + n, n) + np.arange(int(total[-1]) if len(total) else 0)].tobytes()
+    ends = np.append(0, total)[np.cumsum([0, *sizes])].tolist()
+    parts = (data[a:b] for a, b in zip(ends, ends[1:]))
+    return [(p[1:] if p[:1] == b" " else p).decode("utf-8", "replace") for p in parts]
+
+
 def _decoder(shared):
     @F.arrow_udf(returnType="string")
     def decode_ids(lists: pa.Array) -> pa.Array:
-        v = shared.value
-        return pa.array([decode(x.values.to_pylist() if x.is_valid else (), v) for x in lists], pa.string())
+        sizes = [n or 0 for n in pc.list_value_length(lists).to_pylist()]
+        ids = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        out, at = [], 0
+        for part in (sizes[a:a + 256] for a in range(0, len(sizes), 256)):
+            out += decode_many(ids[at:at + sum(part)], part, shared.value)
+            at += sum(part)
+        return pa.array(out, pa.string())
     return decode_ids.asNondeterministic()
 
 
