@@ -33,7 +33,7 @@ COMMIT_EVERY = 64
 #: Chunks remembered by a worker; then the table starts anew.
 REMEMBERED = 400_000
 #: Characters of texts whose chunks are searched together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 DEFAULT_MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 
 
@@ -262,7 +262,7 @@ def encode_many(texts: list[str], v: Vocabulary, table: PrefixTable) -> tuple[li
         new[begin] = True
         starts = np.flatnonzero(new)
         lengths = np.diff(np.append(starts, len(codes)))
-        place = np.arange(len(codes)) - np.repeat(starts, lengths)
+        place = np.arange(len(codes), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
         with np.errstate(over="ignore"):
             names = mix64(np.add.reduceat(mix64(codes.astype(np.uint64)) * powers(int(lengths.max()))[place], starts) + lengths.astype(np.uint64))
         _, first, which = np.unique(names, return_index=True, return_inverse=True)
