@@ -351,7 +351,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: int = THR
     named = base.select("doc_id", "n_shingles", "node").join(linked, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     smallest = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("members"))
-    grouped = smallest.where("members > 1").select("component", "smallest")
+    grouped = stage(smallest.where("members > 1").select("component", "smallest"), "groups")
     for table in (shared, near):
         drop_staged(table)
     return named.join(grouped, "component", "left").select(
