@@ -1,13 +1,15 @@
 """N-gram Jaccard join with signature trees.
 
 1. Each text becomes its set of hashed word shingles; texts with equal sets are one node of the join.
-2. Sets are cut into so many ranges of hash values that two sets within the threshold must agree in a whole range
-   (a pair differs in at most ``min(n) * (1 - t) / t`` elements, and there is one range more).  Each range's
+2. Shingles are dealt by hash, packed in arrays, and counted: a set of which fewer shingles occur elsewhere than the
+   threshold asks for has no partner.  Only the others go on.
+3. Their sets are cut into so many ranges of hash values that two sets within the threshold must agree in a whole range
+   (a pair differs in at most ``min(n) * (1 - t) / t`` elements, and there are more ranges than that).  Each range's
    content is one signature.  Nodes that share one are in one cluster; pairs across clusters cannot be linked.
-3. Inside a cluster, cut into blocks of bounded size, trees over the nodes hold OR-combined bitmaps and size
+4. Inside a cluster, cut into blocks of bounded size, trees over the nodes hold OR-combined bitmaps and size
    ranges.  A dual traversal of two trees drops pairs of tree nodes by the largest overlap they leave possible;
    what stays is counted exactly.
-4. Links make components.  A task emits at most one link per node it holds, enough to connect what it found.
+5. Links make components.  A task emits at most one link per node it holds, enough to connect what it found.
 
 The classes of sizes grow by the threshold, so linked sets are in one class or in neighbours; a set has signatures
 for its own class and for the one below.
@@ -34,6 +36,10 @@ LEAF, BITS = 16, 4096
 COLUMNS = 1 << 14
 #: Bits of the filter that spares texts without a candidate the shuffle.
 FILTER_BITS = 1 << 26
+#: Ranges beyond the largest number of differing elements, as a share of it; they allow empty ranges to be left out.
+SLACK = 0.12
+#: Shingles and documents packed together for counting.
+PACKED, PACKED_DOCS = 1 << 20, 1 << 15
 #: Bytes of text hashed at a time.
 CHUNK = 2 << 20
 
@@ -108,12 +114,16 @@ def signatures(s: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
         out = []
         for k, size in ((own, last), (below, before)):
-            parts = size * (100 - threshold) // threshold + 1
-            if k < 0 or parts < 2:
+            differ = size * (100 - threshold) // threshold
+            if k < 0 or not differ:
                 continue
+            parts = differ + 1 + int(differ * SLACK)
             edges = (np.arange(1, parts, dtype=np.float64) * (2.0 ** 64 / parts)).astype(np.uint64)
             at = np.concatenate([[0], np.searchsorted(s, edges), [n]])
-            out.append(mix64(total[at[1:]] - total[at[:-1]] + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(k << 32))))
+            names = mix64(total[at[1:]] - total[at[:-1]] + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(k << 32)))
+            full = at[1:] > at[:-1]
+            # A partner agrees in ``parts - differ`` ranges at least; if fewer are empty, a full one is among them.
+            out.append(names[full] if parts - int(full.sum()) < parts - differ else names)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -124,23 +134,132 @@ def set_name(s: np.ndarray) -> int:
     return int(value.view(np.int64)[0])
 
 
-def _describe(words: int, threshold: int):
+PACK = ("bucket bigint, chunk bigint, slots binary, counts binary, hashes binary, "
+        "doc_ids array<bigint>, rows array<bigint>, sizes array<bigint>, nodes array<bigint>")
+BASE = "doc_id bigint, row bigint, n_shingles bigint, node bigint, shared bigint"
+_PACK_NAMES = ["bucket", "chunk", "slots", "counts", "hashes", "doc_ids", "rows", "sizes", "nodes"]
+_LONGS = pa.list_(pa.int64())
+_PACK_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), _LONGS, _LONGS, _LONGS, _LONGS]
+
+
+def _packs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PACK_TYPES)], names=_PACK_NAMES)
+
+
+def _pack(words: int, buckets: int):
+    """Chunks of documents: one row tells its documents, and one row for each bucket holds their hashes in it.
+
+    A chunk's name follows from its rows, so a task that runs again gives the same chunks.
+    """
+    def chunk(ids: list, rows: list, sets: list[np.ndarray], names: list, fresh: list[bool]) -> pa.RecordBatch:
+        with np.errstate(over="ignore"):
+            place = np.arange(1, len(rows) + 1, dtype=np.uint64)
+            name = int(mix64(mix64(np.array(rows, np.int64).view(np.uint64) + place).sum(keepdims=True)).view(np.int64)[0])
+        used = [s if f else s[:0] for s, f in zip(sets, fresh)]
+        hashes = np.concatenate(used)
+        slots = np.repeat(np.arange(len(used), dtype=np.uint16), [len(s) for s in used])
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        low, slots = hashes[order].astype(np.uint32), slots[order]
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        out = [(-1 - name % buckets, name, None, None, None, ids, rows, [len(s) for s in sets], names)]
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            here, counts = np.unique(slots[ends[b]:ends[b + 1]], return_counts=True)
+            out.append((b, name, here.tobytes(), counts.astype(np.uint32).tobytes(), low[ends[b]:ends[b + 1]].tobytes(), None, None, None, None))
+        return _packs(out)
+
     def run(batches):
-        seen: set[int] = set()  # nodes of this task whose signatures are out already
+        seen: set[int] = set()  # nodes of this task; copies are counted once
+        held: tuple[list, ...] = ([], [], [], [], [])
+        total = 0
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), words)
-            names, signed = [], []
-            for s in sets:
+            for doc, row, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets):
                 name = set_name(s) if len(s) else None
-                names.append(name)
-                signed.append(np.zeros(0, np.uint64) if name is None or name in seen else signatures(s, threshold))
-                if name is not None:
-                    seen.add(name)
+                for column, value in zip(held, (doc, row, s, name, name is not None and name not in seen)):
+                    column.append(value)
+                seen.add(name)
+                total += len(s)
+                if total >= PACKED or len(held[0]) >= PACKED_DOCS:
+                    yield chunk(*held)
+                    held, total = ([], [], [], [], []), 0
+        if held[0]:
+            yield chunk(*held)
+    return run
+
+
+def _runs(batches, key: int):
+    """Rows of sorted batches, one list for each value of column ``key``."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][key] != row[key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _count_shared(batches):
+    """For each chunk and document, how many of its hashes in a bucket another document has too."""
+    for rows in _runs(batches, 0):
+        if rows[0][0] < 0:
+            yield _packs(rows)
+            continue
+        hashes = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows])
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+        same = ranked[1:] == ranked[:-1]
+        twice = np.zeros(len(hashes), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        shared = np.zeros(len(hashes), np.int64)
+        shared[order] = twice
+        out, at = [], 0
+        for bucket, name, slots, counts, data, *_ in rows:
+            n = np.frombuffer(counts, np.uint32).astype(np.int64)
+            part = np.add.reduceat(shared[at:at + len(data) // 4], np.cumsum(n) - n)
+            at += len(data) // 4
+            out.append((bucket, name, slots, part.astype(np.uint32).tobytes(), None, None, None, None, None))
+        yield _packs(out)
+
+
+def _sum_shared(batches):
+    """A row for each document of a chunk, with the sum over all buckets."""
+    for rows in _runs(batches, 1):
+        for about in (r for r in rows if r[5] is not None):
+            total = np.zeros(len(about[5]), np.int64)
+            for r in rows:
+                if r[2] is not None:
+                    total[np.frombuffer(r[2], np.uint16)] += np.frombuffer(r[3], np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (about[5], about[6], about[7], about[8], total)],
+                                             names=["doc_id", "row", "n_shingles", "node", "shared"])
+
+
+def shingle_table(rows: DataFrame, words: int) -> DataFrame:
+    """doc_id, row, n_shingles, node, shared (shingles that occur in other texts too) of ``rows`` (doc_id, text, row).
+
+    Hashes travel packed, four bytes each, once; ``shared`` may be too large where two of them agree in 32 bits
+    and the bucket, never too small.  Of copies in one task, one has the number.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.select("doc_id", "text", "row").mapInArrow(_pack(words, tasks), PACK)
+            .repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_shared, PACK)
+            .repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(_sum_shared, BASE))
+
+
+def _sign(words: int, threshold: int):
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            signed = []
+            for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words)):
+                signed.append(np.zeros(0, np.uint64) if node in seen else signatures(s, threshold))
+                seen.add(node)
             values = np.concatenate(signed) if signed else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()),
-                 list_array([len(x) for x in signed], pa.array(values.view(np.int64)))],
-                names=["doc_id", "row", "n_shingles", "node", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array([len(x) for x in signed], pa.array(values.view(np.int64)))],
+                                             names=["node", "signatures"])
     return run
 
 
@@ -325,21 +444,24 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: int = THR
     bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    base = stage(rows.select("doc_id", "text", "row").mapInArrow(
-        _describe(words, threshold), "doc_id bigint, row bigint, n_shingles bigint, node bigint, signatures array<bigint>"), "shingles")
-    signed = base.where(F.size("signatures") > 0).select("node", F.explode("signatures").alias("signature"))
+    base = stage(shingle_table(rows, words), "shingles")
+    release(spark)
+    able = base.where("node is not null").groupBy("node").agg(
+        F.min("row").alias("row"), F.max("shared").alias("shared"), F.max("n_shingles").alias("n")).where(
+        F.col("shared") * 100 >= F.col("n") * threshold).select("row", "node")
+    texts = stage(_texts_of(rows.select("row", "text"), stage(able, "able")), "texts")
+    release(spark)
+    signed = stage(texts.select("node", "text").mapInArrow(_sign(words, threshold), "node bigint, signatures array<bigint>")
+                   .where(F.size("signatures") > 0), "signed").select("node", F.explode("signatures").alias("signature"))
     shared = stage(signed.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
                    .select("signature", "low"), "shared-signatures")
-    release(spark)
     near = stage(signed.join(shared, "signature").where("node <> low").select("node", "low").distinct(), "near")
     release(spark)
     clusters = stage(components(near), "clusters")
     blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    chosen = base.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
-    wanted = stage(clusters.join(chosen, "node").join(blocks, "component").select(
-        "row", "node", F.col("component").alias("cluster"), "blocks",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "wanted")
-    texts = _texts_of(rows.select("row", "text"), wanted)
+    wanted = stage(clusters.join(blocks, "component").select(
+        "node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "wanted")
+    texts = texts.select("node", "text").join(wanted, "node")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     paired = texts.select("cluster", "own", "node", "text", F.explode(others).alias("other")).select(
         "cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "text")
