@@ -53,9 +53,12 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, whichever task asks for it."""
-    return sys.__dict__.setdefault("_pagemill_llm", {}).setdefault(name, {})
+def worker_cache(kind: str, key: str = "") -> dict:
+    """A dict that the Python worker keeps from task to task, one of each kind; another key empties it."""
+    kept = sys.__dict__.setdefault("_pagemill_llm", {})
+    if kept.setdefault(kind, (key, {}))[0] != key:
+        kept[kind] = (key, {})
+    return kept[kind][1]
 
 
 def text_of(column: str = "text"):

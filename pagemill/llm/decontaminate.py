@@ -124,14 +124,11 @@ def longest(hits: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int,
 
 def search_batch(texts: list[str], tests: Tests) -> tuple[list[int], list[list[tuple[str, int, int, int]]]]:
     """Words and longest matches of each text of a shard."""
-    lists = [words_of(t) for t in texts]
-    counts = [len(x) for x in lists]
     get = tests.vocabulary.get
-    tokens = np.zeros(sum(counts) + len(counts), np.int32)  # a 0 behind each document
+    lists = [np.array([get(w, 0) for w in words_of(t)], np.int32) for t in texts]
+    counts = [len(x) for x in lists]
     ends = np.cumsum(np.array(counts, np.int64) + 1)
-    for words, end in zip(lists, ends):
-        if words:
-            tokens[end - 1 - len(words):end - 1] = [get(w, 0) for w in words]
+    tokens = np.concatenate([x for ids in lists for x in (ids, np.zeros(1, np.int32))] or [np.zeros(0, np.int32)])  # a 0 behind each document
     which, places = search_shard(tokens, tests)
     hits: dict[int, list] = {}
     for doc, window, place in zip(np.searchsorted(ends, places, "right").tolist(), which.tolist(), places.tolist()):

@@ -19,13 +19,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that a join can split the rows of a node with many neighbours.
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "smallest")
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stage(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        drop_staged(low)
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "smallest")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = stage(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "small-star")
         drop_staged(large)
+        drop_staged(low)
         same = _digest(now) == _digest(after)
         drop_staged(now)
         now = after

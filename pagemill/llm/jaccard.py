@@ -29,11 +29,11 @@ WORDS = 3
 #: Link when ``100 * common >= THRESHOLD * all``.
 THRESHOLD = 90
 #: Nodes of a block.
-BLOCK = 384
+BLOCK = 256
 #: Nodes of a leaf, bits of a bitmap.
 LEAF, BITS = 16, 4096
 #: Columns of a counting matrix.
-COLUMNS = 1 << 14
+COLUMNS = 1 << 12
 #: Bits of the filter that spares texts without a candidate the shuffle.
 FILTER_BITS = 1 << 26
 #: Ranges beyond the largest number of differing elements, as a share of it; they allow empty ranges to be left out.
@@ -404,10 +404,10 @@ def _join_blocks(words: int, threshold: int):
 
 def _bitmap(batches):
     """One fixed-size bitmap of the rows' keys for each task."""
-    flags = np.zeros(FILTER_BITS, bool)
+    bytes_of = np.zeros(FILTER_BITS // 8, np.uint8)
     for batch in batches:
-        flags[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(FILTER_BITS)] = True
-    bytes_of = np.packbits(flags)
+        at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(FILTER_BITS)
+        np.bitwise_or.at(bytes_of, at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
     at = np.flatnonzero(bytes_of)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bytes_of[at].astype(np.int32))], names=["at", "byte"])
 

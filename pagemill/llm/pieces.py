@@ -30,8 +30,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Characters between two looks for a common boundary.
 COMMIT_EVERY = 64
-#: Chunks remembered by a worker; then the table starts anew.
-REMEMBERED = 400_000
+#: Chunks remembered while texts are encoded one by one; then the table starts anew.
+REMEMBERED = 100_000
 #: Characters of texts whose chunks are searched together.
 TOGETHER = 1 << 20
 DEFAULT_MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
@@ -373,11 +373,11 @@ def decode(ids, v: Vocabulary) -> str:
 
 
 def _encoder(shared):
-    table = f"pieces-{uuid.uuid4().hex}"
+    key = uuid.uuid4().hex
 
     @F.arrow_udf(returnType="array<int>")
     def encode_texts(texts: pa.Array) -> pa.Array:
-        v, kept = shared.value, worker_cache(table)
+        v, kept = shared.value, worker_cache("pieces", key)
         if not kept:
             kept["prefixes"] = PrefixTable(v)
         sizes, parts, rows, size = [], [], [], 0

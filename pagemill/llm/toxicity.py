@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -28,7 +29,7 @@ LEAST_SEEN = 3
 #: Standard deviations by which a weight is lowered.
 CAUTION = 1.3
 #: Words a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 THRESHOLD = 0.7
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœ"
@@ -287,12 +288,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, out: str = "score", text
     model = letter_model(docs, text)
     scorer = train(docs.select("doc_id", F.col(text).alias("text")), labels, model, max_labelled)
     shared = spark.sparkContext.broadcast((model, scorer))
-    name = f"toxicity-{id(scorer)}-{hash(scorer.curve)}"
+    key = uuid.uuid4().hex
 
     @F.arrow_udf(returnType="double")
     def score(texts: pa.Array) -> pa.Array:
         letters, judge = shared.value
-        seen = worker_cache(name)
+        seen = worker_cache("toxicity", key)
         return pa.array([judge.score(*judge.heaviest(t.as_py() or "", letters, seen)) for t in texts], pa.float64())
 
     return docs.withColumn(out, score.asNondeterministic()(text_of(text)))
