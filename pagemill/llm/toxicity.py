@@ -28,6 +28,8 @@ MAX_FEATURES = 50_000
 LEAST_SEEN = 3
 #: Standard deviations by which a weight is lowered.
 CAUTION = 1.3
+#: Characters counted together.
+TOGETHER = 1 << 19
 #: Words a worker remembers.
 REMEMBERED = 250_000
 THRESHOLD = 0.7
@@ -56,9 +58,15 @@ def codes_of(texts: list[str]) -> np.ndarray:
 def _count_trigrams(batches):
     total = np.zeros(SIZE ** 3, np.int64)
     for batch in batches:
-        c = codes_of([t or "" for t in batch.column(0).to_pylist()]).astype(np.int32)
-        c = np.concatenate([[0, 0], c, [0]]).astype(np.int32)
-        total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE ** 3)
+        group, size = [], 0
+        for text in [*batch.column(0).to_pylist(), None]:
+            if group and (text is None or size > TOGETHER):
+                c = np.concatenate([np.zeros(2, np.int32), codes_of(group).astype(np.int32), np.zeros(1, np.int32)])
+                total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE ** 3)
+                group, size = [], 0
+            if text is not None:
+                group.append(text)
+                size += len(text)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
