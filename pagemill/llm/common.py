@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagemill.session import work_dir
 
 #: Bytes of one Arrow batch where the session sets none.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

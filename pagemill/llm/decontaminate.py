@@ -197,7 +197,8 @@ def hit_words(matches: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any verbatim window of the benchmark; columns as given."""
-    return find_contamination(docs, benchmark).where("n_hit = 0").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), "text")
+    return find_contamination(whole, benchmark).where("n_hit = 0").select("_row.*")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

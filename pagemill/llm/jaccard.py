@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import bound_batches, drop_staged, list_array, mix64, release, stage, text_of, word_hashes
@@ -165,7 +165,13 @@ def _pack(words: int, buckets: int):
         out = [(-1 - name % buckets, name, None, None, None, ids, rows, [len(s) for s in sets], names)]
         for b in np.flatnonzero(np.diff(ends)).tolist():
             here, counts = np.unique(slots[ends[b]:ends[b + 1]], return_counts=True)
-            out.append((b, name, here.tobytes(), counts.astype(np.uint32).tobytes(), low[ends[b]:ends[b + 1]].tobytes(), None, None, None, None))
+            if 3 * len(here) > len(ids) and counts.max() < 256:  # one byte for each document of the chunk
+                every = np.zeros(len(ids), np.uint8)
+                every[here] = counts
+                here, counts = None, every.tobytes()
+            else:
+                here, counts = here.tobytes(), counts.astype(np.uint32).tobytes()
+            out.append((b, name, here, counts, low[ends[b]:ends[b + 1]].tobytes(), None, None, None, None))
         return _packs(out)
 
     def run(batches):
@@ -218,10 +224,12 @@ def _count_shared(batches):
         shared[order] = twice
         out, at = [], 0
         for bucket, name, slots, counts, data, *_ in rows:
-            n = np.frombuffer(counts, np.uint32).astype(np.int64)
-            part = np.add.reduceat(shared[at:at + len(data) // 4], np.cumsum(n) - n)
+            n = np.frombuffer(counts, np.uint8 if slots is None else np.uint32).astype(np.int64)
+            total = np.concatenate([[0], np.cumsum(shared[at:at + len(data) // 4])])
             at += len(data) // 4
-            out.append((bucket, name, slots, part.astype(np.uint32).tobytes(), None, None, None, None, None))
+            ends = np.cumsum(n)
+            part = total[ends] - total[ends - n]
+            out.append((bucket, name, slots, part.astype(np.uint8 if slots is None else np.uint32).tobytes(), None, None, None, None, None))
         yield _packs(out)
 
 
@@ -233,6 +241,8 @@ def _sum_shared(batches):
             for r in rows:
                 if r[2] is not None:
                     total[np.frombuffer(r[2], np.uint16)] += np.frombuffer(r[3], np.uint32)
+                elif r[3] is not None:
+                    total += np.frombuffer(r[3], np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (about[5], about[6], about[7], about[8], total)],
                                              names=["doc_id", "row", "n_shingles", "node", "shared"])
 
@@ -413,11 +423,22 @@ def _bitmap(batches):
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose key is in ``wanted`` (row, ...), with its columns.
+    """Rows of ``docs`` whose ``row`` is in ``wanted`` (row, ...), with its columns; most others stay out of the shuffle."""
+    return docs.where(_may_hold(wanted)("row")).join(wanted.hint("merge"), "row")
+
+
+def _without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is not in ``gone`` (row); only rows that may be are shuffled."""
+    may_hold = _may_hold(gone)(key)
+    return docs.where(~may_hold).unionByName(docs.where(may_hold).join(gone.hint("merge"), key == gone["row"], "left_anti"))
 
-    A bitmap of a fixed size, whatever the data, keeps most other texts out of the shuffle; the join decides.
+
+def _may_hold(wanted: DataFrame):
+    """A test of keys: false for most that are not in ``wanted``, true for all that are.
+
+    A bitmap of a fixed size, whatever the data; where it fills up, it tests less and stays right.
     """
-    spark = docs.sparkSession
+    spark = wanted.sparkSession
     parts = wanted.select("row").mapInArrow(_bitmap, "at int, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte"))
     data = np.zeros(FILTER_BITS // 8, np.uint8)
     for batch in parts.toArrow().to_batches():
@@ -430,7 +451,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         at = rows.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(FILTER_BITS)
         return pa.array((flags[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1)
 
-    return docs.where(may_hold("row")).join(wanted, "row")
+    return may_hold
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -461,7 +482,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: int = THR
     blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     wanted = stage(clusters.join(blocks, "component").select(
         "node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "wanted")
-    texts = texts.select("node", "text").join(wanted, "node")
+    texts = texts.select("node", "text").join(wanted.hint("merge"), "node")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     paired = texts.select("cluster", "own", "node", "text", F.explode(others).alias("other")).select(
         "cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "text")
@@ -486,9 +507,11 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     Rows that repeat the kept doc_id in its component are dropped too; rows with a null id are kept.
     """
     report = stage(jaccard_components(docs, words, threshold), "components")
-    gone = report.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if report.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").head(1):
-        twice = report.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    key = F.xxhash64(F.col("doc_id").cast("bigint"))
+    gone = stage(report.where("doc_id <> component_id").select(key.alias("row"), "doc_id").distinct().select("row"), "gone")
+    release(docs.sparkSession)
+    kept = _without(docs, key, gone)
+    twice = report.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.head(1):
         kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return kept.select(*docs.columns)

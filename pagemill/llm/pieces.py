@@ -33,7 +33,7 @@ COMMIT_EVERY = 64
 #: Chunks remembered while texts are encoded one by one; then the table starts anew.
 REMEMBERED = 100_000
 #: Characters of texts whose chunks are searched together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 DEFAULT_MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 
 

@@ -30,8 +30,10 @@ LEAST_SEEN = 3
 CAUTION = 1.3
 #: Characters counted together.
 TOGETHER = 1 << 19
+#: Features counted in a task before they go out.
+COUNTED = 150_000
 #: Words a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 THRESHOLD = 0.7
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœ"
@@ -202,15 +204,21 @@ def weight(pos: float, neg: float, n_pos: float, n_neg: float) -> float:
 
 
 def _feature_counter(shared):
+    def rows(total: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in total], pa.string()), pa.array([int(k[1] == 1) * n for k, n in total.items()], pa.int64()),
+             pa.array([int(k[1] != 1) * n for k, n in total.items()], pa.int64())], names=["feature", "pos", "neg"])
+
     def count(batches):
         model, total = shared.value, Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = {f for t in tokens_of(text or "") for w in readings(t, model) for f in features(w)}
                 total.update((f, toxic) for f in found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in total], pa.string()), pa.array([int(k[1] == 1) * n for k, n in total.items()], pa.int64()),
-             pa.array([int(k[1] != 1) * n for k, n in total.items()], pa.int64())], names=["feature", "pos", "neg"])
+                if len(total) > COUNTED:
+                    yield rows(total)
+                    total = Counter()
+        yield rows(total)
     return count
 
 
