@@ -34,7 +34,7 @@ ZONES = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog",
 ROOTS = {"article", "main"}
 BLOCKS = {"p", "div", "article", "main", "section", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table",
           "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "figure", "figcaption", "address", "body", "html", "hr",
-          "details", "summary", "fieldset", "center", "hgroup", "search", *ZONES}
+          "details", "summary", "fieldset", "center", "hgroup", "search", *(ZONES - {"button"})}
 CLOSES_OWN = {"li", "td", "th", "tr", "dt", "dd"}
 VOID = {"br", "hr", "img", "meta", "link", "input", "wbr", "source", "area", "base", "col", "embed", "track", "param"}
 BAD_NAMES = re.compile(

@@ -99,7 +99,7 @@ def letter_model(docs: DataFrame, text: str = "text") -> LetterModel:
 
 
 def suspicious(token: str) -> bool:
-    return bool(INNER.search(token) or DRAWN.search(token))
+    return " " in token or bool(INNER.search(token) or DRAWN.search(token))
 
 
 def restore(token: str, model: LetterModel, best: int = 3) -> list[str]:
