@@ -219,9 +219,11 @@ def attribute(attrs: Column, name: str) -> Column:
     values = F.regexp_extract_all(attrs, F.lit(ATTRIBUTE_PATTERN), F.lit(2))
     value = F.get(values, F.array_position(names, F.lit(name)).cast("int") - 1)
     bare = F.regexp_replace(value, r"""^["']|["']$""", "")
-    # References in attribute values: only the ampersand occurs in addresses.
-    return F.when(F.contains(F.lower(attrs), F.lit(name)),
-                  F.replace(bare, F.lit("&amp;"), F.lit("&")))
+    # The references that can stand for a sign of an address or of markup; the ampersand last, so nothing is decoded twice.
+    for sign, references in (('"', "&(quot|#34|#x22);"), ("'", "&(apos|#39|#x27);"), ("<", "&(lt|#60|#x3c);"),
+                             (">", "&(gt|#62|#x3e);"), ("&", "&(amp|#38|#x26);")):
+        bare = F.regexp_replace(bare, f"(?i){references}", sign)
+    return F.when(F.contains(F.lower(attrs), F.lit(name)), bare)
 
 
 def let(value: Column, body) -> Column:

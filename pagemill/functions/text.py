@@ -108,6 +108,11 @@ def slug(x: Column) -> Column:
     return F.replace(x, F.lit(" "), F.lit("_"))
 
 
+def folder_name(x: Column) -> Column:
+    """A slug that tells all terms apart, as a folder is replaced whole."""
+    return slug(F.replace(F.replace(x, F.lit("%"), F.lit("%25")), F.lit("_"), F.lit("%5F")))
+
+
 def iso_time(ts: Column) -> Column:
     """ISO timestamp text; fractional seconds only when there are any."""
     return F.concat(

@@ -24,8 +24,11 @@ def positioned(rows: DataFrame, group: list[str], page: str, order: list[str],
     """Add the 1-based position of each row in ``group`` by (page, order).
 
     ``rows`` is read twice; hand in a table that is cheap to read (a staged one,
-    or a narrow projection), not an extraction.
+    or a narrow projection), not an extraction.  Rows without a page come first, as page 0.
     """
+    wanted = [*rows.columns, name]
+    rows = rows.withColumn("_page", F.coalesce(F.col(page), F.lit(0)))
+    page = "_page"
     block = F.floor(F.col(page) / PAGE_BLOCK)
     per_page = rows.groupBy(*group, page).agg(F.count(F.lit(1)).alias("_rows"))
     per_block = (per_page.groupBy(*group, block.alias("_block"))
@@ -47,7 +50,7 @@ def positioned(rows: DataFrame, group: list[str], page: str, order: list[str],
     return (rows.withColumn("_place", in_page)
             .join(page_start, [*group, page])
             .withColumn(name, (F.col("_start") + F.col("_place")).cast("bigint"))
-            .drop("_place", "_start"))
+            .select(*wanted))
 
 
 def within_cap(seq: Column, cap: Column) -> Column:

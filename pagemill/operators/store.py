@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import compact_time, iso_time, slug
+from pagemill.functions.text import compact_time, folder_name, iso_time, slug
 from pagemill.operators.links import unseen
 from pagemill.operators.sequence import chunk_no, keep_first, positioned, spread_join
 from pagemill.schemas import PRODUCT_FIELDS
@@ -30,7 +30,7 @@ def appended(store: DataFrame, batch: DataFrame, dedup_scope: str = "term") -> D
 
 def write_store(products: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet by market and term slug; rows are spread so no term is one file writer."""
-    (products.withColumn("term_slug", slug(F.col("search_term")))
+    (products.withColumn("term_slug", folder_name(F.col("search_term")))
      .write.mode(mode).partitionBy("market", "term_slug").parquet(path))
 
 
@@ -76,7 +76,7 @@ def snapshot_rows(current: DataFrame, snapshot: DataFrame, keys: list[str]) -> D
 
 def write_snapshot(rows: DataFrame, path: str) -> None:
     """Replace the snapshot of the keys in ``rows``, leave the others as they are."""
-    (rows.withColumn("term_slug", slug(F.col("search_term")))
+    (rows.withColumn("term_slug", folder_name(F.col("search_term")))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("market", "term_slug").parquet(path))
 
@@ -99,7 +99,7 @@ def save_or_quarantine(batch: DataFrame, save, path: str, at: Column) -> bool:
         save()
         return True
     except Exception as failure:
-        reason = f"{type(failure).__name__}: {failure}".splitlines()[0][:500]
+        reason = f"{type(failure).__name__}: {failure}"
         quarantine(batch, F.lit(reason), at).write.mode("append").parquet(path)
         return False
 

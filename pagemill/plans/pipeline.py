@@ -80,12 +80,19 @@ def run(captures: DataFrame, terms: DataFrame, rules: DataFrame,
     links = stage(keep_first(search_links(pages).drop("captured_at"), keys, order), "links")
     found = stage(link_products(links, products), "found")
     placed = positioned(found, TERM, "page_num", ["pos"])
-    capped = spread_join(placed, terms, TERM, F.col("seq"))
+    capped = spread_join(placed, one_cap(terms), TERM, F.col("seq"))
     kept = capped.where(within_cap(F.col("seq"), F.col("max_items")))
     stored = stage(kept, "stored")
     return Run(pages, found, stored, run_summary(terms, pages, found, stored))
 
 
+def one_cap(terms: DataFrame) -> DataFrame:
+    """One row per term; of several requests the widest counts, and no cap is wider than any."""
+    cap = F.nullif("max_items", F.lit(0))
+    return terms.groupBy(*TERM).agg(
+        F.when(F.count(cap) == F.count(F.lit(1)), F.max(cap)).alias("max_items"))
+
+
 def capture_rejects(captures: DataFrame, rules: DataFrame, page_type: str) -> DataFrame:
     return page_rejects(checked_pages(captures, rules, page_type),
                         ["market", "search_term", "url"])

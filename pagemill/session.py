@@ -41,4 +41,6 @@ def work_dir(spark: SparkSession, name: str) -> str:
             or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     if base:
         return f"{base.rstrip('/')}/pagemill/{name}-{uuid.uuid4().hex[:12]}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"pagemill-{name}-")

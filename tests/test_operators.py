@@ -214,3 +214,30 @@ def test_scalars(spark):
     assert val(U.item_id(F.lit("https://h/itm/12#f?x"))) == "12#f"
     assert val(U.quote_plus(F.lit("a b~*é&"))) == "a+b~%2A%C3%A9%26"
     assert val(X.first_filled(F.lit(""), F.lit(None).cast("string"), F.lit("z"))) == "z"
+
+
+def test_positions_keep_rows_without_a_page(spark):
+    rows = spark.createDataFrame([("a", None, 2), ("a", None, 1), ("a", 1, 1)], "t string, page int, pos int")
+    got = positioned(rows, ["t"], "page", ["pos"]).collect()
+    assert sorted((r.seq, r.page, r.pos) for r in got) == [(1, None, 1), (2, None, 2), (3, 1, 1)]
+
+
+def test_unreadable_caps_are_refused(spark):
+    from pagemill.sources.terms import refused_requests, search_terms
+    asked = spark.createDataFrame([("US", "a, b", "12 items"), ("US", "c", "5.0"), ("US", "d", " "), ("US", "e", "7"), ("US", "f", None)],
+                                  "market string, terms string, max_items string")
+    assert sorted((r.search_term, r.max_items) for r in search_terms(asked).collect()) == [("d", None), ("e", 7), ("f", None)]
+    assert refused_requests(asked).count() == 2
+
+
+def test_one_cap_for_a_repeated_term(spark):
+    from pagemill.plans.pipeline import one_cap
+    terms = spark.createDataFrame([("US", "a", 5), ("US", "a", 9), ("US", "b", 3), ("US", "b", None)],
+                                  "market string, search_term string, max_items int")
+    assert {r.search_term: r.max_items for r in one_cap(terms).collect()} == {"a": 9, "b": None}
+
+
+def test_snapshot_folders_differ(spark, tmp_path):
+    from pagemill.functions.text import folder_name
+    terms = spark.createDataFrame([("a b",), ("a_b",), ("a%5Fb",)], "t string")
+    assert terms.select(folder_name(F.col("t")).alias("f")).distinct().count() == 3

@@ -26,7 +26,7 @@ l0 AS (SELECT p_partkey AS k, {_market('p_partkey')} AS market, lower(p_type) AS
               p_name, p_brand AS b, p_type AS kind, CAST(p_size AS VARCHAR) AS size, s_name AS seller,
               CAST(round(p_retailprice * 100) AS BIGINT) AS cents,
               make_timestamp((1700000000 + p_partkey) * 1000000) AS captured_at
-       FROM part JOIN supplier ON s_suppkey = p_partkey % 10),
+       FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)),
 l1 AS (SELECT *, {_base_url('market')} || '/itm/' || k AS url,
               k % 53 <> 0 AS live, k % 53 <> 0 AND k % 47 <> 0 AS money,
               k % 53 <> 0 AND k % 59 <> 0 AND k % 47 <> 0 AS ok,
@@ -388,6 +388,6 @@ ORACLE: dict[str, str] = {
            WHERE coalesce(seq <= CASE WHEN market IN ('AU', 'GB') THEN 5 WHEN market = 'US' THEN 20 END, true)"""),
     "q_stream_reset": _listing(
         """SELECT CAST(r AS INTEGER) AS run_id, market, search_term, count(*) AS products
-           FROM done, range(1, 3) t(r) WHERE page_num % 3 <> 2 GROUP BY ALL"""),
+           FROM done, range(1, 3) t(r) GROUP BY ALL"""),
     "q_stream_resume": _listing("SELECT market, search_term, url, title FROM done"),
 }

@@ -764,7 +764,7 @@ def q_stream_cap(spark, sf):
 @query
 def q_stream_reset(spark, sf):
     """Two runs over the same captures: each starts with nothing seen."""
-    path = _stream_input(spark, sf, [0, 1, 0])
+    path = _stream_input(spark, sf, [0, 1, 2, 0])
     runs = _products_from(spark, path).select("market", "search_term", "url",
                            F.explode(F.array(F.lit(1), F.lit(2))).alias("run_id"))
     seen = flow.first_seen(runs, ["run_id", "market", "search_term", "url"])

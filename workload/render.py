@@ -171,9 +171,10 @@ def listing_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     market = market_of(k)
     base = rules(spark).select("market", "base_url")
-    parts = table(spark, sf_dir, "part").withColumn("market", market).withColumn("_seller", k % 10)
-    sellers = (table(spark, sf_dir, "supplier").where(F.col("s_suppkey") < 10)
-               .select(F.col("s_suppkey").alias("_seller"), "s_name"))
+    suppliers = table(spark, sf_dir, "supplier")
+    parts = (table(spark, sf_dir, "part").withColumn("market", market)
+             .withColumn("_seller", k % max(1, suppliers.count())))
+    sellers = suppliers.select(F.col("s_suppkey").alias("_seller"), "s_name")
     return (
         spread(parts.join(sellers, "_seller").join(F.broadcast(base), "market"))
         .select("market", F.lower("p_type").alias("search_term"),
