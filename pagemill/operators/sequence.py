@@ -102,19 +102,25 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: Co
 
 # Rows of one key that a single join task takes.
 ROWS_PER_SLICE = 1_000_000
+# Hot keys that are broadcast; more of them are joined like any table.
+MAX_HOT_KEYS = 100_000
 
 
 def hot_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: Column,
              how: str = "inner", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Join where only keys with more than ``rows_per_slice`` rows in ``big`` are split.
 
-    Counts are combined on the map side.  At most ``|big| / rows_per_slice`` keys
-    can be hot, which bounds the broadcast: 10**11 links, more than 100 TB of
-    pages can hold, give 10**5 keys.  ``big`` is read twice; hand in a staged table.
+    Counts are combined on the map side and the hot keys are counted first: without any
+    the join is a plain one, and they are broadcast only up to ``MAX_HOT_KEYS``.
+    ``big`` is read more than once; hand in a staged table.
     """
-    hot = F.broadcast(
-        big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slice)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices")))
+    hot = (big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slice)
+           .select(*keys, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices")))
+    n_hot = hot.count()
+    if not n_hot:
+        return big.join(small, keys, how)
+    if n_hot <= MAX_HOT_KEYS:
+        hot = F.broadcast(hot)
     slices = F.coalesce("_slices", F.lit(1))
     split = (big.join(hot, keys, "left")
              .withColumn("_slice", F.pmod(F.xxhash64(spread_by), slices).cast("int")).drop("_slices"))

@@ -12,6 +12,8 @@ from pagemill.schemas import PRODUCT_FIELDS
 
 # Products per envelope part; a term of any size is a run of bounded parts.
 ENVELOPE_PART = 1000
+# Tasks that write the rows of one term.
+WRITERS = 16
 
 DEDUP_KEYS = {"term": ["market", "search_term", "url"], "market": ["market", "url"]}
 
@@ -19,8 +21,15 @@ DEDUP_KEYS = {"term": ["market", "search_term", "url"], "market": ["market", "ur
 def new_products(batch: DataFrame, store: DataFrame, dedup_scope: str = "term") -> DataFrame:
     """First copy of each product in the batch that the store does not hold."""
     keys = DEDUP_KEYS[dedup_scope]
-    order = [c for c in ("search_term", "page_num", "pos") if c not in keys]
-    return unseen(keep_first(batch, keys, order), store, keys)
+    return unseen(keep_first(batch, keys, first_by(batch, keys)), store, keys)
+
+
+def first_by(rows: DataFrame, keys: list[str]) -> list[str]:
+    """What decides the first copy - the place of the term in the request where known, else of the capture in time."""
+    when = ["term_no"] if "term_no" in rows.columns else ["captured_at"] if "captured_at" in rows.columns else []
+    if "search_term" in keys:
+        when = []
+    return [c for c in (*when, "search_term", "page_num", "pos") if c in rows.columns and c not in keys]
 
 
 def appended(store: DataFrame, batch: DataFrame, dedup_scope: str = "term") -> DataFrame:
@@ -29,9 +38,14 @@ def appended(store: DataFrame, batch: DataFrame, dedup_scope: str = "term") -> D
 
 
 def write_store(products: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by market and term slug; rows are spread so no term is one file writer."""
+    """Parquet by market and term slug.
+
+    Rows go to writers by (market, term, a hash of the address): a term has at most ``WRITERS``
+    files a write, however many tasks made its rows, and a large term is not one writer's.
+    """
+    spread = F.pmod(F.xxhash64("url"), F.lit(WRITERS))
     (products.withColumn("term_slug", folder_name(F.col("search_term")))
-     .write.mode(mode).partitionBy("market", "term_slug").parquet(path))
+     .repartition("market", "term_slug", spread).write.mode(mode).partitionBy("market", "term_slug").parquet(path))
 
 
 def store_file_name(market: Column, term: Column, prefix: str = "products") -> Column:
@@ -58,14 +72,14 @@ def fingerprint(products: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def changed_since(current: DataFrame, snapshot: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of ``current`` whose rows differ from the last snapshot."""
+    """Keys whose rows differ from the last snapshot; one that vanished has 0 rows and is changed."""
     now, then = fingerprint(current, keys), fingerprint(snapshot, keys)
     digest = ["rows", "xor", "sum"]
-    joined = now.join(then.select(*keys, *[F.col(c).alias(f"_{c}") for c in digest]), keys, "left")
+    joined = now.join(then.select(*keys, *[F.col(c).alias(f"_{c}") for c in digest]), keys, "full")
     same = F.lit(True)
     for c in digest:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return joined.select(*keys, "rows", (~same).alias("changed"))
+    return joined.select(*keys, F.coalesce("rows", F.lit(0)).alias("rows"), (~same).alias("changed"))
 
 
 def snapshot_rows(current: DataFrame, snapshot: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,14 +107,17 @@ def quarantine(rows: DataFrame, reason: Column, at: Column) -> DataFrame:
             .withColumn("quarantined_at", compact_time(at)))
 
 
-def save_or_quarantine(batch: DataFrame, save, path: str, at: Column) -> bool:
-    """Run ``save()``; if it fails, keep the batch aside with the reason. True when saved."""
+def save_or_quarantine(batch: DataFrame, save, path: str, at: Column, mode: str = "append") -> bool:
+    """Run ``save()``; if it fails, keep the batch aside with the reason. True when saved.
+
+    With ``mode`` overwrite ``path`` is the batch's own folder, which a replay replaces.
+    """
     try:
         save()
         return True
     except Exception as failure:
         reason = f"{type(failure).__name__}: {failure}"
-        quarantine(batch, F.lit(reason), at).write.mode("append").parquet(path)
+        quarantine(batch, F.lit(reason), at).write.mode(mode).parquet(path)
         return False
 
 
@@ -113,7 +130,9 @@ def envelopes(products: DataFrame, requested: Column, updated_at: Column,
     part order their arrays are the term's products in order.
     """
     term = ["market", "search_term"]
-    totals = products.groupBy(*term).agg(F.count(F.lit(1)).alias("total_products"))
+    # One small row a part, so that a large term's parts are not joined on the term.
+    totals = products.groupBy(*term).agg(F.count(F.lit(1)).alias("total_products")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), chunk_no(F.col("total_products"), part_size))))
     record = F.struct("seq", F.struct(*PRODUCT_FIELDS).alias("product"))
     parts = (
         positioned(products, term, "page_num", ["pos", "url"])
@@ -121,7 +140,7 @@ def envelopes(products: DataFrame, requested: Column, updated_at: Column,
         .groupBy(*term, "part").agg(F.array_sort(F.collect_list(record)).alias("_rows"),
                                     F.max(updated_at).alias("_at"),
                                     F.max(requested).cast("bigint").alias("_asked")))
-    return parts.join(totals, term).select(
+    return parts.join(totals, [*term, "part"]).select(
         *term, "part", F.struct(
             F.transform("_rows", lambda r: r["product"]).alias("products"),
             F.col("total_products"), F.col("_asked").alias("requested_items"),

@@ -69,7 +69,7 @@ if __name__ == "__main__":
     spark, con = session(), duck(sf)
     sqls, failed = oracle_sql(), []
     for name, query in queries().items():
-        if names and name not in names:
+        if name not in sqls or names and name not in names:
             continue
         start = time.time()
         try:

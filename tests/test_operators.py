@@ -160,7 +160,7 @@ def test_envelope_round_trip(spark, tmp_path):
     assert {p.envelope.total_products for p in parts} == {11}
     path = str(tmp_path / "store")
     write_envelopes(out, path)
-    folder = tmp_path / "store" / "market=US" / "term_slug=bad" / "part=0"
+    folder = tmp_path / "store" / "market=US" / "term_slug=bad"
     folder.mkdir(parents=True)
     (folder / "part-0.txt").write_text('{"products": [')
     (folder / "part-1.txt").write_text("")
@@ -241,3 +241,40 @@ def test_snapshot_folders_differ(spark, tmp_path):
     from pagemill.functions.text import folder_name
     terms = spark.createDataFrame([("a b",), ("a_b",), ("a%5Fb",)], "t string")
     assert terms.select(folder_name(F.col("t")).alias("f")).distinct().count() == 3
+
+
+def test_shrunk_envelope_replaces_its_parts(spark, tmp_path):
+    path, at = str(tmp_path / "store"), F.timestamp_seconds(F.lit(0))
+
+    def save(rows):
+        write_envelopes(envelopes(products(spark, rows), F.lit(20), at, part_size=2), path)
+
+    save([("US", t, 1, i, f"{t}{i}", "t") for t in ("a b", "a_b") for i in range(6)])
+    save([("US", "a b", 1, i, f"new{i}", "t") for i in range(2)])
+    back = stored_products(read_envelopes(spark, path), ["term_slug", "part"]).collect()
+    assert sorted(r.url for r in back) == ["a_b0", "a_b1", "a_b2", "a_b3", "a_b4", "a_b5", "new0", "new1"]
+    assert sorted({r.part for r in back if r.url.startswith("a_b")}) == [0, 1, 2]
+    assert {r.part for r in back if r.url.startswith("new")} == {None}
+
+
+def test_vanished_terms_are_reported(spark):
+    a = products(spark, [("US", t, 1, i, f"u{i}", "t") for t in "ab" for i in range(2)])
+    got = changed_since(a.where("search_term = 'a'"), a, ["market", "search_term"]).collect()
+    assert sorted((r.search_term, r.rows, r.changed) for r in got) == [("a", 2, False), ("b", 0, True)]
+
+
+def test_the_first_request_keeps_a_product_of_several_terms(spark):
+    rows = products(spark, [("US", "a", 1, 0, "u", "t"), ("US", "b", 9, 9, "u", "t")])
+    asked = rows.withColumn("term_no", F.when(F.col("search_term") == "b", 0).otherwise(1))
+    assert new_products(asked, rows.limit(0), "market").first().search_term == "b"
+    assert new_products(rows, rows.limit(0), "market").first().search_term == "a"
+
+
+@pytest.mark.parametrize("rows_per_slice, max_hot", [(10, 100_000), (10, 0), (10**6, 100_000)])
+def test_hot_join_equals_join(spark, monkeypatch, rows_per_slice, max_hot):
+    from pagemill.operators import sequence
+    monkeypatch.setattr(sequence, "MAX_HOT_KEYS", max_hot)
+    big = spark.range(200).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), "id")
+    small = spark.range(0, 150, 2).select(F.col("id").alias("k"), (F.col("id") * 7).alias("v"))
+    want = big.join(small, ["k"], "left")
+    assert same_rows(sequence.hot_join(big, small, ["k"], F.col("id"), "left", rows_per_slice), want).first()[0]

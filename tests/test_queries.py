@@ -9,13 +9,15 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.compare import compare, duck
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 USUAL = ["q_product_fields", "q_validate", "q_search_requests", "q_market_dim", "q_page_elements",
          "q_sel_all", "q_capture_outcome", "q_has_next", "q_page_reach", "q_cap_per_term",
          "q_link_products", "q_upsert_new", "q_store_envelope", "q_run_summary", "q_collapse",
          "q_stream_cap", "q_stream_resume"]
-NAMES = list(queries()) if os.environ.get("PAGEMILL_ALL") else USUAL
+NAMES = list(QUERIES) if os.environ.get("PAGEMILL_ALL") else USUAL
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +26,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
