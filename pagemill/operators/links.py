@@ -48,13 +48,14 @@ def has_next(flags: Column, rule: Column) -> Column:
         .otherwise(href | (~disabled & link)))
 
 
-def page_facts(parsed: DataFrame) -> DataFrame:
-    """One row per search page: its links (array), their number and the next-page state."""
+def page_facts(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per search page: its links (array), their number and the next-page state; ``keep`` are kept too."""
+    keep = keep or []
     return parsed.select(
-        *PAGE_KEY, "base_url", "captured_at", "next_page_rule",
+        *PAGE_KEY, "base_url", "captured_at", "next_page_rule", *keep,
         listing_hrefs().alias("hrefs"), next_page_flags().alias("flags"),
     ).select(
-        *PAGE_KEY, "base_url", "captured_at", "hrefs",
+        *PAGE_KEY, "base_url", "captured_at", *keep, "hrefs",
         F.size("hrefs").cast("bigint").alias("n_links"),
         has_next(F.col("flags"), F.col("next_page_rule")).alias("has_next"))
 

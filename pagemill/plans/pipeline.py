@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import compact_time
 from pagemill.operators.fields import extract_fields, is_complete
-from pagemill.operators.links import link_products, page_facts, reached_pages, search_links
+from pagemill.operators.links import PAGE_KEY, link_products, page_facts, reached_pages, search_links, unseen
 from pagemill.operators.sequence import keep_first, positioned, spread_join, within_cap
-from pagemill.operators.store import DEDUP_KEYS, quarantine
+from pagemill.operators.store import DEDUP_KEYS, first_by, quarantine, write_store
 from pagemill.operators.summary import run_summary
-from pagemill.operators.validate import with_verdict
+from pagemill.operators.validate import attempt_class, capture_outcome, with_verdict
 from pagemill.plans.rules import with_rules
 from pagemill.schemas import PRODUCT_FIELDS
 from pagemill.session import work_dir
@@ -29,6 +30,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent().getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def checked_pages(captures: DataFrame, rules: DataFrame, page_type: str) -> DataFrame:
     """Fetched pages of one kind with their verdict, parsed where worth it."""
     return with_verdict(with_rules(fetched(captures, page_type), rules))
@@ -52,45 +62,99 @@ def first_product_per_url(products: DataFrame) -> DataFrame:
 
 @dataclass
 class Run:
+    """What a run gives: ``stored`` are the new rows, ``rejects`` the captures and rows that failed."""
     pages: DataFrame
     found: DataFrame
     stored: DataFrame
+    rejects: DataFrame
     summary: DataFrame
 
 
+PAGE = ["market", "page_type", "search_term", "url"]
+REJECT = [*PAGE, "page_num", "attempt"]
+CHECKED = [*REJECT, "status", "error", "is_valid", "verdict", "retry_any_status"]
+
+
 def run(captures: DataFrame, terms: DataFrame, rules: DataFrame,
-        dedup_scope: str = "term") -> Run:
-    """Search pages -> links -> products -> caps -> summary, all terms in one job.
+        dedup_scope: str = "term", store: DataFrame | None = None) -> Run:
+    """Search pages -> links -> products -> caps -> new rows, rejects and summary, all terms in one job.
+
+    ``terms`` is (market, search_term, max_items), with the place in the request as ``term_no``
+    where known: of the terms that list a product the first requested keeps it under scope
+    ``market``.  ``store`` holds the products of earlier runs; their links are left out before
+    anything is joined, so the same captures give no row twice.
+
+    Every capture that leads to no product row is in ``rejects`` with a reason and the outcome of
+    its page: an unknown market or page type, an error, a status, a failed check, an incomplete row.
 
-    ``terms`` is (market, search_term, max_items).  Extraction results and links
-    are staged because the joins and positions need two passes over them.  Product
-    pages are parsed where they are read, before the join: fields are a thousandth
-    of the markup, so markup is never shuffled.
+    Extraction results and links are staged because the joins and positions need two passes
+    over them.  Pages are parsed once, where they are read, before any join: fields are a
+    thousandth of the markup, so markup is never shuffled.
     """
-    searches = checked_pages(captures, rules, "search").where("is_valid")
-    pages = stage(reached_pages(stage(page_facts(searches), "facts")), "pages")
+    searches = stage(page_facts(checked_pages(captures, rules, "search"), [c for c in CHECKED if c not in PAGE_KEY]),
+                     "searches")
+    products = stage(extract_fields(checked_pages(captures, rules, "product"), [*CHECKED, "captured_at"]), "products")
+    rejects = stage(run_rejects(captures, rules, searches, products), "rejects")
 
-    wanted = ["market", "url", "captured_at", *[f for f in PRODUCT_FIELDS if f != "url"]]
-    products = first_product_per_url(
-        product_rows(checked_pages(captures, rules, "product"), ["market", "url", "captured_at"])
-        .where(is_complete()).select(*wanted))
+    facts = keep_first(searches.where("is_valid").select(*PAGE_KEY, "base_url", "captured_at", "hrefs", "n_links", "has_next"),
+                       PAGE_KEY, ["captured_at"])
+    facts = stage(facts, "facts")
+    pages = stage(reached_pages(facts), "pages")
 
     keys = DEDUP_KEYS[dedup_scope]
-    order = [c for c in ("search_term", "page_num", "pos") if c not in keys]
-    links = stage(keep_first(search_links(pages).drop("captured_at"), keys, order), "links")
-    found = stage(link_products(links, products), "found")
-    placed = positioned(found, TERM, "page_num", ["pos"])
-    capped = spread_join(placed, one_cap(terms), TERM, F.col("seq"))
-    kept = capped.where(within_cap(F.col("seq"), F.col("max_items")))
+    asked = spread_join(search_links(pages), one_cap(terms), TERM, F.concat_ws("|", "page_num", "pos"))
+    fresh = keep_first(asked, keys, first_by(asked, keys))
+    if store is not None:
+        fresh = unseen(fresh, store, keys)
+    links = stage(fresh.drop("captured_at", "term_no"), "links")
+    wanted = ["market", "url", "captured_at", *[f for f in PRODUCT_FIELDS if f != "url"]]
+    complete = first_product_per_url(products.where(F.col("is_valid") & is_complete()).select(*wanted))
+    found = stage(link_products(links, complete), "found")
+    kept = positioned(found, TERM, "page_num", ["pos"]).where(within_cap(F.col("seq"), F.col("max_items")))
     stored = stage(kept, "stored")
-    return Run(pages, found, stored, run_summary(terms, pages, found, stored))
+    unstage(searches, products, facts, links)
+    return Run(pages, found, stored, rejects, run_summary(terms, pages, found, stored, rejects))
+
+
+def run_rejects(captures: DataFrame, rules: DataFrame, searches: DataFrame, products: DataFrame) -> DataFrame:
+    """Captures that failed, one row each, with the outcome of all attempts at their page.
+
+    Only narrow columns are read again; the outcome is 'success' where another attempt got the page.
+    """
+    known = captures.select(*REJECT, "status", "error", "captured_at").join(
+        F.broadcast(rules.select("market", "retry_any_status")), "market", "left")
+    strange = F.when(F.col("retry_any_status").isNull(), "unknown market").when(
+        ~F.coalesce(F.col("page_type").isin("search", "product"), F.lit(False)), "unknown page type")
+    failed = F.coalesce(strange, F.when(~F.coalesce(F.col("status") == 200, F.lit(False)), F.coalesce(
+        F.nullif("error", F.lit("")), F.concat(F.lit("status "), F.col("status").cast("string")), F.lit("not fetched"))))
+    cols = [*REJECT, "status", "error", "captured_at", "retry_any_status", "is_valid", "reason"]
+    unread = known.withColumn("reason", failed).where("reason is not null").withColumn("is_valid", F.lit(False))
+    judged = F.when(~F.col("is_valid"), F.col("verdict"))
+    tried = unread.select(*cols).unionByName(searches.withColumn("reason", judged).select(*cols)).unionByName(
+        products.withColumn("reason", F.coalesce(judged, F.when(~is_complete(), "incomplete product"))).select(*cols))
+    tried = tried.withColumn("attempt", F.coalesce("attempt", F.lit(1))).withColumn(
+        "attempt_class", attempt_class(F.col("status"), F.col("error"), F.col("is_valid"),
+                                       F.coalesce("retry_any_status", F.lit(False))))
+    lost = tried.where("reason is not null")
+    # An address may be null or shared by any number of captures, so the outcome is joined by a filled, split key.
+    key = F.xxhash64(*PAGE)
+    outcome = capture_outcome(tried.withColumn("_page", key), ["_page"]).select("_page", "outcome")
+    return spread_join(lost.withColumn("_page", key), outcome, ["_page"], F.struct("attempt", "captured_at")).select(
+        *REJECT, "reason", "outcome", compact_time(F.col("captured_at")).alias("quarantined_at"))
+
+
+def save_run(result: Run, store_path: str, quarantine_path: str) -> None:
+    """Append the new rows to the store and set the rejects aside."""
+    write_store(result.stored, store_path)
+    result.rejects.write.mode("append").partitionBy("market").parquet(quarantine_path)
 
 
 def one_cap(terms: DataFrame) -> DataFrame:
     """One row per term; of several requests the widest counts, and no cap is wider than any."""
     cap = F.nullif("max_items", F.lit(0))
+    place = [F.min("term_no").alias("term_no")] if "term_no" in terms.columns else []
     return terms.groupBy(*TERM).agg(
-        F.when(F.count(cap) == F.count(F.lit(1)), F.max(cap)).alias("max_items"))
+        F.when(F.count(cap) == F.count(F.lit(1)), F.max(cap)).alias("max_items"), *place)
 
 
 def capture_rejects(captures: DataFrame, rules: DataFrame, page_type: str) -> DataFrame:

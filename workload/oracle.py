@@ -364,6 +364,24 @@ ORACLE: dict[str, str] = {
                     (SELECT DISTINCT r.market, r.search_term, d.k AS item FROM reached r
                      LEFT JOIN k0 ON r.okey = l_orderkey LEFT JOIN done d ON d.k = k0.item) GROUP BY ALL)
             USING (market, search_term)""", LISTINGS + "," + _REACH),
+    "q_run_store": _search(
+        f"""SELECT market, search_term, page_num, url, seq, title FROM m1 WHERE coalesce(seq <= nullif({_CAP}, 0), true)""",
+        LISTINGS + "," + _REACH + """,
+        m0 AS (SELECT r.market, r.search_term, r.page_num, k0.pos, k0.item, row_number() OVER (
+                 PARTITION BY r.market, k0.item ORDER BY r.okey, r.search_term, r.page_num, k0.pos) AS copy
+               FROM reached r JOIN k0 ON r.okey = k0.l_orderkey),
+        m1 AS (SELECT m0.market, m0.search_term, m0.page_num, d.url, d.title, row_number() OVER (
+                 PARTITION BY m0.market, m0.search_term ORDER BY m0.page_num, m0.pos) AS seq
+               FROM m0 JOIN done d ON d.k = m0.item WHERE copy = 1 AND item % 2 <> 0)"""),
+    "q_run_rejects": _listing(
+        f"""SELECT * FROM (SELECT CASE WHEN k % 37 = 0 THEN 'JP' ELSE market END AS market, url, attempt,
+              CASE WHEN k % 37 = 0 THEN 'unknown market' WHEN z = 5 THEN 'status 404' WHEN z = 6 THEN 'timeout'
+                   WHEN NOT ok THEN {_LISTING_VERDICT}
+                   WHEN title IS NULL OR current_price IS NULL THEN 'incomplete product' END AS reason,
+              CASE WHEN k % 17 = 5 THEN CASE WHEN market = 'NL' AND k % 37 <> 0 THEN 'pending' ELSE 'failed' END
+                   WHEN k % 37 = 0 OR NOT ok THEN 'pending' ELSE 'success' END AS outcome
+            FROM (SELECT *, 1 AS attempt, k % 17 AS z FROM l2 UNION ALL SELECT *, 2, 7 FROM l2 WHERE k % 17 = 6))
+            WHERE reason IS NOT NULL"""),
     "q_store_totals": _search(
         "SELECT market, count(*) AS total_products, count(DISTINCT item) AS distinct_urls FROM links GROUP BY market"),
     "q_dedup_first": _search(

@@ -23,6 +23,7 @@ from pagemill.operators.validate import attempt_class, capture_outcome, with_ver
 from pagemill.plans.pipeline import (checked_pages, page_rejects, product_rows, rejected_products,
                                      run, stage)
 from pagemill.plans.rules import unknown_markets
+from pagemill.schemas import CAPTURE
 from pagemill.session import work_dir
 from pagemill.sources.store_io import read_envelopes, stored_products, write_envelopes
 from pagemill.sources.terms import search_requests, search_terms
@@ -676,7 +677,8 @@ def q_batches(spark, sf):
 # --- summaries -------------------------------------------------------------
 
 def _all_captures(spark, sf):
-    cols = ["market", "search_term", "page_type", "page_num", "url", "status", "html", "captured_at"]
+    cols = ["market", "search_term", "page_type", "page_num", "url", "status", "attempt", "error", "html",
+            "captured_at"]
     return R.listing_captures(spark, sf).select(*cols).unionByName(
         R.search_captures(spark, sf).select(*cols))
 
@@ -686,6 +688,29 @@ def q_run_summary(spark, sf):
     return run(_all_captures(spark, sf), _caps(spark, sf), R.rules(spark)).summary
 
 
+@query
+def q_run_store(spark, sf):
+    """A later run, repeats dropped in the whole market: half of the listings are stored already."""
+    captures = R.listing_captures(spark, sf)
+    had = captures.where(F.col("item") % 2 == 0).select("market", "url")
+    new = run(_all_captures(spark, sf), _caps(spark, sf), R.rules(spark), "market", had).stored
+    return new.select(*TERM, "page_num", "url", "seq", "title")
+
+
+@query
+def q_run_rejects(spark, sf):
+    """Some captures failed, some were tried again, some are of a market without rules."""
+    k = F.col("item")
+    listings = R.listing_captures(spark, sf).withColumn("market", F.when(k % 37 == 0, "JP").otherwise(F.col("market")))
+    first = (listings.withColumn("status", F.when(k % 17 == 5, 404).when(k % 17 != 6, 200))
+             .withColumn("error", F.when(k % 17 == 6, "timeout")))
+    again = listings.where(k % 17 == 6).withColumn("attempt", F.lit(2))
+    searches = R.search_captures(spark, sf)
+    cols = CAPTURE.names
+    captures = first.select(*cols).unionByName(again.select(*cols)).unionByName(searches.select(*cols))
+    return run(captures, _caps(spark, sf), R.rules(spark)).rejects.select("market", "url", "attempt", "reason", "outcome")
+
+
 @query
 def q_store_totals(spark, sf):
     return store_totals(_key_rows(spark, sf), ["market"])
