@@ -116,6 +116,12 @@ def run(captures: DataFrame, terms: DataFrame, rules: DataFrame,
     return Run(pages, found, stored, rejects, run_summary(terms, pages, found, stored, rejects))
 
 
+def not_fetched() -> Column:
+    """Why a capture holds no page; null where it does."""
+    return F.when(~F.coalesce(F.col("status") == 200, F.lit(False)), F.coalesce(
+        F.nullif("error", F.lit("")), F.concat(F.lit("status "), F.col("status").cast("string")), F.lit("not fetched")))
+
+
 def run_rejects(captures: DataFrame, rules: DataFrame, searches: DataFrame, products: DataFrame) -> DataFrame:
     """Captures that failed, one row each, with the outcome of all attempts at their page.
 
@@ -125,8 +131,7 @@ def run_rejects(captures: DataFrame, rules: DataFrame, searches: DataFrame, prod
         F.broadcast(rules.select("market", "retry_any_status")), "market", "left")
     strange = F.when(F.col("retry_any_status").isNull(), "unknown market").when(
         ~F.coalesce(F.col("page_type").isin("search", "product"), F.lit(False)), "unknown page type")
-    failed = F.coalesce(strange, F.when(~F.coalesce(F.col("status") == 200, F.lit(False)), F.coalesce(
-        F.nullif("error", F.lit("")), F.concat(F.lit("status "), F.col("status").cast("string")), F.lit("not fetched"))))
+    failed = F.coalesce(strange, not_fetched())
     cols = [*REJECT, "status", "error", "captured_at", "retry_any_status", "is_valid", "reason"]
     unread = known.withColumn("reason", failed).where("reason is not null").withColumn("is_valid", F.lit(False))
     judged = F.when(~F.col("is_valid"), F.col("verdict"))

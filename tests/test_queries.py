@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 USUAL = ["q_product_fields", "q_validate", "q_search_requests", "q_market_dim", "q_page_elements",
          "q_sel_all", "q_capture_outcome", "q_has_next", "q_page_reach", "q_cap_per_term",
          "q_link_products", "q_upsert_new", "q_store_envelope", "q_run_summary", "q_run_store", "q_run_rejects", "q_collapse",
-         "q_stream_cap", "q_stream_resume"]
+         "q_stream_cap", "q_stream_resume", "q_stream_quarantine"]
 NAMES = list(QUERIES) if os.environ.get("PAGEMILL_ALL") else USUAL
 
 

@@ -25,3 +25,43 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
                       ["page_num", "pos"])
     got = flow.read_store(spark, store).select(*flow.KEEP, "title")
     assert same_rows(got, want).first()[0]
+
+
+def test_a_replay_sets_nothing_aside_twice(spark, tmp_path):
+    captures = R.listing_captures(spark, SF).drop("item", "pos", "page_num")
+    bad = captures.withColumn("status", F.when(F.col("market") == "US", 500).otherwise(F.col("status")))
+    batch = flow.product_stream(bad, R.rules(spark), rejects=True)
+    store, aside = str(tmp_path / "store"), str(tmp_path / "aside")
+    flow.open_store(spark, store)
+    write = flow.upsert_to(store, quarantine_path=aside)
+    write(batch, 0)
+    write(batch, 0)
+    left = spark.read.parquet(aside)
+    assert left.count() + flow.read_store(spark, store).count() == captures.count()
+    assert {r.reason for r in left.where("market = 'US'").collect()} == {"status 500"}
+
+
+def test_a_failing_batch_has_its_own_folder(spark, tmp_path):
+    products = flow.product_stream(R.listing_captures(spark, SF).drop("item").where("market = 'FR'"), R.rules(spark))
+    aside = str(tmp_path / "aside")
+    write = flow.upsert_to(str(tmp_path / "no" / "store"), quarantine_path=aside)  # never opened
+    for _ in range(2):
+        write(products, 3)
+    assert spark.read.parquet(aside).count() == products.count()
+
+
+def test_old_keys_leave_the_state(spark, tmp_path):
+    source = str(tmp_path / "in")
+    schema = "url string, captured_at timestamp"
+    days = [("a", 0), ("b", 0), ("a", 1), ("c", 30), ("d", 60), ("d", 61)]
+    rows = spark.createDataFrame(days, "url string, day int").select(
+        "url", F.timestamp_seconds((F.col("day") + 20_000) * 86400).alias("captured_at"), F.col("day").alias("_d"))
+    for low, high in [(0, 1), (30, 31), (60, 62)]:
+        rows.where(F.col("_d").between(low, high)).drop("_d").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / "out")
+    query = (flow.first_seen(stream, ["url"]).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d"]
+    assert query.lastProgress.stateOperators[0].numRowsTotal < 4

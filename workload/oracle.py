@@ -182,8 +182,8 @@ reached AS (SELECT facts.* FROM facts JOIN ends USING (market, search_term) WHER
 
 ORACLE: dict[str, str] = {
     "q_capture_scan": _search(
-        """SELECT market, 'search' AS page_type, count(*) AS pages FROM s0 GROUP BY ALL
-           UNION ALL SELECT market, 'product', count(*) FROM l0 GROUP BY market""", LISTINGS),
+        """SELECT market, 'search' AS page_type, count(*) AS pages FROM s0 WHERE okey % 13 <> 3 GROUP BY ALL
+           UNION ALL SELECT market, 'product', count(*) FROM l0 WHERE k % 17 <> 5 GROUP BY market""", LISTINGS),
     "q_search_terms": f"WITH {_TERMS} SELECT request, term_no, search_term, max_items FROM r1",
     "q_search_requests": f"""WITH {_TERMS} SELECT DISTINCT market, search_term, CAST(n AS INTEGER) AS page_num,
         {_base_url('market')} || '/sch/i.html?_nkw=' ||
@@ -400,6 +400,12 @@ ORACLE: dict[str, str] = {
     "q_stream_products": _listing(f"SELECT market, search_term, page_num, pos, url, {FIELDS} FROM done"),
     "q_stream_flush": _listing(
         "SELECT CAST(page_num % 3 AS BIGINT) AS batch_id, count(*) AS rows FROM done GROUP BY ALL"),
+    "q_stream_quarantine": _listing(
+        f"""SELECT CASE WHEN k % 37 = 0 THEN 'JP' ELSE market END AS market, url, true AS in_batches, reason,
+                   CASE WHEN reason IS NULL OR reason = 'incomplete product' THEN title END AS title
+            FROM (SELECT *, CASE WHEN k % 37 = 0 THEN 'unknown market' WHEN k % 17 = 5 THEN 'status 404'
+                   WHEN k % 17 = 6 THEN 'timeout' WHEN NOT ok THEN {_LISTING_VERDICT}
+                   WHEN title IS NULL OR current_price IS NULL THEN 'incomplete product' END AS reason FROM l2)"""),
     "q_stream_dedup": _listing("SELECT market, url, title FROM done"),
     "q_stream_cap": _listing(
         """SELECT market, search_term, url FROM (SELECT *, row_number() OVER (PARTITION BY market, search_term

@@ -25,6 +25,7 @@ from pagemill.plans.pipeline import (checked_pages, page_rejects, product_rows,
 from pagemill.plans.rules import unknown_markets
 from pagemill.schemas import CAPTURE
 from pagemill.session import work_dir
+from pagemill.sources.captures import fetched, read_captures, stream_captures
 from pagemill.sources.store_io import read_envelopes, stored_products, write_envelopes
 from pagemill.sources.terms import search_requests, search_terms
 from pagemill.streaming import flow
@@ -87,10 +88,15 @@ def _flat_store_info(df: DataFrame) -> DataFrame:
 
 @query
 def q_capture_scan(spark, sf):
-    both = R.listing_captures(spark, sf).select("market", "page_type", "status", "html").unionByName(
-        R.search_captures(spark, sf).select("market", "page_type", "status", "html"))
-    return (both.where("status = 200").groupBy("market", "page_type")
-            .agg(F.count(F.lit(1)).alias("pages")))
+    """Captures written and read back by their schema; some were not fetched."""
+    cols = [c for c in CAPTURE.names if c != "html"]
+    path = work_dir(spark, "captures") + "/table"
+    listings = R.listing_captures(spark, sf).withColumn("status", F.when(F.col("item") % 17 == 5, 404).otherwise(200))
+    searches = R.search_captures(spark, sf).withColumn("status", F.when(F.col("o_orderkey") % 13 != 3, 200))
+    listings.select(*cols).unionByName(searches.select(*cols)).write.parquet(path)
+    captures = read_captures(spark, path)
+    return (fetched(captures, "product").unionByName(fetched(captures, "search"))
+            .groupBy("market", "page_type").agg(F.count(F.lit(1)).alias("pages")))
 
 
 def _term_texts(spark, sf):
@@ -697,14 +703,23 @@ def q_run_store(spark, sf):
     return new.select(*TERM, "page_num", "url", "seq", "title")
 
 
+def _strange_markets(spark, sf):
+    market = F.when(F.col("item") % 37 == 0, "JP").otherwise(F.col("market"))
+    return R.listing_captures(spark, sf).withColumn("market", market)
+
+
+def _failed_fetches(listings):
+    z = F.col("item") % 17
+    return (listings.withColumn("status", F.when(z == 5, 404).when(z != 6, 200))
+            .withColumn("error", F.when(z == 6, "timeout")))
+
+
 @query
 def q_run_rejects(spark, sf):
     """Some captures failed, some were tried again, some are of a market without rules."""
-    k = F.col("item")
-    listings = R.listing_captures(spark, sf).withColumn("market", F.when(k % 37 == 0, "JP").otherwise(F.col("market")))
-    first = (listings.withColumn("status", F.when(k % 17 == 5, 404).when(k % 17 != 6, 200))
-             .withColumn("error", F.when(k % 17 == 6, "timeout")))
-    again = listings.where(k % 17 == 6).withColumn("attempt", F.lit(2))
+    listings = _strange_markets(spark, sf)
+    first = _failed_fetches(listings)
+    again = listings.where(F.col("item") % 17 == 6).withColumn("attempt", F.lit(2))
     searches = R.search_captures(spark, sf)
     cols = CAPTURE.names
     captures = first.select(*cols).unionByName(again.select(*cols)).unionByName(searches.select(*cols))
@@ -764,6 +779,23 @@ def q_stream_flush(spark, sf):
     return flow.read_store(spark, store).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query
+def q_stream_quarantine(spark, sf):
+    """One start over a capture table without link places, in several batches: products and rejects."""
+    path, out = work_dir(spark, "captures") + "/in", work_dir(spark, "stream")
+    (_failed_fetches(_strange_markets(spark, sf)).select(*CAPTURE.names)
+     .repartition(6, "url").write.parquet(path))
+    rows = flow.product_stream(stream_captures(spark, path, files_per_trigger=2), R.rules(spark), rejects=True)
+    flow.open_store(spark, out + "/store")
+    flow.start_upsert(rows, out + "/store", out + "/checkpoint", quarantine_path=out + "/aside").awaitTermination()
+    stored = flow.read_store(spark, out + "/store")
+    batches = stored.agg((F.count_distinct("batch_id") > 1).alias("in_batches"))
+    aside = spark.read.parquet(out + "/aside").select("market", "url", "title", "reason")
+    return (stored.select("market", "url", "title", F.lit(None).cast("string").alias("reason"))
+            .unionByName(aside.withColumn("title", F.when(F.col("reason") == "incomplete product", F.col("title"))))
+            .join(F.broadcast(batches)))
+
+
 def _stream_to_table(df, spark):
     out = work_dir(spark, "table")
     (df.writeStream.format("parquet").option("path", out + "/rows")
@@ -792,7 +824,7 @@ def q_stream_cap(spark, sf):
 def q_stream_reset(spark, sf):
     """Two runs over the same captures: each starts with nothing seen."""
     path = _stream_input(spark, sf, [0, 1, 2, 0])
-    runs = _products_from(spark, path).select("market", "search_term", "url",
+    runs = _products_from(spark, path).select("market", "search_term", "url", "captured_at",
                            F.explode(F.array(F.lit(1), F.lit(2))).alias("run_id"))
     seen = flow.first_seen(runs, ["run_id", "market", "search_term", "url"])
     return _stream_to_table(seen, spark).groupBy("run_id", "market", "search_term").agg(
