@@ -278,3 +278,26 @@ def test_hot_join_equals_join(spark, monkeypatch, rows_per_slice, max_hot):
     small = spark.range(0, 150, 2).select(F.col("id").alias("k"), (F.col("id") * 7).alias("v"))
     want = big.join(small, ["k"], "left")
     assert same_rows(sequence.hot_join(big, small, ["k"], F.col("id"), "left", rows_per_slice), want).first()[0]
+
+
+def test_a_second_run_adds_nothing_and_names_failed_pages(spark):
+    from pagemill.plans.pipeline import run
+    from pagemill.schemas import CAPTURE
+    from workload import render as R
+    sf = "/root/testdata/sf0.001"
+    captures = R.listing_captures(spark, sf).select(*CAPTURE.names).unionByName(
+        R.search_captures(spark, sf).select(*CAPTURE.names))
+    terms = captures.where("page_type = 'search'").select("market", "search_term", F.lit(None).cast("int").alias("max_items"))
+    once = terms.distinct()
+    first = run(captures, terms, R.rules(spark))  # every term is asked for many times
+    assert first.stored.count() > 0
+    assert first.stored.select("market", "search_term", "url").distinct().count() == first.stored.count()
+    down = captures.withColumn("status", F.when((F.col("market") == "GB") & (F.col("page_type") == "search"), 503)
+                               .otherwise(F.col("status")))
+    second = run(down, once, R.rules(spark), store=first.stored)
+    assert second.stored.count() == 0
+    errors = {(r.market == "GB", r.error) for r in second.summary.collect()}
+    assert errors == {(True, "status 503"), (False, None)}
+    lost = second.rejects.where("page_type = 'search'")
+    assert lost.count() == captures.where("page_type = 'search' and market = 'GB'").count()
+    assert {r.outcome for r in lost.select("outcome").distinct().collect()} == {"pending"}
