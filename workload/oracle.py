@@ -5,9 +5,10 @@ The SQL never looks at markup: it restates from the keys what was rendered.
 
 from __future__ import annotations
 
-from pagemill.plans.rules import MARKETS
-
-_MARKET_LIST = "[" + ",".join(f"'{m.market}'" for m in MARKETS) + "]"
+# Stated here and not taken from the package, so that a wrong rule row shows.
+_MARKET_LIST = "['AU','CA','DE','ES','FR','GB','IT','MX','NL','US']"
+_SUFFIX = """WHEN 'AU' THEN '.com.au' WHEN 'CA' THEN '.ca' WHEN 'DE' THEN '.es' WHEN 'ES' THEN '.es' WHEN 'FR' THEN '.fr'
+    WHEN 'GB' THEN '.co.uk' WHEN 'IT' THEN '.it' WHEN 'MX' THEN '.com.mx' WHEN 'NL' THEN '.nl' WHEN 'US' THEN '.com'"""
 
 
 def _market(key: str) -> str:
@@ -15,8 +16,7 @@ def _market(key: str) -> str:
 
 
 def _base_url(market: str) -> str:
-    cases = " ".join(f"WHEN '{m.market}' THEN '{m.host_suffix}'" for m in MARKETS)
-    return f"('https://www.marketplace' || CASE {market} {cases} END)"
+    return f"('https://www.marketplace' || CASE {market} {_SUFFIX} END)"
 
 
 # All listings; ``live`` pages have a body, ``ok`` ones pass every check.
@@ -164,8 +164,8 @@ _LISTING_VERDICT = """CASE WHEN k % 53 = 0 THEN 'Content too short'
       WHEN k % 59 = 0 THEN CASE WHEN market = 'US' THEN 'Error page: ' ELSE 'Error page detected: ' END || 'Robot Check'
       WHEN k % 47 = 0 THEN CASE WHEN market = 'US' THEN 'Missing element: ' ELSE 'Missing required element: ' END || 'div.x-price-section'
       WHEN market = 'US' THEN 'Content valid' ELSE 'Page content valid' END"""
-_NEXT_RULE = "CASE {m} " + " ".join(
-    f"WHEN '{m.market}' THEN '{m.next_page}'" for m in MARKETS) + " END"
+_NEXT_RULE = """CASE {m} WHEN 'US' THEN 'href_or_open_button' WHEN 'FR' THEN 'button_then_href' WHEN 'GB' THEN 'link'
+    WHEN 'NL' THEN 'link_or_open_button' WHEN 'JP' THEN NULL ELSE 'link_then_button' END"""
 
 _TERMS = f"""
 r0 AS (SELECT o_orderkey AS request, {_market('o_orderkey')} AS market,
