@@ -2,10 +2,10 @@
 
 A page becomes a token stream of blocks.  Blocks in zones that markup itself declares (menus,
 footers, forms, scripts, adverts, comments of readers) are out, blocks inside the page's article are kept,
-and the rest is open.  The open streams of a host's pages are concatenated; their suffixes are sorted
-(by Spark, host by host, split further by their first words), and neighbours that share a long beginning
-across distinct pages are repeated text.  Open blocks covered by such runs are boilerplate; unique
-runs stay.  Suffixes inside an article decide nothing, as repeated text stays there, so they are left out.
+and the rest is open.  The streams outside articles of a host's pages are concatenated and their suffixes sorted into
+one array, spread over Spark's partitions; neighbours that share a long beginning across distinct pages are
+repeated text.  Open blocks covered by such runs are boilerplate; unique runs stay.  Suffixes inside an
+article decide nothing, as repeated text stays there, so they are left out.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +24,6 @@ from pagemill.llm.common import bound_batches, list_array, stage
 
 #: Words that a repeated substring has at least; a shorter block is compared whole.
 LONG = 6
-#: Distinct pages of a host that share it at least.
-PAGES = 2
 #: An open block goes if this share of its words is covered.
 COVERED = 0.5
 
@@ -161,31 +160,63 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def repeated_words(streams: DataFrame, long: int = LONG, pages: int = PAGES) -> DataFrame:
-    """(page, place, covered words): how many words of each block lie in substrings of ``long`` words or more
-    that ``pages`` distinct pages of the host share.
+def _runs(batches):
+    """Runs of equal suffixes in a sorted stretch of the array: (suffix, low, high page).
 
-    ``streams``: host, page, place, words (array).  A suffix is known by its first ``long`` words inside its
-    block, or by the whole rest of a block shorter than that.  Suffixes with one beginning are neighbours in
-    the host's suffix array; a hot beginning is counted on the map side before rows meet.
+    Runs on one page only are left out, but for the first and the last of the stretch, which the next one may continue.
     """
-    size = F.size("words")
+    names = ["suffix", "low", "high"]
+    pending, is_first = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if pending is None else pa.concat_tables([pending, pa.Table.from_batches([batch])])
+        suffix, low, high = table["suffix"].combine_chunks(), *(table[n].to_numpy() for n in names[1:])
+        changes = pc.not_equal(suffix[1:], suffix[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(changes) + 1])
+        runs = pa.Table.from_arrays([suffix.take(pa.array(starts)), pa.array(np.minimum.reduceat(low, starts)),
+                                     pa.array(np.maximum.reduceat(high, starts))], names=names)
+        pending, done = runs.slice(len(starts) - 1), runs.slice(0, len(starts) - 1)
+        if done.num_rows:
+            shared = np.asarray(done["low"]) < np.asarray(done["high"])
+            shared[0] |= is_first
+            is_first = False
+            yield from done.filter(pa.array(shared)).combine_chunks().to_batches()
+    if pending is not None:
+        yield from pending.combine_chunks().to_batches()
+
+
+def repeated_blocks(outside: DataFrame, long: int = LONG, share: float = COVERED) -> DataFrame:
+    """(block): the blocks of which ``share`` of the words lie in substrings of ``long`` words or more that two distinct
+    pages of the host hold.
+
+    ``outside``: host, page, block (hash of host and text), text.  Equal blocks of a host are one entry of the token stream,
+    with its smallest and largest page, so what a host repeats on every page is counted on the map side and enters once.
+    The suffixes of the stream, each known by its first ``long`` words inside its block or by the whole of a shorter
+    block, are sorted over all partitions; the block is part of the order, so a hot beginning spreads over several.  One
+    beginning is one run of neighbours: it is shared if the run spans two pages.  Runs cut by the end of a partition are joined.
+    """
+    streams = outside.groupBy("host", "block", "text").agg(F.min("page").alias("low"), F.max("page").alias("high"))
+    words = F.split("text", " ")
+    size = F.size(words)
     starts = F.sequence(F.lit(0), F.greatest(size - long, F.lit(0)))
-    suffixes = streams.select("host", "page", "place", size.alias("size"), F.explode(starts).alias("at"), "words").select(
-        "host", "page", "place", "size", "at", F.xxhash64("host", F.array_join(F.slice("words", F.col("at") + 1, long), " "), F.least("size", F.lit(long))).alias("suffix"))
-    # Smallest and largest page tell two distinct pages apart without a list of pages.
-    if pages == 2:
-        shared = suffixes.groupBy("suffix").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low < high")
-    else:
-        shared = suffixes.groupBy("suffix", "page").agg(F.lit(1).alias("n")).groupBy("suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= pages)
-    hit = suffixes.join(shared.select("suffix"), "suffix", "left_semi")
-    # Words covered: each hit covers from its start to the next hit's start, or ``long`` words.
-    order = Window.partitionBy("page", "place").orderBy("at")
+    streams = stage(streams, "html-streams")
+    suffixes = streams.select("host", "block", "low", "high", size.alias("size"), words.alias("words"), F.explode(starts).alias("at")).select(
+        "block", "low", "high", "size", "at",
+        F.concat_ws("\n", "host", F.array_join(F.slice("words", F.col("at") + 1, long), " ")).alias("suffix"))
+    array = suffixes.select("suffix", "block", "low", "high").orderBy("suffix", "block")
+    shared = (array.select("suffix", "low", "high").mapInArrow(_runs, "suffix string, low long, high long")
+              .groupBy("suffix").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high"))
+    # A block that two pages hold is repeated as a whole; of the others, words covered: each hit covers from its start to
+    # the next hit's start, or ``long`` words.
+    hit = suffixes.where("low = high").join(shared.select("suffix"), "suffix", "left_semi")
+    order = Window.partitionBy("block").orderBy("at")
     covered = F.least(F.lit(long), F.col("size") - F.col("at"), F.coalesce(F.lead("at").over(order), F.lit(1 << 30)) - F.col("at"))
-    return hit.withColumn("n", covered).groupBy("page", "place").agg(F.sum("n").alias("covered"), F.first("size").alias("size"))
+    partly = hit.withColumn("n", covered).groupBy("block").agg(F.sum("n").alias("covered"), F.max("size").alias("size"))
+    return streams.where("low < high").select("block").unionByName(partly.where(F.col("covered") >= share * F.col("size")).select("block"))
 
 
-def extract_text(pages: DataFrame, long: int = LONG, min_pages: int = PAGES, share: float = COVERED) -> DataFrame:
+def extract_text(pages: DataFrame, long: int = LONG, share: float = COVERED) -> DataFrame:
     """page_id, url, text: the blocks of each page that stay, joined by line feeds.
 
     Null and empty pages give the empty text.  Repeated rows each give their row; two rows with one page_id and
@@ -200,15 +231,15 @@ def extract_text(pages: DataFrame, long: int = LONG, min_pages: int = PAGES, sha
     outside = stage(parsed.select(
         host_of(F.col("url")).alias("host"), "page",
         F.explode(F.filter("blocks", lambda b: b["zone"] != INSIDE)).alias("b")).select(
-        "host", "page", "b.place", "b.zone", F.split("b.text", " ").alias("words")), "html-outside")
-    repeated = repeated_words(outside, long, min_pages).where(F.col("covered") >= share * F.col("size"))
+        "host", "page", "b.place", "b.zone", F.xxhash64("host", "b.text").alias("block"), "b.text"), "html-outside")
     any_open = bool(outside.where(F.col("zone") == OPEN).head(1))
     is_open = F.exists("blocks", lambda b: b["zone"] == OPEN)
     inside = F.filter("blocks", lambda b: b["zone"] == INSIDE)
     texts = [(parsed.where(~is_open) if any_open else parsed).select("page_id", "url", inside.alias("kept"))]
     if any_open:
         # Declared zones were searched with the rest, as they tell what a host repeats; they go in any case.
-        gone = repeated.groupBy("page").agg(F.collect_set("place").alias("gone"))
+        gone = (outside.where(F.col("zone") == OPEN).join(repeated_blocks(outside, long, share), "block", "left_semi")
+                .groupBy("page").agg(F.collect_set("place").alias("gone")))
         kept = F.filter("blocks", lambda b: (b["zone"] == INSIDE) | (b["zone"] == OPEN)
                         & ~F.coalesce(F.array_contains("gone", b["place"]), F.lit(False)))
         texts.append(parsed.where(is_open).join(gone, "page", "left").select("page_id", "url", kept.alias("kept")))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,43 @@ def test_html_repeats(spark):
     assert got[9] == "" and got[10] == shared and got[11] == shared
 
 
+def test_html_suffix_array(spark):
+    """Repeated blocks against brute force; one beginning fills several partitions of the sorted array."""
+    rng = random.Random(5)
+    hot = "one two three four five six"
+    rows = [(f"h{rng.randrange(2)}", page, f"{hot} {rng.randrange(90)}" if rng.random() < 0.4 else
+             " ".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 5, 6, 9, 14])))) for page in range(60) for _ in range(5)]
+
+    def grams(text):
+        words = text.split()
+        return [tuple(words[i:i + 6]) for i in range(max(1, len(words) - 5))]
+
+    owners = {}
+    for host, page, text in rows:
+        for g in grams(text):
+            owners.setdefault((host, g), set()).add(page)
+    want = set()
+    for host, _, text in rows:
+        words, covered = text.split(), set()
+        for i, g in enumerate(grams(text)):
+            if len(owners[host, g]) > 1:
+                covered.update(range(i, i + len(g)))
+        if 2 * len(covered) >= len(words):
+            want.add((host, text))
+    outside = spark.createDataFrame(rows, "host string, page long, text string").withColumn("block", F.xxhash64("host", "text"))
+    gone = html_text.repeated_blocks(outside)
+    got = [(r.host, r.text) for r in outside.select("host", "text", "block").distinct().join(gone, "block").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len({(h, t) for h, _, t in rows})
+
+    def cut(n):
+        keys = ["a", "a", "b", "c", "c", "c", "d"]
+        table = pa.table({"suffix": keys, "low": pa.array([1, 2, 3, 4, 4, 5, 6]), "high": pa.array([1, 2, 3, 4, 4, 5, 6])})
+        return [tuple(r.values()) for b in html_text._runs(table.to_batches(max_chunksize=n)) for r in b.to_pylist()]
+
+    for n in (1, 2, 3, 7):
+        assert cut(n) == [("a", 1, 2), ("c", 4, 5), ("d", 6, 6)]
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([("a", " ".join(prose(7, 4000).split()[:12])), ("b", "ONE two"), ("c", ""), ("d", None),
                                    ("e", " ".join(prose(2, 4000).split()[100:130]))], "item_id string, text string")
