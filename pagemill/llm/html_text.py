@@ -1,10 +1,10 @@
 """Main text of pages, with a host's repeated text found by a suffix array.
 
-A page becomes a token stream of blocks.  Blocks in zones that markup itself declares (menus,
-footers, forms, scripts, adverts, comments of readers) are out, blocks inside the page's article are kept,
-and the rest is open.  The streams outside articles of a host's pages are concatenated and their suffixes sorted into
+A page becomes a token stream of blocks.  Blocks inside the page's article are kept; the array decides on all
+others, and a check of the zones that markup itself declares (menus, footers, forms, scripts, adverts, comments
+of readers) follows.  The streams outside articles of a host's pages are concatenated and their suffixes sorted into
 one array, spread over Spark's partitions; neighbours that share a long beginning across distinct pages are
-repeated text.  Open blocks covered by such runs are boilerplate; unique runs stay.  Suffixes inside an
+repeated text.  Blocks covered by such runs are boilerplate; unique runs stay.  Suffixes inside an
 article decide nothing, as repeated text stays there, so they are left out.
 """
 
@@ -24,7 +24,7 @@ from pagemill.llm.common import bound_batches, list_array, stage
 
 #: Words that a repeated substring has at least; a shorter block is compared whole.
 LONG = 6
-#: An open block goes if this share of its words is covered.
+#: A block outside the article goes if this share of its words is covered.
 COVERED = 0.5
 
 # Names in markup.
@@ -47,7 +47,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
-#: Zones of blocks: open to the suffix array's verdict, inside the article, declared to be no main text.
+#: Zones of blocks: outside the article, inside it, declared to be no main text (outside it too).
 OPEN, INSIDE, DECLARED = 0, 1, 2
 BLOCK = T.ArrayType(T.StructType().add("place", "integer").add("text", "string").add("zone", "integer"))
 
@@ -170,7 +170,9 @@ def _runs(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch]) if pending is None else pa.concat_tables([pending, pa.Table.from_batches([batch])])
+        table = pa.Table.from_arrays(batch.columns, names=names)
+        if pending is not None:
+            table = pa.concat_tables([pending, table])
         suffix, low, high = table["suffix"].combine_chunks(), *(table[n].to_numpy() for n in names[1:])
         changes = pc.not_equal(suffix[1:], suffix[:-1]).to_numpy(zero_copy_only=False)
         starts = np.concatenate([[0], np.flatnonzero(changes) + 1])
@@ -217,35 +219,32 @@ def repeated_blocks(outside: DataFrame, long: int = LONG, share: float = COVERED
 
 
 def extract_text(pages: DataFrame, long: int = LONG, share: float = COVERED) -> DataFrame:
-    """page_id, url, text: the blocks of each page that stay, joined by line feeds.
+    """page_id, url, text, n_repeated: the blocks of each page that stay, joined by line feeds, and how many blocks went
+    because the host repeats them.
 
     Null and empty pages give the empty text.  Repeated rows each give their row; two rows with one page_id and
     url are one page, so their text is not repeated across pages.  Extra columns are left out.
 
-    The first pass writes what lies outside articles, a small part of the pages; the second builds the texts.
-    Only pages with open blocks meet the verdicts in a join; the markup and texts of others are not shuffled.
+    The first pass writes what lies outside articles, a small part of the pages, and the suffix array decides on all of
+    it; the second builds the texts.  The markup is not shuffled; the blocks that may stay are, once.
     """
     bound_batches(pages.sparkSession)
     row = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")))
     parsed = pages.select("page_id", "url", row.alias("page"), blocks_of(F.col("html")).alias("blocks"))
+    # Repeated rows of one page say the same, so each place counts once.
     outside = stage(parsed.select(
         host_of(F.col("url")).alias("host"), "page",
         F.explode(F.filter("blocks", lambda b: b["zone"] != INSIDE)).alias("b")).select(
-        "host", "page", "b.place", "b.zone", F.xxhash64("host", "b.text").alias("block"), "b.text"), "html-outside")
-    any_open = bool(outside.where(F.col("zone") == OPEN).head(1))
-    is_open = F.exists("blocks", lambda b: b["zone"] == OPEN)
-    inside = F.filter("blocks", lambda b: b["zone"] == INSIDE)
-    texts = [(parsed.where(~is_open) if any_open else parsed).select("page_id", "url", inside.alias("kept"))]
-    if any_open:
-        # Declared zones were searched with the rest, as they tell what a host repeats; they go in any case.
-        gone = (outside.where(F.col("zone") == OPEN).join(repeated_blocks(outside, long, share), "block", "left_semi")
-                .groupBy("page").agg(F.collect_set("place").alias("gone")))
-        kept = F.filter("blocks", lambda b: (b["zone"] == INSIDE) | (b["zone"] == OPEN)
-                        & ~F.coalesce(F.array_contains("gone", b["place"]), F.lit(False)))
-        texts.append(parsed.where(is_open).join(gone, "page", "left").select("page_id", "url", kept.alias("kept")))
-    out = texts[0] if len(texts) == 1 else texts[0].unionByName(texts[1])
-    return out.select("page_id", "url", F.array_join(F.transform("kept", lambda b: b["text"]), "\n").alias("text"))
+        "host", "page", "b.place", F.xxhash64("host", "b.text").alias("block"), "b.text"), "html-outside")
+    gone = (outside.select("page", "place", "block").join(repeated_blocks(outside, long, share), "block", "left_semi")
+            .groupBy("page").agg(F.collect_set("place").alias("gone")))
+    # The check after it: what markup declares to be no main text goes too where the host says it once.
+    stays = parsed.withColumn("blocks", F.filter("blocks", lambda b: b["zone"] != DECLARED))
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("gone", b["place"]), F.lit(False)))
+    return stays.join(gone, "page", "left").select(
+        "page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"),
+        F.greatest(F.size("gone"), F.lit(0)).cast("bigint").alias("n_repeated"))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    return extract_text(pages).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_repeated")
