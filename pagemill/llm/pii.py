@@ -4,7 +4,8 @@ Nodes are the tokens of a document that hold a digit or an ``@``.  A token's pot
 its shape; neighbours in the chain share a potential, and so do distant tokens that are equal or
 similar (skip edges).  Loopy belief propagation makes the labels of a document agree: a token
 that the expressions miss is labelled when it repeats, in another form, one that they found.
-Tokens inside base spans are observed.  The potentials are counted over all documents.
+Tokens inside base spans are observed.  The potentials are counted over all documents; a token that repeats
+an observed one counts with that one's label, as the expressions' silence does not say that it is something else.
 """
 
 from __future__ import annotations
@@ -35,11 +36,14 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 
 #: Belief a token needs to become a span.
 CONFIDENT = 0.9
-#: Rounds of message passing.
-ROUNDS = 8
+#: Messages have settled when none changes by more.
+SETTLED = 1e-4
+#: Rounds of message passing at most; evidence takes one, as each token is linked to an observed one of its key.
+ROUNDS = 200
+#: Rounds after which a message moves half the way, so that none swings for ever.
+DAMPED = 50
 #: Digits (or characters around an ``@``) that similar tokens share at least.
 SIMILAR = 7
-#: Tokens of one similarity key that are linked one by one; copies beyond are linked to the key's first token.
 OUTER = ".,;:!?\"'()[]{}<>|*#$%&="
 
 
@@ -138,13 +142,29 @@ def observed(spans: list[tuple[int, int, int]], places: list[tuple[int, int]]) -
     return out
 
 
-def skip_edges(keys: list[str]) -> list[tuple[int, int]]:
-    """Each token with the previous one of its key: all tokens of a key are connected, without all pairs."""
+def partners(keys: list[str], labels: list[int]) -> list[int]:
+    """For each unlabelled token the nearest observed one of its key, the one before if two are as near; else -1."""
+    out = [-1] * len(keys)
+    for order in (range(len(keys)), range(len(keys) - 1, -1, -1)):
+        last: dict[str, int] = {}
+        for i in order:
+            if labels[i]:
+                last[keys[i]] = i
+            elif keys[i] and (at := last.get(keys[i], -1)) >= 0 and (out[i] < 0 or abs(at - i) < abs(out[i] - i)):
+                out[i] = at
+    return out
+
+
+def skip_edges(keys: list[str], partner: list[int]) -> list[tuple[int, int]]:
+    """Each token with the previous one of its key and with its partner: all tokens of a key are connected, without all
+    pairs, and what was observed reaches every copy at once."""
     last, out = {}, []
     for i, key in enumerate(keys):
         if key:
             if key in last:
                 out.append((last[key], i))
+            if partner[i] >= 0 and partner[i] != last.get(key):
+                out.append((partner[i], i))
             last[key] = i
     return out
 
@@ -181,12 +201,16 @@ def beliefs(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]], fixed:
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         message = np.zeros((len(source), unary.shape[1]))
-        for _ in range(rounds):
+        for done in range(rounds):
             total = own.copy()
             np.add.at(total, target, message)
             rest = total[source] - message[back]
             new = np.logaddexp.reduce(rest[:, :, None] + table, axis=1)
-            message = new - np.logaddexp.reduce(new, axis=1, keepdims=True)
+            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+            moved = np.abs(new - message).max()
+            message = new if done < DAMPED else (new + message) / 2
+            if moved <= SETTLED:
+                break
         np.add.at(own, target, message)
     own -= own.max(1, keepdims=True)
     out = np.exp(own)
@@ -202,15 +226,15 @@ def scan_text(text: str, potentials: Potentials | None) -> list[tuple[int, int,
         labels = observed(base, places)
         tokens = [text[s:e] for s, e in places]
         keys = [similar_key(t) for t in tokens]
-        edges = skip_edges(keys)
-        known = {k for k, label in zip(keys, labels) if label and k}
-        if any(not label and k in known for k, label in zip(keys, labels)):
+        partner = partners(keys, labels)
+        edges = skip_edges(keys, partner)
+        if max(partner, default=-1) >= 0:
             graph = [(i, i + 1, potentials.chain) for i in range(len(places) - 1)]
             graph += [(i, j, potentials.skip) for i, j in edges]
             belief = beliefs(potentials.unary[[shape(t) for t in tokens]], graph, labels)
-            for (start, end), p, label, key in zip(places, belief, labels, keys):
+            for (start, end), p, at in zip(places, belief, partner):
                 best = int(p.argmax())
-                if not label and key in known and best and p[best] >= CONFIDENT:
+                if at >= 0 and best and p[best] >= CONFIDENT:
                     out.append((start, best - 1, end, False))
     return sorted(out)
 
@@ -229,9 +253,12 @@ def _count(batches):
                 continue
             labels = observed(base_spans(text), places)
             tokens = [text[s:e] for s, e in places]
+            keys = [similar_key(t) for t in tokens]
+            partner = partners(keys, labels)
+            labels = [labels[at] if at >= 0 else label for label, at in zip(labels, partner)]
             counts.update(("u", shape(t) * width + label) for t, label in zip(tokens, labels))
             counts.update(("c", a * width + b) for a, b in zip(labels, labels[1:]))
-            counts.update(("s", labels[i] * width + labels[j]) for i, j in skip_edges([similar_key(t) for t in tokens]))
+            counts.update(("s", labels[i] * width + labels[j]) for i, j in skip_edges(keys, partner))
     yield pa.RecordBatch.from_arrays(
         [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()),
          pa.array(list(counts.values()), pa.int64())], names=["what", "at", "n"])

@@ -203,6 +203,20 @@ def test_pii_repeats_get_the_label(spark):
     assert found[99] == [] and found[100] == []
 
 
+def test_pii_variants_are_found(spark):
+    """A variant of a known number is found, and so is its 20th copy, also where the shape is common as something else."""
+    once = "call +1 (743) 555-3824 now, or 1-743-555-3824 later; order 12 of 2024"
+    copies = "call +1 (743) 555-3824 now" + ", or 1-743-555-3824 later" * 20
+    rows = [(i, once) for i in range(30)] + [(40, copies), (42, "1-743-555-0000 only")]
+    rows += [(50 + i, f"part 1-{200 + i}-555-{1000 + i} in stock") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: [(s.kind, r.text[s.start:s.end]) for s in r.pii if not s.base] for r in pii.find_pii(table).collect()}
+    assert found[0] == [("phone", "1-743-555-3824")] and found[40] == [("phone", "1-743-555-3824")] * 20
+    assert all(found[i] == [] for i in found if i >= 42)
+    masked = {r.doc_id: r.text for r in pii.mask_pii(table).collect()}
+    assert masked[0] == "call [PHONE] now, or [PHONE] later; order 12 of 2024" and "555" not in masked[40]
+
+
 def test_beliefs_match_enumeration():
     rng = np.random.default_rng(3)
     unary, table = np.log(rng.random((3, 5))), np.log(rng.random((5, 5)))
