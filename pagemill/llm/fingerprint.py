@@ -23,10 +23,8 @@ from pagemill.llm.common import bound_batches, mix64
 
 #: Levels of phrases at most.
 LEVELS = 12
-#: Level from which names count; below, phrases are letters that all texts share.
-FIRST_LEVEL = 3
-#: Code points below which the level before counts too, as a short text has few long phrases.
-SHORT = 1500
+#: Level from which names count, in texts of any length; below, phrases are letters that all texts share.
+FIRST_LEVEL = 2
 #: Hashes kept.
 KEEP = 64
 #: Characters parsed at a time.
@@ -122,7 +120,7 @@ def _parse(texts: list[str], which: list[int], keep: int, out: list[np.ndarray])
         names, first = _level(names, first)
         counts = np.diff(np.append(first, len(names)))
         single = counts == 1
-        use = np.repeat(~done & (single | (level >= FIRST_LEVEL - (sizes < SHORT))), counts)
+        use = np.repeat(~done & (single | (level >= FIRST_LEVEL)), counts)
         gathered.append((names[use], np.repeat(np.arange(len(first)), counts)[use]))
         done |= single
         if done.all():

@@ -100,6 +100,14 @@ def test_fingerprint_is_local():
     assert fingerprint.likeness(alone, moved) > 0.85 and fingerprint.likeness(alone, fingerprint.fingerprints([other])[0]) < 0.2
 
 
+def test_fingerprint_counts_the_same_levels_at_every_length():
+    for size in (300, 1490, 1499, 5000):
+        for seed in range(4):
+            text = prose(20 + seed, size)[:size]
+            cut, longer = fingerprint.fingerprints([text, text + " some more"])
+            assert fingerprint.likeness(cut, longer) > 0.7, (size, seed)
+
+
 def test_html_blocks():
     page = ("<html><head><title>T</title></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; more</h1>"
             "<p><b>first <br> line<p>second<button>x</button> part<!-- c --><script>var a='</p>'</script></p>"
