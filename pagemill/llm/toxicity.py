@@ -35,6 +35,12 @@ COUNTED = 150_000
 #: Words a worker remembers.
 REMEMBERED = 250_000
 THRESHOLD = 0.7
+#: Characters of a token above which what never counts is taken out before it is decoded.
+LONG = 64
+#: Characters decoded at once; longer tokens are decoded in windows that overlap by half.
+WINDOW = 128
+#: Letters of a word found inside a run of spaced letters, and inside another token, at least: shorter ones stand there by chance.
+INSIDE_SPACED, INSIDE = 3, 4
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœ"
 SIZE = len(LETTERS) + 1  # 0: anything else
@@ -149,15 +155,45 @@ def features(word: str) -> list[str]:
             *[f"${word[-n:]}" for n in range(4, min(7, len(word)))]]
 
 
+def shrink(token: str) -> str:
+    """A long token without the characters that every reading drops, and with at most two of one character in a row."""
+    if len(token) <= LONG:
+        return token
+    return re.sub(r"(.)\1{2,}", r"\1\1", "".join(c for c in token if c.isalnum() or c in LOOKS), flags=re.S)
+
+
 def readings(token: str, model: LetterModel) -> list[str]:
     """The words that a token of a lower-case text may be."""
     word = EDGE.sub("", token)
     out = [word] if word else []
-    if len(token) <= 64 and suspicious(word or token):
-        out += restore(word or token, model)
+    if suspicious(word or token) and len(short := shrink(word or token)) <= WINDOW:
+        out += restore(short, model)
     return out
 
 
+def insides(token: str, model: LetterModel) -> list[str]:
+    """Readings of what may hold words anywhere: a run of spaced letters, and each window of a token too long to be one word."""
+    word = EDGE.sub("", token) or token
+    short = shrink(word) if " " in token or len(word) > LONG and suspicious(word) else ""
+    if " " not in token and len(short) <= WINDOW:
+        return []
+    return [r for at in range(0, max(len(short) - WINDOW // 2, 1), WINDOW // 2) for r in restore(short[at:at + WINDOW], model)]
+
+
+def whole_sizes(known) -> list[int]:
+    """Lengths of the whole words among features."""
+    return sorted({len(f) - 1 for f in known if f[0] == "="})
+
+
+def features_of(token: str, model: LetterModel, sizes: list[int]):
+    """Features of a token's readings, and the whole words of ``sizes`` letters that stand anywhere inside."""
+    for word in readings(token, model):
+        yield from features(word)
+    least = INSIDE_SPACED if " " in token else INSIDE
+    for text in insides(token, model):
+        yield from {f"={text[at:at + n]}" for n in sizes if n >= least for at in range(len(text) - n + 1)}
+
+
 def tokens_of(text: str) -> set[str]:
     """The distinct tokens of a text, spaced words among them."""
     low = text.lower()
@@ -171,11 +207,11 @@ class Scorer:
     """Weights of features, and a curve over the two heaviest words of a document."""
 
     def __init__(self, weights: dict[str, float], curve: tuple[float, float, float] = (-3.0, 0.0, 0.0)):
-        self.weights, self.curve = weights, curve
+        self.weights, self.curve, self.sizes = weights, curve, whole_sizes(weights)
 
     def word(self, token: str, model: LetterModel) -> float:
         get = self.weights.get
-        return max((get(f, 0.0) for w in readings(token, model) for f in features(w)), default=0.0)
+        return max((get(f, 0.0) for f in features_of(token, model, self.sizes)), default=0.0)
 
     def heaviest(self, text: str, model: LetterModel, seen: dict[str, float]) -> tuple[float, float]:
         first = second = 0.0
@@ -226,19 +262,19 @@ def _heaviest_left_out(shared_model, shared_counts, n_pos: int, n_neg: int):
     """Heaviest words of the labelled documents, each weighed without the document itself."""
     def run(batches):
         model, counts = shared_model.value, shared_counts.value
+        sizes = whole_sizes(counts)
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 values = []
                 for token in tokens_of(text or ""):
                     best = 0.0
-                    for w in readings(token, model):
-                        for f in features(w):
-                            if f in counts:
-                                pos, neg = counts[f]
-                                pos, neg = (pos - 1, neg) if toxic == 1 else (pos, neg - 1)
-                                if pos >= LEAST_SEEN - 1:
-                                    best = max(best, weight(pos, max(neg, 0), n_pos - (toxic == 1), n_neg - (toxic != 1)))
+                    for f in features_of(token, model, sizes):
+                        if f in counts:
+                            pos, neg = counts[f]
+                            pos, neg = (pos - 1, neg) if toxic == 1 else (pos, neg - 1)
+                            if pos >= LEAST_SEEN - 1:
+                                best = max(best, weight(pos, max(neg, 0), n_pos - (toxic == 1), n_neg - (toxic != 1)))
                     values.append(best)
                 top = sorted(values, reverse=True)[:2] + [0.0, 0.0]
                 rows.append((top[0], top[1], int(toxic == 1)))

@@ -249,6 +249,23 @@ def test_toxicity(spark):
     assert toxicity.toxicity_report(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_long_tokens(spark):
+    """Insults drawn out, spaced out or buried in tokens of any length are found wherever they stand."""
+    bad = ["idiot", "moron", "scum"]
+    rows = [(i, prose(i, 30) + (f" {bad[i % 3]} {prose(i + 1, 5)}" if i % 4 == 0 else "")) for i in range(240)]
+    before, after = " ".join("gammazetathetakappadeltalambda"), " ".join("etabetalambdaiotazetagammaalpha")
+    hidden = {1001: "idi" + "o" * 70 + "t", 1002: "m" * 200 + "o" * 300 + "ron", 1003: f"{before} i d i o t {after}",
+              1004: f"{after} {before} {before} m o r o n", 1005: f"s c u m {after} {before}", 1006: "gammazeta1" * 12 + "idiooot" + "etabeta2" * 14,
+              1007: "i" + ".-" * 20 + "d" + ".-" * 20 + "iot", 1008: "k a p p a i d i o t b e t a"}
+    clean = {1101: f"{before} {after}", 1102: "a" * 500, 1103: "gammazeta1" * 40, 1104: "x " * 80}
+    rows += [(i, f"{prose(i, 12)} {t} {prose(i + 7, 12)}") for i, t in (hidden | clean).items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity_report(docs, labels).collect()}
+    assert all(got[i].predicted for i in hidden), {i: got[i].score for i in hidden}
+    assert not any(got[i].predicted for i in clean), {i: got[i].score for i in clean}
+
+
 def test_sharding(spark, docs):
     rows = sharding.shard_documents(docs, 7).collect()
     slots = {}
