@@ -29,8 +29,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become ids of the vocabulary; the text they decode to comes with them."""
-    return pieces.encode_documents(docs)
+    """Texts become ids of the vocabulary; what the ids decode to comes with them as a digest, and whether it is the text."""
+    return pieces.encode_and_decode(docs)
 
 
 STAGES = [

@@ -439,12 +439,15 @@ def decode_documents(docs: DataFrame, ids: str = "ids", out: str = "decoded", mo
     return docs.withColumn(out, _decoder(shared or share_vocabulary(docs.sparkSession, model))(F.col(ids)))
 
 
+def encode_and_decode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
+    """``docs`` with the ids of each whole text, the digest of the text they decode to, and whether it is the text (null: empty)."""
+    shared = share_vocabulary(docs.sparkSession, model)
+    back = decode_documents(encode_documents(docs, shared=shared), out="_decoded", shared=shared)
+    return back.withColumns({"decoded_sha256": F.sha2(F.col("_decoded").cast("binary"), 256),
+                             "exact": F.col("_decoded") == text_of()}).drop("_decoded")
+
+
 def round_trip(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id, n_ids, ids, the decoded text's digest, and whether it is the text."""
-    shared = share_vocabulary(docs.sparkSession, model)
-    coded = encode_documents(docs.select("doc_id", "text"), shared=shared)
-    back = decode_documents(coded, shared=shared)
-    return back.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids",
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        (F.col("decoded") == text_of()).alias("exact"))
+    return encode_and_decode(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", "decoded_sha256", "exact")

@@ -353,3 +353,9 @@ def test_pipeline(spark):
     assert all(pii.base_spans(r.text) == [] for r in out)
     v = pieces.load_vocabulary()
     assert all(pieces.decode(r.ids, v) == r.text for r in out)
+
+
+def test_pipeline_decodes(spark, docs):
+    import corpus_pipeline
+    out = corpus_pipeline.pieces_stage(spark, docs, "").collect()
+    assert len(out) == docs.count() and all(r.exact and r.decoded_sha256 == sha(r.text or "") for r in out)
