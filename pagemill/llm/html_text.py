@@ -36,34 +36,44 @@ BLOCKS = {"p", "div", "article", "main", "section", "h1", "h2", "h3", "h4", "h5"
           "details", "summary", "fieldset", "center", "hgroup", "search", *(ZONES - {"button"})}
 CLOSES_OWN = {"li", "td", "th", "tr", "dt", "dd"}
 VOID = {"br", "hr", "img", "meta", "link", "input", "wbr", "source", "area", "base", "col", "embed", "track", "param"}
+# Whole class or id tokens.
 BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|banner|sponsor(?:ed)?|promo|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|footer|site-?header|page-?header"
-    r"|cookies?(?:-?\w+)?|consent|notices?|gdpr|newsletter|subscribe|popup|modal|comments?|comment-list|disqus|share|social|related|widget|login|signup)(?:$|[\s_-])", re.I)
+    r"ads?|advert(?:s|isement|ising)?|banner|sponsor(?:ed)?|promo|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|footer|site-?header|page-?header"
+    r"|cookies?(?:-?\w+)?|consent|notices?|gdpr|newsletter|subscribe|popup|modal|comments?|comment-list|disqus|share|social|related|widget|login|signup", re.I)
+#: Elements that hold the page or its article, whatever their names say.
+NEVER_BY_NAME = {"html", "body", *ROOTS}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.I | re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 #: Zones of blocks: outside the article, inside it, declared to be no main text (outside it too).
 OPEN, INSIDE, DECLARED = 0, 1, 2
 BLOCK = T.ArrayType(T.StructType().add("place", "integer").add("text", "string").add("zone", "integer"))
 
 
-def _declared(tag: str, attributes: str) -> bool:
-    """Whether an element's markup declares it to be no main text."""
+def _declared(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element's markup declares it to be no main text, and whether its names alone do.
+
+    Names count as whole tokens.  Inside an article those of headings, and ids of sections, are anchors and say nothing.
+    """
+    named = False
     if tag in ZONES:
-        return True
+        return True, False
     if attributes:
-        if HIDDEN.search(attributes):
-            return True
         for name, value in ATTRIBUTE.findall(attributes):
-            value = value.strip("\"'")
-            if name.lower() == "role" and value.lower() in BAD_ROLES or name.lower() != "role" and tag not in ROOTS and BAD_NAMES.search(value):
-                return True
-    return False
+            name, value = name.lower(), value.strip("\"'")
+            if (name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true"
+                    or name == "style" and NOT_SHOWN.search(value) or name == "role" and value.lower() in BAD_ROLES):
+                return True, False
+            if name in ("class", "id") and tag not in NEVER_BY_NAME and not (
+                    in_article and (tag in HEADINGS or tag == "section" and name == "id")):
+                named |= any(BAD_NAMES.fullmatch(token) for token in value.split())
+    return False, named
 
 
 def page_blocks(page: str) -> list[tuple[str, int]]:
@@ -71,26 +81,45 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
 
     Ends of elements that never began are ignored; elements never closed end with their parent.  Inside a
     block white space is one space.  What an inline element declares to be no main text leaves its
-    block.  A page cut short is read as far as it goes.
+    block.  An element that holds an article is not declared by its names.  A page cut short is read as far as it goes.
     """
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, tuple[int, ...]]] = []  # text, zone, elements by whose names alone it is declared
     kept: list[str] = []
     noise: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, declared, article, head
-    banned = roots = head = 0
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # name, declared, number if by names, article, head
+    banned = roots = head = numbered = 0
+    named: list[int] = []  # open elements declared by names
+    lifted: set[int] = set()  # those of them that turned out to hold an article
+    certain = False  # part of the noise is declared by more than names
+    why: set[int] = set()
 
     def flush() -> None:
+        nonlocal certain
         for parts, zone in ((kept, INSIDE if roots else OPEN), (noise, DECLARED)):
             if parts:
                 text = " ".join(entities.unescape("".join(parts)).split())
                 if text:
-                    out.append((text, zone))
+                    out.append((text, zone, tuple(why) if zone == DECLARED and not certain else ()))
                 parts.clear()
+        certain = False
+        why.clear()
+
+    def add(text: str) -> None:
+        nonlocal certain
+        if banned or named:
+            noise.append(text)
+            if text.strip():
+                certain |= banned > 0
+                why.update(named)
+        else:
+            kept.append(text)
 
     def close(depth: int) -> None:
         nonlocal banned, roots, head
-        for _, bad, root, top in stack[depth:]:
+        for _, bad, number, root, top in stack[depth:]:
             banned -= bad
+            if number and number in named:
+                named.remove(number)
             roots -= root
             head -= top
         del stack[depth:]
@@ -98,7 +127,7 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at and not head:
-            (noise if banned else kept).append(page[at:m.start()])
+            add(page[at:m.start()])
         at = m.end()
         tag = m.group(3)
         if tag is None:
@@ -108,7 +137,7 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
             if tag == "hr":
                 flush()
             elif tag == "br":
-                (noise if banned else kept).append(" ")
+                add(" ")
             continue
         block = tag in BLOCKS
         if block:
@@ -128,15 +157,21 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
                 depth -= 1
             if depth >= 0 and stack[depth][0] in ended:
                 close(depth)
-        bad, root, top = _declared(tag, m.group(4)), tag in ROOTS, tag == "head"
+        (bad, by_name), root, top = _declared(tag, m.group(4), roots > 0), tag in ROOTS, tag == "head"
         banned += bad
+        if root and not roots and not bad:
+            lifted.update(named)
+            named.clear()
+        if by_name:
+            numbered += 1
+            named.append(numbered)
         roots += root
         head += top
-        stack.append((tag, bad, root, top))
+        stack.append((tag, bad, numbered if by_name else 0, root, top))
     if at < len(page) and not head:
-        (noise if banned else kept).append(page[at:])
+        add(page[at:])
     flush()
-    return out
+    return [(text, OPEN if why and lifted.issuperset(why) else zone) for text, zone, why in out]
 
 
 @F.arrow_udf(returnType=BLOCK)

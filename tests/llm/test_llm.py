@@ -117,6 +117,24 @@ def test_html_blocks():
     assert html_text.page_blocks("") == [] and html_text.page_blocks("cut <p") == [("cut", html_text.OPEN)]
 
 
+@pytest.mark.parametrize("page", [
+    "<article class='overflow-hidden'><p>story</p></article>", "<article><p title='hidden gems' data-hidden='x'>story</p></article>",
+    "<html class='cookie-consent'><body class='has-sidebar sidebar'><article>story</article></body></html>",
+    "<div class='content-sidebar-wrap'><article>story</article></div>", "<div class='sidebar'><div id=share><main>story</main></div></div>",
+    "<article><section id='social'>story</section></article>", "<article><h2 id='comments' class='share'>story</h2></article>",
+    "<article><p id='market-share'>story</p></article>"])
+def test_html_names_do_not_take_articles(page):
+    assert html_text.page_blocks(page) == [("story", html_text.INSIDE)]
+
+
+def test_html_names_declare():
+    for mark in ("hidden", "HIDDEN=''", "aria-hidden=true", "style='display: none'", "class='x ad'", "id=comments", "role=navigation"):
+        assert html_text.page_blocks(f"<div {mark}>gone</div><p>stays</p>") == [("gone", html_text.DECLARED), ("stays", html_text.OPEN)], mark
+        assert html_text.page_blocks(f"<article><div {mark}>gone</div>stays</article>") == [("gone", html_text.DECLARED), ("stays", html_text.INSIDE)], mark
+    wrapped = html_text.page_blocks("<div class=sidebar>list<article>story</article>more</div><div class=sidebar>other</div>")
+    assert wrapped == [("list", html_text.OPEN), ("story", html_text.INSIDE), ("more", html_text.OPEN), ("other", html_text.DECLARED)]
+
+
 def test_html_repeats(spark):
     shared = "this host repeats the same long line on each page"
     rows = [(i, f"http://h.example/{i}", f"<div>{shared}</div><div>only page {prose(i, 9)}</div>") for i in range(4)]
