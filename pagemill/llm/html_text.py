@@ -4,12 +4,14 @@ A page becomes a token stream of blocks.  Blocks inside the page's article are k
 others, and a check of the zones that markup itself declares (menus, footers, forms, scripts, adverts, comments
 of readers) follows.  The streams outside articles of a host's pages are concatenated and their suffixes sorted into
 one array, spread over Spark's partitions; neighbours that share a long beginning across distinct pages are
-repeated text.  Blocks covered by such runs are boilerplate; unique runs stay.  Suffixes inside an
+repeated text.  Such runs are boilerplate and are cut out; unique runs stay, those of the same block too.  Copies of
+one page on a host (mirrors, print views) count as one page, so what only they share is not boilerplate.  Suffixes inside an
 article decide nothing, as repeated text stays there, so they are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -24,8 +26,10 @@ from pagemill.llm.common import bound_batches, list_array, stage
 
 #: Words that a repeated substring has at least; a shorter block is compared whole.
 LONG = 6
-#: A block outside the article goes if this share of its words is covered.
+#: A block counts as repeated if this share of its words is covered.
 COVERED = 0.5
+#: Pages of a host are copies if their long blocks are equal and shorter ones hold at most this share of their words.
+SHORT_SHARE = 0.1
 
 # Names in markup.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title", "select")
@@ -190,6 +194,39 @@ def blocks_of(pages: pa.Array) -> pa.Array:
 blocks_of = blocks_of.asNondeterministic()
 
 
+def _said(blocks: list[tuple[str, int]], long: int) -> int | None:
+    """A number that copies of one page share: pages that say the same in all blocks of ``long`` words or more.
+
+    Zones that markup declares are left out.  Where shorter blocks hold more than ``SHORT_SHARE`` of the words they have to
+    be equal too; a page without words has none.
+    """
+    sizes = [(t, t.count(" ") + 1) for t, zone in blocks if zone != DECLARED]
+    if not sizes:
+        return None
+    large = [(t, n) for t, n in sizes if n >= long]
+    same = large if sum(n for _, n in large) >= (1 - SHORT_SHARE) * sum(n for _, n in sizes) else sizes
+    digest = hashlib.blake2b("\n".join(t for t, _ in same).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(digest, "big", signed=True)
+
+
+def streams_of(long: int):
+    """Blocks of a page outside its article, and the number that its copies share."""
+    @F.arrow_udf(returnType=T.StructType().add("blocks", BLOCK).add("said", "long"))
+    def of(pages: pa.Array) -> pa.Array:
+        sizes, rows, said = [], [], []
+        for page in pages:
+            found = page_blocks(page.as_py() or "")
+            outside = [(k, t, z) for k, (t, z) in enumerate(found) if z != INSIDE]
+            sizes.append(len(outside))
+            rows += outside
+            said.append(_said(found, long))
+        blocks = list_array(sizes, pa.StructArray.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()),
+             pa.array([r[2] for r in rows], pa.int32())], names=["place", "text", "zone"]))
+        return pa.StructArray.from_arrays([blocks, pa.array(said, pa.int64())], names=["blocks", "said"])
+    return of.asNondeterministic()
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host name; addresses without one share the empty host."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -223,9 +260,9 @@ def _runs(batches):
         yield from pending.combine_chunks().to_batches()
 
 
-def repeated_blocks(outside: DataFrame, long: int = LONG, share: float = COVERED) -> DataFrame:
-    """(block): the blocks of which ``share`` of the words lie in substrings of ``long`` words or more that two distinct
-    pages of the host hold.
+def repeated_runs(outside: DataFrame, long: int = LONG) -> DataFrame:
+    """(block, size, runs): the runs of words (start, end) of each block that lie in substrings of ``long`` words or more
+    that two distinct pages of the host hold; blocks without such runs are left out.
 
     ``outside``: host, page, block (hash of host and text), text.  Equal blocks of a host are one entry of the token stream,
     with its smallest and largest page, so what a host repeats on every page is counted on the map side and enters once.
@@ -244,21 +281,42 @@ def repeated_blocks(outside: DataFrame, long: int = LONG, share: float = COVERED
     array = suffixes.select("suffix", "block", "low", "high").orderBy("suffix", "block")
     shared = (array.select("suffix", "low", "high").mapInArrow(_runs, "suffix string, low long, high long")
               .groupBy("suffix").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high"))
-    # A block that two pages hold is repeated as a whole; of the others, words covered: each hit covers from its start to
-    # the next hit's start, or ``long`` words.
+    # A block that two pages hold is repeated as a whole; of the others, hits that touch or overlap are one run.
     hit = suffixes.where("low = high").join(shared.select("suffix"), "suffix", "left_semi")
     order = Window.partitionBy("block").orderBy("at")
-    covered = F.least(F.lit(long), F.col("size") - F.col("at"), F.coalesce(F.lead("at").over(order), F.lit(1 << 30)) - F.col("at"))
-    partly = hit.withColumn("n", covered).groupBy("block").agg(F.sum("n").alias("covered"), F.max("size").alias("size"))
-    return streams.where("low < high").select("block").unionByName(partly.where(F.col("covered") >= share * F.col("size")).select("block"))
+    apart = F.coalesce(F.col("at") > F.lag("at").over(order) + long, F.lit(False)).cast("int")
+    run = hit.withColumn("apart", apart).withColumn("run", F.sum("apart").over(order)).groupBy("block", "run").agg(
+        F.min("at").alias("start"), F.least(F.max("at") + long, F.max("size")).alias("end"), F.max("size").alias("size"))
+    partly = run.groupBy("block").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    whole = streams.where("low < high").select("block", size.alias("size"), F.array(F.struct(F.lit(0).alias("start"), size.alias("end"))).alias("runs"))
+    return whole.unionByName(partly)
+
+
+def _covered() -> Column:
+    return F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"])
+
+
+def repeated_blocks(outside: DataFrame, long: int = LONG, share: float = COVERED) -> DataFrame:
+    """(block): the blocks of which ``share`` of the words lie in repeated runs."""
+    return repeated_runs(outside, long).where(_covered() >= share * F.col("size")).select("block")
+
+
+def _without(text: Column, runs: Column) -> Column:
+    """``text`` without the words of ``runs``, which are in order and apart."""
+    words = F.split(text, " ")
+    begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
+    ends = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.size(words)))
+    parts = F.zip_with(begins, ends, lambda a, b: F.slice(words, a + 1, F.greatest(b - a, F.lit(0))))
+    return F.array_join(F.flatten(parts), " ")
 
 
 def extract_text(pages: DataFrame, long: int = LONG, share: float = COVERED) -> DataFrame:
-    """page_id, url, text, n_repeated: the blocks of each page that stay, joined by line feeds, and how many blocks went
-    because the host repeats them.
+    """page_id, url, text, n_repeated: the blocks of each page without what the host repeats, joined by line feeds, and how
+    many blocks outside articles are repeated for ``share`` of their words or more.
 
     Null and empty pages give the empty text.  Repeated rows each give their row; two rows with one page_id and
-    url are one page, so their text is not repeated across pages.  Extra columns are left out.
+    url are one page, and so are copies of a page on its host, so their text is not repeated across pages.  Extra columns are
+    left out.
 
     The first pass writes what lies outside articles, a small part of the pages, and the suffix array decides on all of
     it; the second builds the texts.  The markup is not shuffled; the blocks that may stay are, once.
@@ -267,18 +325,23 @@ def extract_text(pages: DataFrame, long: int = LONG, share: float = COVERED) ->
     row = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")))
     parsed = pages.select("page_id", "url", row.alias("page"), blocks_of(F.col("html")).alias("blocks"))
     # Repeated rows of one page say the same, so each place counts once.
-    outside = stage(parsed.select(
-        host_of(F.col("url")).alias("host"), "page",
-        F.explode(F.filter("blocks", lambda b: b["zone"] != INSIDE)).alias("b")).select(
-        "host", "page", "b.place", F.xxhash64("host", "b.text").alias("block"), "b.text"), "html-outside")
-    gone = (outside.select("page", "place", "block").join(repeated_blocks(outside, long, share), "block", "left_semi")
-            .groupBy("page").agg(F.collect_set("place").alias("gone")))
+    streams = pages.select(host_of(F.col("url")).alias("host"), row.alias("page"), streams_of(long)(F.col("html")).alias("stream"))
+    outside = stage(streams.select(
+        "host", "page", F.when(F.col("stream.said").isNull(), F.col("page")).otherwise(F.xxhash64("host", "stream.said")).alias("copy"),
+        F.explode("stream.blocks").alias("b")).select(
+        "host", "page", "copy", "b.place", "b.zone", F.xxhash64("host", "b.text").alias("block"), "b.text"), "html-outside")
+    runs = repeated_runs(outside.select("host", F.col("copy").alias("page"), "block", "text"), long)
+    gone = (outside.select("page", "place", "zone", "block").join(runs, "block")
+            .groupBy("page").agg(F.collect_set(F.when(F.col("zone") == OPEN, F.struct("place", "runs"))).alias("gone"),
+                                 F.count_distinct(F.when(_covered() >= share * F.col("size"), F.col("place"))).alias("n_repeated")))
     # The check after it: what markup declares to be no main text goes too where the host says it once.
     stays = parsed.withColumn("blocks", F.filter("blocks", lambda b: b["zone"] != DECLARED))
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("gone", b["place"]), F.lit(False)))
+    runs_at = lambda b: F.get(F.filter("gone", lambda g: g["place"] == b["place"]), F.lit(0))["runs"]
+    left = F.transform("blocks", lambda b: F.when(b["zone"] == INSIDE, b["text"]).otherwise(
+        F.coalesce(_without(b["text"], runs_at(b)), b["text"])))
     return stays.join(gone, "page", "left").select(
-        "page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"),
-        F.greatest(F.size("gone"), F.lit(0)).cast("bigint").alias("n_repeated"))
+        "page_id", "url", F.array_join(F.filter(left, lambda t: t != ""), "\n").alias("text"),
+        F.coalesce("n_repeated", F.lit(0)).cast("bigint").alias("n_repeated"))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -144,6 +144,18 @@ def test_html_repeats(spark):
     assert got[9] == "" and got[10] == shared and got[11] == shared
 
 
+def test_html_copies_keep_their_text(spark):
+    """Copies of a page keep their text, boilerplate goes, and of a block that is partly repeated the rest stays."""
+    line = "this host repeats the same long line on each page"
+    story = "".join(f"<div>{prose(70 + i, 20)}</div>" for i in range(3))
+    text = "\n".join(prose(70 + i, 20) for i in range(3))
+    rows = [(1, "http://h.example/a", f"<div>{line}</div>{story}<div>1 May</div>"), (2, "http://h.example/print/a", f"<div>{line}</div>{story}<div>2 May</div>"),
+            (3, "http://h.example/c", f"<div>{line}</div><div>{prose(80, 30)}</div>"), (4, "http://h.example/d", f"<div>{line} {prose(81, 9)}</div>"),
+            (5, "http://h.example/e", f"<div>{prose(82, 5)} {line} {prose(83, 2)}</div>")]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: text + "\n1 May", 2: text + "\n2 May", 3: prose(80, 30), 4: prose(81, 9), 5: prose(82, 5) + " " + prose(83, 2)}
+
+
 def test_html_suffix_array(spark):
     """Repeated blocks against brute force; one beginning fills several partitions of the sorted array."""
     rng = random.Random(5)
