@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chat, decontaminate, fingerprint, html_text, jaccard, pieces, pii, secrets, sharding, toxicity
+from pagemill.llm import chat, decontaminate, fingerprint, html_text, jaccard, merkle, pieces, pii, repeats, runs, secrets, sharding, toxicity
 from pagemill.llm.common import table
 
 
@@ -47,8 +47,20 @@ def op10_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark, sf_dir):
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark, sf_dir):
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_chat, op3_fingerprint, op4_html, op5_decontaminate, op6_pii,
-                                   op7_toxicity, op8_sharding, op9_pieces, op10_jaccard)}
+                                   op7_toxicity, op8_sharding, op9_pieces, op10_jaccard, op11_repeats, op12_merkle, op13_runs)}
 
 ORACLE = {
     "op2_chat": r"""
@@ -101,4 +113,53 @@ long AS (SELECT doc_id, max(m) AS longest_match FROM (SELECT doc_id, max(p) - mi
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest_match, 0) AS INTEGER) AS longest_match
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN long USING (doc_id)""",
+    "op11_repeats": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM words WHERE len(w) >= 50)),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+gone AS (
+    SELECT doc_id, list(DISTINCT q) AS places
+    FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM windows JOIN firsts USING (g) WHERE first < doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+    sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)""",
+    "op12_merkle": r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, lang, CAST(doc_id AS VARCHAR) AS id, CAST(n_chars AS VARCHAR) AS c, CAST(n_chars + 1 AS VARCHAR) AS more, source, text FROM documents),
+e AS (
+    SELECT *, coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS tail,
+        xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(id) + 1), lambda i: CAST(ascii(substr(id, i, 1)) AS BIGINT))),
+            lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) AS crc
+    FROM d),
+leaves AS (
+    SELECT doc_id, lang, sha256(head || coalesce(strlen(c) || ':' || c, '-') || tail) AS leaf,
+        CASE WHEN crc % 7 = 0 THEN sha256(head || coalesce(strlen(more) || ':' || more, '-') || tail) END AS shown FROM e),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM leaves),
+level AS (
+    SELECT lang, 0 AS k, list(leaf ORDER BY r) AS l FROM placed GROUP BY lang
+    UNION ALL
+    SELECT lang, k + 1, list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], ''))) FROM level WHERE len(l) > 1),
+subs AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r FROM level WHERE len(l) = 1),
+top AS (
+    SELECT 0 AS k, list(subroot ORDER BY r) AS l FROM subs
+    UNION ALL
+    SELECT k + 1, list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], ''))) FROM top WHERE len(l) > 1),
+above AS (
+    SELECT lang, subroot, coalesce(list((CASE WHEN (r >> k) & 1 = 1 THEN 'L' ELSE 'R' END) || coalesce(l[xor(r >> k, 1) + 1], '') ORDER BY k)
+        FILTER (WHERE len(l) > 1), []) AS path FROM subs, top GROUP BY lang, subroot),
+own AS (
+    SELECT p.doc_id, p.lang, p.leaf, p.shown, p.r, coalesce(list((CASE WHEN (p.r >> k) & 1 = 1 THEN 'L' ELSE 'R' END) || coalesce(l[xor(p.r >> k, 1) + 1], '')
+        ORDER BY k) FILTER (WHERE len(l) > 1), []) AS path
+    FROM placed p JOIN level v ON v.lang IS NOT DISTINCT FROM p.lang GROUP BY ALL),
+whole AS (
+    SELECT o.doc_id, o.leaf, o.shown, a.subroot, o.path || a.path AS path, (SELECT l[1] FROM top WHERE len(l) = 1) AS root
+    FROM own o JOIN above a ON a.lang IS NOT DISTINCT FROM o.lang),
+folded AS (
+    SELECT *, list_reduce(list_prepend(coalesce(shown, leaf), path), lambda x, s: sha256(
+        CASE WHEN s[1] = 'L' THEN substr(s, 2) || x ELSE x || substr(s, 2) END)) AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: substr(s, 2)), '')) AS proof_sha256, folded_root,
+    folded_root = root AS verified FROM folded""",
 }
