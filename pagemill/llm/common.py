@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import pickle
 import sys
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +57,56 @@ def release(spark: SparkSession) -> None:
 
 
 def worker_cache(kind: str, key: str = "") -> dict:
-    """A dict that the Python worker keeps from task to task, one of each kind; another key empties it."""
+    """A dict that the Python worker keeps from task to task; one in all, another kind or key empties it."""
+    name = (kind, key)
     kept = sys.__dict__.setdefault("_pagemill_llm", {})
-    if kept.setdefault(kind, (key, {}))[0] != key:
-        kept[kind] = (key, {})
-    return kept[kind][1]
+    if name not in kept:
+        kept.clear()
+        kept[name] = {}
+    return kept[name]
+
+
+class Shared:
+    """A broadcast value of any class of this package; workers need no copy of the package to read it.
+
+    A worker reads it once and keeps ``memo`` (a dict) beside it, until tasks that do not use the broadcast take its place.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def _kept(self) -> dict:
+        return self.data.__dict__.setdefault("_pagemill_kept", {})
+
+    @property
+    def value(self):
+        kept = self._kept()
+        if "value" not in kept:
+            kept["value"] = pickle.loads(self.data.value)
+        return kept["value"]
+
+    @property
+    def memo(self) -> dict:
+        return self._kept().setdefault("memo", {})
+
+
+def give_back() -> None:
+    """Return the memory that finished batches used, which the allocators of a Python worker would keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it likes
+        pass
+
+
+def trimmed(step):
+    """The ``mapInArrow`` function ``step``, which gives memory back after each batch that it yields."""
+    def run(batches):
+        for out in step(batches):
+            yield out
+            del out
+            give_back()
+    return run
 
 
 def text_of(column: str = "text"):
@@ -87,16 +135,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: A fixed random value for each byte, by rule.
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
-_POWERS = np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, 0xD6E8FEB86659FD93, np.uint64)]), dtype=np.uint64)
+
+
+_POWERS = _powers(4096)
 
 
 def powers(n: int) -> np.ndarray:
-    """Powers of an odd constant modulo 2**64, at least ``n`` of them."""
-    global _POWERS
-    if len(_POWERS) < n:
-        with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 4096), 0xD6E8FEB86659FD93, np.uint64)]), dtype=np.uint64)
-    return _POWERS
+    """Powers of an odd constant modulo 2**64, at least ``n`` of them; only those of usual words are kept."""
+    return _POWERS if n <= len(_POWERS) else _powers(n)
 
 
 def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bound_batches, list_array, text_of
+from pagemill.llm.common import Shared, bound_batches, give_back, list_array, text_of
 
 #: Words of a window.
 WINDOW = 10
@@ -145,6 +145,7 @@ def _matcher(shared):
         struct = pa.StructArray.from_arrays(
             [pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2, 3)]],
             names=["item_id", "item_word", "doc_word", "words"])
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array(counts, pa.int64()), list_array([len(f) for f in found], struct)], names=["n_words", "matches"])
     return match.asNondeterministic()
@@ -173,9 +174,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    indexes = [spark.sparkContext.broadcast(index_tests(b, window)) for b in test_blocks(benchmark, block_bytes)]
+    indexes = [Shared(spark, index_tests(b, window)) for b in test_blocks(benchmark, block_bytes)]
     if not indexes:
-        indexes = [spark.sparkContext.broadcast(index_tests([], window))]
+        indexes = [Shared(spark, index_tests([], window))]
     temporary = [f"_found_{i}" for i in range(len(indexes))]
     out = docs.withColumns({t: _matcher(x)(text_of(text)) for t, x in zip(temporary, indexes)})
     return out.withColumns({

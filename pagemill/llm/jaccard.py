@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bound_batches, drop_staged, list_array, mix64, release, stage, text_of, word_hashes
+from pagemill.llm.common import Shared, bound_batches, drop_staged, list_array, mix64, release, stage, text_of, trimmed, word_hashes
 from pagemill.llm.graph import components
 
 WORDS = 3
@@ -254,9 +254,9 @@ def shingle_table(rows: DataFrame, words: int) -> DataFrame:
     and the bucket, never too small.  Of copies in one task, one has the number.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.select("doc_id", "text", "row").mapInArrow(_pack(words, tasks), PACK)
-            .repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_shared, PACK)
-            .repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(_sum_shared, BASE))
+    return (rows.select("doc_id", "text", "row").mapInArrow(trimmed(_pack(words, tasks)), PACK)
+            .repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_count_shared), PACK)
+            .repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(trimmed(_sum_shared), BASE))
 
 
 def _sign(words: int, threshold: int):
@@ -443,7 +443,7 @@ def _may_hold(wanted: DataFrame):
     data = np.zeros(FILTER_BITS // 8, np.uint8)
     for batch in parts.toArrow().to_batches():
         data[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint8)
-    shared = spark.sparkContext.broadcast(data.tobytes())
+    shared = Shared(spark, data.tobytes())
 
     @F.arrow_udf(returnType="boolean")
     def may_hold(rows: pa.Array) -> pa.Array:
@@ -470,9 +470,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: int = THR
     able = base.where("node is not null").groupBy("node").agg(
         F.min("row").alias("row"), F.max("shared").alias("shared"), F.max("n_shingles").alias("n")).where(
         F.col("shared") * 100 >= F.col("n") * threshold).select("row", "node")
-    texts = stage(_texts_of(rows.select("row", "text"), stage(able, "able")), "texts")
+    able = stage(able, "able")
+    texts = stage(_texts_of(rows.select("row", "text"), able), "texts")
     release(spark)
-    signed = stage(texts.select("node", "text").mapInArrow(_sign(words, threshold), "node bigint, signatures array<bigint>")
+    signed = stage(texts.select("node", "text").mapInArrow(trimmed(_sign(words, threshold)), "node bigint, signatures array<bigint>")
                    .where(F.size("signatures") > 0), "signed").select("node", F.explode("signatures").alias("signature"))
     shared = stage(signed.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
                    .select("signature", "low"), "shared-signatures")
@@ -482,20 +483,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: int = THR
     blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     wanted = stage(clusters.join(blocks, "component").select(
         "node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "wanted")
-    texts = texts.select("node", "text").join(wanted.hint("merge"), "node")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    paired = texts.select("cluster", "own", "node", "text", F.explode(others).alias("other")).select(
+    paired = texts.select("node", "text").join(wanted.hint("merge"), "node").select("cluster", "own", "node", "text", F.explode(others).alias("other")).select(
         "cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = stage(paired.repartition(tasks, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
-                  .mapInArrow(_join_blocks(words, threshold), "a bigint, b bigint"), "links")
+                  .mapInArrow(trimmed(_join_blocks(words, threshold)), "a bigint, b bigint"), "links")
     release(spark)
     linked = stage(components(found), "linked")
     named = base.select("doc_id", "n_shingles", "node").join(linked, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     smallest = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("members"))
     grouped = stage(smallest.where("members > 1").select("component", "smallest"), "groups")
-    for table in (shared, near):
+    # What is returned reads the sets, the groups and the links' components.
+    for table in (able, texts, signed, shared, near, clusters, wanted, found):
         drop_staged(table)
     return named.join(grouped, "component", "left").select(
         "doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))

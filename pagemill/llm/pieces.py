@@ -10,9 +10,9 @@ once, many of one length in a step.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
-import uuid
 from dataclasses import dataclass
 from struct import pack
 
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bound_batches, list_array, mix64, powers, text_of, worker_cache
+from pagemill.llm.common import Shared, bound_batches, give_back, list_array, mix64, powers, text_of
 
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
@@ -372,25 +372,30 @@ def decode(ids, v: Vocabulary) -> str:
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-def _encoder(shared):
-    key = uuid.uuid4().hex
+def _encode_batch(texts: list[str], shared: Shared) -> tuple[list[int], np.ndarray]:
+    """Ids of a batch one after another, and how many each text has; about ``TOGETHER`` characters are searched at a time."""
+    v, memo = shared.value, shared.memo
+    if not memo:
+        memo["prefixes"] = PrefixTable(v)
+    sizes, parts, rows, size = [], [], [], 0
+    for text in [*texts, None]:
+        if rows and (text is None or size > TOGETHER):
+            n, ids = encode_many(rows, v, memo["prefixes"])
+            sizes += n
+            parts.append(ids)
+            rows, size = [], 0
+        if text is not None:
+            rows.append(text)
+            size += len(text)
+    give_back()
+    return sizes, np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
 
+def _encoder(shared: Shared):
     @F.arrow_udf(returnType="array<int>")
     def encode_texts(texts: pa.Array) -> pa.Array:
-        v, kept = shared.value, worker_cache("pieces", key)
-        if not kept:
-            kept["prefixes"] = PrefixTable(v)
-        sizes, parts, rows, size = [], [], [], 0
-        for text in [*texts.to_pylist(), None]:
-            if rows and (text is None or size > TOGETHER):
-                n, ids = encode_many(rows, v, kept["prefixes"])
-                sizes += n
-                parts.append(ids)
-                rows, size = [], 0
-            if text is not None:
-                rows.append(text)
-                size += len(text)
-        return list_array(sizes, pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+        sizes, ids = _encode_batch(texts.to_pylist(), shared)
+        return list_array(sizes, pa.array(ids))
     return encode_texts.asNondeterministic()
 
 
@@ -407,22 +412,40 @@ def decode_many(ids: np.ndarray, sizes: list[int], v: Vocabulary) -> list[str]:
     return [(p[1:] if p[:1] == b" " else p).decode("utf-8", "replace") for p in parts]
 
 
-def _decoder(shared):
+def _decode_batch(ids: np.ndarray, sizes: list[int], v: Vocabulary):
+    """Texts of lists of ids, some at a time."""
+    at = 0
+    for part in (sizes[a:a + 256] for a in range(0, len(sizes), 256)):
+        yield from decode_many(ids[at:at + sum(part)], part, v)
+        at += sum(part)
+
+
+def _decoder(shared: Shared):
     @F.arrow_udf(returnType="string")
     def decode_ids(lists: pa.Array) -> pa.Array:
         sizes = [n or 0 for n in pc.list_value_length(lists).to_pylist()]
-        ids = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
-        out, at = [], 0
-        for part in (sizes[a:a + 256] for a in range(0, len(sizes), 256)):
-            out += decode_many(ids[at:at + sum(part)], part, shared.value)
-            at += sum(part)
-        return pa.array(out, pa.string())
+        return pa.array(_decode_batch(pc.list_flatten(lists).to_numpy(zero_copy_only=False), sizes, shared.value), pa.string())
     return decode_ids.asNondeterministic()
 
 
-def share_vocabulary(spark, model: str = DEFAULT_MODEL):
+def _both_ways(shared: Shared):
+    """Ids, and what they decode to as a digest, by one worker."""
+    @F.arrow_udf(returnType="ids array<int>, decoded_sha256 string, exact boolean")
+    def both(texts: pa.Array) -> pa.Array:
+        given = texts.to_pylist()
+        sizes, ids = _encode_batch(given, shared)
+        digests, exact = [], []
+        for text, back in zip(given, _decode_batch(ids, sizes, shared.value)):
+            digests.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+            exact.append(back == text)
+        return pa.StructArray.from_arrays([list_array(sizes, pa.array(ids)), pa.array(digests, pa.string()), pa.array(exact, pa.bool_())],
+                                          names=["ids", "decoded_sha256", "exact"])
+    return both.asNondeterministic()
+
+
+def share_vocabulary(spark, model: str = DEFAULT_MODEL) -> Shared:
     """The vocabulary as a broadcast; its size is that of the model file."""
-    return spark.sparkContext.broadcast(load_vocabulary(model))
+    return Shared(spark, load_vocabulary(model))
 
 
 def encode_documents(docs: DataFrame, text: str = "text", out: str = "ids", model: str = DEFAULT_MODEL,
@@ -440,11 +463,15 @@ def decode_documents(docs: DataFrame, ids: str = "ids", out: str = "decoded", mo
 
 
 def encode_and_decode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
-    """``docs`` with the ids of each whole text, the digest of the text they decode to, and whether it is the text (null: empty)."""
-    shared = share_vocabulary(docs.sparkSession, model)
-    back = decode_documents(encode_documents(docs, shared=shared), out="_decoded", shared=shared)
-    return back.withColumns({"decoded_sha256": F.sha2(F.col("_decoded").cast("binary"), 256),
-                             "exact": F.col("_decoded") == text_of()}).drop("_decoded")
+    """``docs`` with the ids of each whole text, the digest of the text they decode to, and whether it is the text (null: empty).
+
+    Existing columns ``ids``, ``decoded_sha256`` and ``exact`` are replaced.  One worker goes both ways.
+    """
+    bound_batches(docs.sparkSession)
+    result = ["ids", "decoded_sha256", "exact"]
+    both = _both_ways(share_vocabulary(docs.sparkSession, model))(text_of())
+    whole = docs.select(F.struct("*").alias("_row"), both.alias("_both"))
+    return whole.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in result], *[F.col("_both")[c].alias(c) for c in result])
 
 
 def round_trip(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:

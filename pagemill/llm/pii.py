@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bound_batches, list_array, text_of
+from pagemill.llm.common import Shared, bound_batches, give_back, list_array, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -278,7 +278,7 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii", potentials:
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(potentials or learn_potentials(docs, text))
+    shared = Shared(spark, potentials or learn_potentials(docs, text))
 
     @F.arrow_udf(returnType=SPANS)
     def spans_of(texts: pa.Array) -> pa.Array:
@@ -291,6 +291,7 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii", potentials:
             [pa.array([KINDS[r[1]] for r in rows], pa.string()), pa.array([r[0] for r in rows], pa.int32()),
              pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.bool_())],
             names=["kind", "start", "end", "base"])
+        give_back()
         return list_array(sizes, struct)
 
     return docs.withColumn(out, spans_of.asNondeterministic()(text_of(text)))
@@ -322,8 +323,10 @@ def mask_spans(text: Column, spans: Column) -> Column:
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """Documents with personal data masked in ``text`` and ``n_chars`` set anew; null texts stay null."""
-    found = find_pii(docs, out="_pii")
-    masked = found.withColumn("text", F.when(F.size("_pii") == 0, F.col("text")).otherwise(mask_spans(F.col("text"), F.col("_pii"))))
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.size("_pii") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+    found = find_pii(docs.select(F.struct("*").alias("_row"), "text"), out="_pii")
+    text = mask_spans(F.col("text"), F.col("_pii"))
+    masked = {"text": text, "n_chars": F.char_length(text)}
+    clean = F.size("_pii") == 0
+    return found.select(*[
+        F.when(clean, F.col("_row")[f.name]).otherwise(masked[f.name]).cast(f.dataType).alias(f.name) if f.name in masked
+        else F.col("_row")[f.name].alias(f.name) for f in docs.schema.fields])

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bound_batches, text_of, worker_cache
+from pagemill.llm.common import Shared, bound_batches, give_back, text_of
 
 #: Labelled documents that the classifier is fitted on, at most; chosen by a hash of the id.
 MAX_LABELLED = 20_000
@@ -317,14 +316,14 @@ def train(docs: DataFrame, labels: DataFrame, model: LetterModel, max_labelled:
     n_neg = sum(r["count"] for r in sizes if r.toxic != 1)
     if not n_pos or not n_neg:
         return Scorer({})
-    shared_model = spark.sparkContext.broadcast(model)
+    shared_model = Shared(spark, model)
     counted = (sample.mapInArrow(_feature_counter(shared_model), "feature string, pos long, neg long")
                .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= LEAST_SEEN))
     ratio = (F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
              - CAUTION * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5)))
     kept = counted.where(ratio > 0).orderBy(ratio.desc(), "feature").limit(MAX_FEATURES).collect()
     counts = {r.feature: (r.pos, r.neg) for r in kept}
-    shared_counts = spark.sparkContext.broadcast(counts)
+    shared_counts = Shared(spark, counts)
     rows = sample.mapInArrow(_heaviest_left_out(shared_model, shared_counts, n_pos, n_neg), "first double, second double, toxic long").collect()
     data = np.array([(r.first, r.second, r.toxic) for r in rows], float).reshape(-1, 3)
     curve = fit_curve(data[:, :2], data[:, 2]) if len(data) else (-3.0, 0.0, 0.0)
@@ -339,14 +338,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, out: str = "score", text
     bound_batches(spark)
     model = letter_model(docs, text)
     scorer = train(docs.select("doc_id", F.col(text).alias("text")), labels, model, max_labelled)
-    shared = spark.sparkContext.broadcast((model, scorer))
-    key = uuid.uuid4().hex
+    shared = Shared(spark, (model, scorer))
 
     @F.arrow_udf(returnType="double")
     def score(texts: pa.Array) -> pa.Array:
         letters, judge = shared.value
-        seen = worker_cache("toxicity", key)
-        return pa.array([judge.score(*judge.heaviest(t.as_py() or "", letters, seen)) for t in texts], pa.float64())
+        scores = pa.array([judge.score(*judge.heaviest(t.as_py() or "", letters, shared.memo)) for t in texts], pa.float64())
+        give_back()
+        return scores
 
     return docs.withColumn(out, score.asNondeterministic()(text_of(text)))
 
@@ -359,4 +358,5 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that score below ``threshold``; columns as given."""
-    return score_documents(docs, labels, out="_score").where(F.col("_score") < threshold).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    return score_documents(whole, labels, out="_score").where(F.col("_score") < threshold).select("_row.*")
