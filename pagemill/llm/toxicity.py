@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -48,10 +49,11 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
          "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "¢": "c", "§": "s", "%": "o", "*": "aeiou", "#": "h", "^": "a"}
 SEPARATORS = " .-_*~,/\\'’·•"
 LOOK_COST, DROP_COST, KEEP_SIGN_COST, REPEAT_COST = 0.7, 0.3, 6.0, 0.2
-SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
-INNER = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W_][\d@$!|+€£]|[\d@$!|+€£][^\W\d_]")
+SPACED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
+INNER = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W_][\d@$!|+€£]|[\d@$!|+€£][^\W\d_]|(?:^|_)[^\W_]_[^\W_](?:_|$)")
 DRAWN = re.compile(r"(.)\1\1")
 EDGE = re.compile(r"^\W+|\W+$")
+GAP = re.compile(r"\s+")
 
 
 def codes_of(texts: list[str]) -> np.ndarray:
@@ -161,22 +163,28 @@ def shrink(token: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1\1", "".join(c for c in token if c.isalnum() or c in LOOKS), flags=re.S)
 
 
-def readings(token: str, model: LetterModel) -> list[str]:
-    """The words that a token of a lower-case text may be."""
-    word = EDGE.sub("", token)
-    out = [word] if word else []
-    if suspicious(word or token) and len(short := shrink(word or token)) <= WINDOW:
-        out += restore(short, model)
-    return out
+def plain_letters(word: str) -> str:
+    """The word without accents."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+
 
+def readings(token: str, model: LetterModel) -> tuple[list[str], list[str]]:
+    """The words that a token of a lower-case text may be, and texts that may hold words anywhere.
 
-def insides(token: str, model: LetterModel) -> list[str]:
-    """Readings of what may hold words anywhere: a run of spaced letters, and each window of a token too long to be one word."""
-    word = EDGE.sub("", token) or token
-    short = shrink(word) if " " in token or len(word) > LONG and suspicious(word) else ""
-    if " " not in token and len(short) <= WINDOW:
-        return []
-    return [r for at in range(0, max(len(short) - WINDOW // 2, 1), WINDOW // 2) for r in restore(short[at:at + WINDOW], model)]
+    A token without look-alikes, signs between letters or drawn-out letters is itself.  Any other one, of whatever length, is
+    decoded: whole where one window holds it, else in windows that overlap by half; words count anywhere in what comes out.
+    """
+    word = EDGE.sub("", token)
+    words = [word] if word else []
+    if word and (bare := plain_letters(word)) != word:
+        words.append(bare)
+    if not suspicious(word or token):
+        return words, []
+    short = shrink(word or token)
+    if len(short) <= WINDOW:
+        found = restore(short, model)
+        return words + found, found
+    return words, [r for at in range(0, len(short) - WINDOW // 2, WINDOW // 2) for r in restore(short[at:at + WINDOW], model)]
 
 
 def whole_sizes(known) -> list[int]:
@@ -186,10 +194,11 @@ def whole_sizes(known) -> list[int]:
 
 def features_of(token: str, model: LetterModel, sizes: list[int]):
     """Features of a token's readings, and the whole words of ``sizes`` letters that stand anywhere inside."""
-    for word in readings(token, model):
+    words, texts = readings(token, model)
+    for word in words:
         yield from features(word)
     least = INSIDE_SPACED if " " in token else INSIDE
-    for text in insides(token, model):
+    for text in texts:
         yield from {f"={text[at:at + n]}" for n in sizes if n >= least for at in range(len(text) - n + 1)}
 
 
@@ -198,7 +207,7 @@ def tokens_of(text: str) -> set[str]:
     low = text.lower()
     tokens = set(low.split())
     if sum(len(t) == 1 for t in tokens) > 1:
-        tokens.update(m.group() for m in SPACED.finditer(low))
+        tokens.update(GAP.sub(" ", m.group()) for m in SPACED.finditer(low))
     return tokens
 
 
@@ -248,7 +257,7 @@ def _feature_counter(shared):
         model, total = shared.value, Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {f for t in tokens_of(text or "") for w in readings(t, model) for f in features(w)}
+                found = {f for t in tokens_of(text or "") for w in readings(t, model)[0] for f in features(w)}
                 total.update((f, toxic) for f in found)
                 if len(total) > COUNTED:
                     yield rows(total)
@@ -303,15 +312,17 @@ def remainder(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, model: LetterModel, max_labelled: int = MAX_LABELLED) -> Scorer:
     """Fit on the rows whose remainder is not 1: at most ``max_labelled`` of them, by a hash of the id.
 
-    A document with several labels counts as toxic if one says so.  Without labels of both kinds every score is low.
+    A document with several labels counts as toxic if one says so; of rows that repeat an id the smallest text counts.  Labels
+    without a document do not count.  Without labels of both kinds every score is low.
     """
     spark = docs.sparkSession
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder(F.col("doc_id")) != 1))
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     # Bounded by ``max_labelled`` rows of two numbers.
-    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    sizes = chosen.groupBy("toxic").count().collect()
+    sample = (docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+              .groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text")).select("text", "toxic"))
+    sizes = docs.select("doc_id").join(F.broadcast(chosen), "doc_id").distinct().groupBy("toxic").count().collect()
     n_pos = sum(r["count"] for r in sizes if r.toxic == 1)
     n_neg = sum(r["count"] for r in sizes if r.toxic != 1)
     if not n_pos or not n_neg:
@@ -351,6 +362,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, out: str = "score", text
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted for each row; null texts are empty, extra columns are left out, repeated rows repeat."""
     scored = score_documents(docs.select("doc_id", "text"), labels)
     return scored.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

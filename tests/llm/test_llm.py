@@ -279,6 +279,67 @@ def test_toxicity(spark):
     assert toxicity.toxicity_report(docs.limit(0), labels).count() == 0
 
 
+@pytest.fixture(scope="module")
+def letters():
+    table = np.zeros(toxicity.SIZE ** 3, np.int64)
+    c = np.concatenate([np.zeros(2, np.int64), toxicity.codes_of([prose(s, 200) + " idiot" for s in range(20)]), np.zeros(1, np.int64)])
+    np.add.at(table, (c[:-2] * toxicity.SIZE + c[1:-1]) * toxicity.SIZE + c[2:], 1)
+    return toxicity.LetterModel(table)
+
+
+def test_toxicity_has_no_size_switch(letters):
+    """A disguised word inside a token is found at every length, in every kind of gap, and nothing is found in clean tokens."""
+    judge = toxicity.Scorer({"=idiot": 5.0})
+    for k in range(0, 16):
+        for hidden in ("idiooot", "1d1ot", "i.d.i.o.t"):
+            token = "gammazeta" * k + hidden + "etabeta" * k
+            assert judge.heaviest(token, letters, {})[0] == 5.0, (k, hidden)
+        assert judge.heaviest("gammazeta" * k + "et4beta" * k, letters, {})[0] == 0.0, k
+    for text in ("i  d  i  o  t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "so i d i o t ends", "i_d_i_o_t", "ïdïöt"):
+        assert judge.heaviest(text, letters, {})[0] == 5.0, text
+    assert judge.heaviest("a b c plain snake_case words", letters, {})[0] == 0.0
+
+
+def brute_readings(token, model, best):
+    """Every path through the lattice, by enumeration."""
+    ends = {}
+
+    def walk(at, a, b, cost, word):
+        if at == len(token):
+            total = cost - float(model.log[a, b, 0])
+            if word and total < ends.get(word, 1e9):
+                ends[word] = total
+            return
+        c = token[at]
+        plain = model.number.get(c, 0)
+        options = [(x, toxicity.LOOK_COST) for x in toxicity.LOOKS.get(c, "")] + ([(c, 0.0)] if plain else [])
+        dropped = not plain and (c in toxicity.SEPARATORS or c in toxicity.LOOKS or not c.isalnum())
+        if not options and not dropped:
+            options.append((c, toxicity.KEEP_SIGN_COST))
+        for x, extra in options:
+            n = model.number.get(x, 0)
+            walk(at + 1, b, n, cost + extra - float(model.log[a, b, n]), word + x)
+            if word[-1:] == x:
+                walk(at + 1, a, b, cost + toxicity.REPEAT_COST, word)
+        if dropped:
+            walk(at + 1, a, b, cost + toxicity.DROP_COST, word)
+
+    walk(0, 0, 0, 0.0, "")
+    return ends
+
+
+def test_toxicity_lattice(letters):
+    rng = random.Random(9)
+    for _ in range(150):
+        token = "".join(rng.choice("idot1034@.*aa!-x7ß") for _ in range(rng.randrange(1, 8)))
+        every = brute_readings(token, letters, 3)
+        got = toxicity.restore(token, letters)
+        if got:
+            assert abs(every[got[0]] - min(every.values())) < 1e-4, token
+        else:
+            assert not every
+
+
 def test_toxicity_long_tokens(spark):
     """Insults drawn out, spaced out or buried in tokens of any length are found wherever they stand."""
     bad = ["idiot", "moron", "scum"]
