@@ -1,9 +1,14 @@
 """Stream results equal batch results, also after a replayed batch."""
 
+import datetime
+import time
+
 from pyspark.sql import functions as F
 
 from pagemill.operators.store import keep_first, same_rows
 from pagemill.streaming import flow
+from pagemill.streaming.links import linked_products
+from pagemill.streaming.state import PROVIDER, capped_stream, keyed_state
 from workload import render as R
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +70,78 @@ def test_old_keys_leave_the_state(spark, tmp_path):
     query.awaitTermination()
     assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d"]
     assert query.lastProgress.stateOperators[0].numRowsTotal < 4
+
+
+def stream_of(spark, path, schema, steps, run):
+    """Run a stream after each step of rows (a list of tuples) has arrived; ``run(stream)`` starts it."""
+    query = None
+    for rows in steps:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        query = run(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+        query.awaitTermination()
+    return query
+
+
+def day(n):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+
+
+def test_links_wait_for_products_and_misses_come_out(spark, tmp_path):
+    schema = "kind string, market string, search_term string, page_num int, pos int, url string, at timestamp, title string"
+    link = lambda url, d, term="t": ("link", "US", term, 1, 0, url, day(d), None)
+    item = lambda url, d: ("item", "US", None, None, None, url, day(d), f"title {url}")
+    beat = [("link", "XX", "t", 1, 0, "beat", day(90), None), ("item", "XX", None, None, None, "other", day(90), None)]
+    steps = [[link("a", 0), link("b", 0), link("b", 1, "u"), link("late", 0), item("c", 1)],
+             [item("a", 1), link("c", 2), item("b", 2), item("late", 9)], beat, [link("a", 91)]]
+    out = str(tmp_path / "out")
+
+    def run(stream):
+        links = stream.withWatermark("at", "2 days").where("kind = 'link'").select(
+            "market", "search_term", "page_num", "pos", "url", F.col("at").alias("linked_at"))
+        items = stream.withWatermark("at", "2 days").where("kind = 'item'").select("market", "url", F.col("at").alias("seen_at"), "title")
+        joined = linked_products(links, items, early="1 day", late="3 days", slices=2)
+        return (joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check"))
+                .trigger(availableNow=True).start())
+
+    query = stream_of(spark, str(tmp_path / "in"), schema, steps, run)
+    got = {(r.url, r.search_term, r.title, r.missing) for r in spark.read.parquet(out).collect()}
+    assert got == {("a", "t", "title a", False), ("b", "t", "title b", False), ("b", "u", "title b", False),
+                   ("c", "t", "title c", False), ("late", "t", None, True)}
+    # What is left waits around day 90: two links, and one product in each slice.
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 4
+
+
+PLACED = "market string, search_term string, page_num int, pos int, url string, captured_at timestamp, title string"
+
+
+def capped(spark, tmp_path, steps, ttl, caps, wait=0.0):
+    out = str(tmp_path / "out")
+    limits = spark.createDataFrame(caps, "market string, search_term string, max_items int")
+
+    def run(stream):
+        time.sleep(wait)
+        kept = capped_stream(stream, limits, "r1", ttl)
+        with keyed_state(spark):
+            # State that expires asks for another batch for ever, so such a stream ends after one.
+            return (kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check"))
+                    .trigger(**{"availableNow" if ttl is None else "once": True}).start())
+
+    before = spark.conf.get(PROVIDER, None)
+    stream_of(spark, str(tmp_path / "in"), PLACED, steps, run)
+    assert spark.conf.get(PROVIDER, None) == before
+    return sorted((r.search_term, r.page_num, r.pos, r.url, r.title) for r in spark.read.parquet(out).collect())
+
+
+def test_caps_and_seen_addresses_as_state(spark, tmp_path):
+    row = lambda term, page, pos, url: ("US", term, page, pos, url, day(page or 0), f"{url} {page}")
+    steps = [[row("two", 2, 0, "c"), row("two", 1, 1, "b"), row("two", 1, 0, "a"), row("two", 3, 0, "a"), row("all", 1, 0, "a"), row("all", 1, 3, "a")],
+             [row("two", 1, 9, "d"), row("all", 2, 0, "a"), row("all", 2, 1, "e"), row("one", 1, 0, "x")],
+             [row("one", 1, 1, "y"), row("one", None, 1, "z"), row("none", 1, 0, "q")]]
+    got = capped(spark, tmp_path, steps, None, [("US", "two", 2), ("US", "all", 0), ("US", "one", 1)])
+    assert got == [("all", 1, 0, "a", "a 1"), ("all", 2, 1, "e", "e 2"), ("none", 1, 0, "q", "q 1"), ("one", 1, 0, "x", "x 1"),
+                   ("two", 1, 0, "a", "a 1"), ("two", 1, 1, "b", "b 1")]
+
+
+def test_seen_addresses_expire(spark, tmp_path):
+    row = ("US", "t", 1, 0, "a", day(0), "a")
+    assert len(capped(spark, tmp_path, [[row], [row]], 1, [("US", "t", None)], wait=3.0)) == 2

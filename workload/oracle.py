@@ -411,6 +411,15 @@ ORACLE: dict[str, str] = {
         """SELECT market, search_term, url FROM (SELECT *, row_number() OVER (PARTITION BY market, search_term
              ORDER BY page_num % 3, page_num, pos) AS seq FROM done)
            WHERE coalesce(seq <= CASE WHEN market IN ('AU', 'GB') THEN 5 WHEN market = 'US' THEN 20 END, true)"""),
+    "q_stream_state_cap": _listing(
+        """SELECT market, search_term, url, title FROM (SELECT *, row_number() OVER (PARTITION BY market, search_term
+             ORDER BY page_num % 3, page_num, pos) AS seq FROM done)
+           WHERE coalesce(seq <= CASE WHEN market IN ('AU', 'GB') THEN 5 WHEN market = 'US' THEN 20 END, true)"""),
+    "q_stream_links": _search(
+        """SELECT market, search_term, CAST(item AS VARCHAR) AS item_id, first.url, title, current_price, k IS NULL AS missing
+           FROM (SELECT DISTINCT l.market, l.search_term, l.item, l.url FROM links l
+                 JOIN reached r ON r.market = l.market AND r.search_term = l.search_term AND r.page_num = l.page_num) first
+           LEFT JOIN (SELECT k, title, current_price FROM done) ON k = item""", LISTINGS + "," + _REACH),
     "q_stream_reset": _listing(
         """SELECT CAST(r AS INTEGER) AS run_id, market, search_term, count(*) AS products
            FROM done, range(1, 3) t(r) GROUP BY ALL"""),

@@ -29,6 +29,8 @@ from pagemill.sources.captures import fetched, read_captures, stream_captures
 from pagemill.sources.store_io import read_envelopes, stored_products, write_envelopes
 from pagemill.sources.terms import search_requests, search_terms
 from pagemill.streaming import flow
+from pagemill.streaming.links import link_stream, linked_products, listing_stream
+from pagemill.streaming.state import capped_stream, keyed_state
 from workload import render as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -813,13 +815,60 @@ def q_stream_dedup(spark, sf):
 
 @query
 def q_stream_cap(spark, sf):
-    caps = (R.listing_captures(spark, sf).select("market", "search_term").distinct()
-            .withColumn("max_items", F.when(F.col("market").isin("AU", "GB"), 5)
-                        .when(F.col("market") == "US", 20).cast("int")))
-    store = _run_upsert(spark, sf, caps=stage(caps, "caps"))
+    store = _run_upsert(spark, sf, caps=_stream_caps(spark, sf))
     return flow.read_store(spark, store).select("market", "search_term", "url")
 
 
+def _stream_caps(spark, sf):
+    return stage(R.listing_captures(spark, sf).select("market", "search_term").distinct()
+                 .withColumn("max_items", F.when(F.col("market").isin("AU", "GB"), 5)
+                             .when(F.col("market") == "US", 20).cast("int")), "caps")
+
+
+@query
+def q_stream_state_cap(spark, sf):
+    """The caps of q_stream_cap, held as state of the stream: slices arrive one by one, no batch reads what is stored."""
+    path, out, caps = work_dir(spark, "captures") + "/in", work_dir(spark, "state"), _stream_caps(spark, sf)
+    for i in range(SLICES):
+        _add_slice(spark, sf, path, i)
+        kept = capped_stream(_products_from(spark, path), caps)
+        with keyed_state(spark):
+            query_ = (kept.writeStream.format("parquet").option("path", out + "/rows")
+                      .option("checkpointLocation", out + "/checkpoint").trigger(availableNow=True).start())
+        query_.awaitTermination()
+    return spark.read.schema(kept.schema).parquet(out + "/rows").select("market", "search_term", "url", "title")
+
+
+def _heartbeat(spark, day):
+    """Captures that hold nothing but a later time, which lets waiting rows out."""
+    kinds = F.explode(F.array(F.lit("search"), F.lit("product")))
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in CAPTURE.fields}
+    return spark.range(1).select(kinds.alias("page_type")).select(*[
+        {"market": F.lit("US"), "status": F.lit(200), "page_type": F.col("page_type"), "html": F.lit(""),
+         "captured_at": F.timestamp_seconds(F.lit(1_600_000_000 + day * 86400))}.get(n, c).alias(n) for n, c in empty.items()])
+
+
+@query
+def q_stream_links(spark, sf):
+    """Search and listing captures in one stream, several starts: links with their product, misses when their time is over."""
+    path, out = work_dir(spark, "captures") + "/in", work_dir(spark, "links")
+    searches = R.search_captures(spark, sf)
+    # a crawler stops where paging ends, so later pages never arrive
+    reached = reached_pages(stage(_facts(spark, sf).drop("hrefs"), "facts")).select(*TERM, "page_num")
+    searches = searches.join(reached, [*TERM, "page_num"]).select(*CAPTURE.names)
+    listings = R.listing_captures(spark, sf).withColumn("captured_at", F.col("captured_at") - F.expr("interval 100000000 seconds"))
+    slices = [searches.where("page_num % 2 = 0").unionByName(listings.where("item % 2 = 1").select(*CAPTURE.names)),
+              searches.where("page_num % 2 = 1").unionByName(listings.where("item % 2 = 0").select(*CAPTURE.names))]
+    bound = "1000 days"
+    for rows in [*slices, _heartbeat(spark, 10_000)]:
+        rows.write.mode("append").parquet(path)
+        captures = stream_captures(spark, path)
+        joined = linked_products(link_stream(captures, R.rules(spark), bound), listing_stream(captures, R.rules(spark), bound), bound, bound)
+        (joined.writeStream.format("parquet").option("path", out + "/rows").option("checkpointLocation", out + "/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(joined.schema).parquet(out + "/rows").select(*TERM, "item_id", "url", "title", "current_price", "missing")
+
+
 @query
 def q_stream_reset(spark, sf):
     """Two runs over the same captures: each starts with nothing seen."""
