@@ -40,6 +40,9 @@ TOKEN_PATTERN = (
 )
 ATTRIBUTE_PATTERN = r"""[\s/]([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?"""
 
+# References in attribute values; a bare name with no semicolon is text there, as in '?a=1&copy=2'.
+REFERENCE_PATTERN = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
+
 # Elements that never have content.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link",
              "meta", "param", "source", "track", "wbr"]
@@ -74,6 +77,23 @@ class Columns:
         self.texts: list[str] = []
 
 
+def read_references(attrs: str, attribute_re, reference_re) -> str:
+    """Attribute text with the references of its values decoded.
+
+    Only what would end a value, and the ampersand, stay references, which :func:`attribute` reads.
+    """
+    def value(found) -> str:
+        quoted = found.group(2)
+        if not quoted or "&" not in quoted:
+            return found.group()
+        inner = quoted[1:-1] if quoted[0] in "\"'" else quoted
+        plain = reference_re.sub(lambda r: html_std.unescape(r.group()), inner)
+        for sign, reference in (("&", "&amp;"), ('"', "&quot;"), ("'", "&#39;")):
+            plain = plain.replace(sign, reference)
+        return f'{found.group()[:-len(quoted)]}"{plain}"'
+    return attribute_re.sub(value, attrs)
+
+
 def class_names(attrs: str, attribute_re) -> list[str]:
     """Class list from the attribute text of a tag."""
     start = attrs.find(' class="')
@@ -86,7 +106,7 @@ def class_names(attrs: str, attribute_re) -> list[str]:
     return []
 
 
-def read_page(page: str, token_re, attribute_re, out: Columns) -> None:
+def read_page(page: str, token_re, attribute_re, reference_re, out: Columns) -> None:
     """Append the elements and texts of one page.
 
     An end tag closes the innermost open element of its name and all inside it;
@@ -147,6 +167,8 @@ def read_page(page: str, token_re, attribute_re, out: Columns) -> None:
             if at > 0:
                 close(at)
             continue
+        if "&" in attrs:
+            attrs = read_references(attrs, attribute_re, reference_re)
         eid += 1
         kids[-1] += 1
         kid[-1] = eid
@@ -176,6 +198,7 @@ def parse_page(pages: pa.Array) -> pa.Array:
     """Markup -> struct(els, texts); null for null. One Arrow batch at a time."""
     token_re = re.compile(TOKEN_PATTERN, re.I | re.S)
     attribute_re = re.compile(ATTRIBUTE_PATTERN)
+    reference_re = re.compile(REFERENCE_PATTERN)
     out, n_els, n_texts = Columns(), [], []
     for page in pages:
         text = page.as_py()
@@ -184,7 +207,7 @@ def parse_page(pages: pa.Array) -> pa.Array:
             n_texts.append(None)
             continue
         before, t_before = len(out.tag), len(out.texts)
-        read_page(text, token_re, attribute_re, out)
+        read_page(text, token_re, attribute_re, reference_re, out)
         n_els.append(len(out.tag) - before)
         n_texts.append(len(out.texts) - t_before)
     eids = np.concatenate([np.arange(n, dtype=np.int32) for n in [0, *n_els] if n is not None])
@@ -219,7 +242,7 @@ def attribute(attrs: Column, name: str) -> Column:
     values = F.regexp_extract_all(attrs, F.lit(ATTRIBUTE_PATTERN), F.lit(2))
     value = F.get(values, F.array_position(names, F.lit(name)).cast("int") - 1)
     bare = F.regexp_replace(value, r"""^["']|["']$""", "")
-    # The references that can stand for a sign of an address or of markup; the ampersand last, so nothing is decoded twice.
+    # The parser leaves these references only; the ampersand last, so nothing is decoded twice.
     for sign, references in (('"', "&(quot|#34|#x22);"), ("'", "&(apos|#39|#x27);"), ("<", "&(lt|#60|#x3c);"),
                              (">", "&(gt|#62|#x3e);"), ("&", "&(amp|#38|#x26);")):
         bare = F.regexp_replace(bare, f"(?i){references}", sign)

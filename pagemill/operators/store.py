@@ -45,7 +45,7 @@ def write_store(products: DataFrame, path: str, mode: str = "append") -> None:
     """
     spread = F.pmod(F.xxhash64("url"), F.lit(WRITERS))
     (products.withColumn("term_slug", folder_name(F.col("search_term")))
-     .repartition("market", "term_slug", spread).write.mode(mode).partitionBy("market", "term_slug").parquet(path))
+     .repartition("market", "term_slug", spread).write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("market", "term_slug").parquet(path))
 
 
 def store_file_name(market: Column, term: Column, prefix: str = "products") -> Column:

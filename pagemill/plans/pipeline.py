@@ -62,12 +62,13 @@ def first_product_per_url(products: DataFrame) -> DataFrame:
 
 @dataclass
 class Run:
-    """What a run gives: ``stored`` are the new rows, ``rejects`` the captures and rows that failed."""
+    """What a run gives: ``stored`` are the new rows, ``rejects`` the captures and rows that failed, ``account`` the fate of every capture."""
     pages: DataFrame
     found: DataFrame
     stored: DataFrame
     rejects: DataFrame
     summary: DataFrame
+    account: DataFrame
 
 
 PAGE = ["market", "page_type", "search_term", "url"]
@@ -84,16 +85,18 @@ def run(captures: DataFrame, terms: DataFrame, rules: DataFrame,
     ``market``.  ``store`` holds the products of earlier runs; their links are left out before
     anything is joined, so the same captures give no row twice.
 
-    Every capture that leads to no product row is in ``rejects`` with a reason and the outcome of
-    its page: an unknown market or page type, an error, a status, a failed check, an incomplete row.
+    Every capture that failed is in ``rejects`` with a reason and the outcome of its page: an unknown
+    market or page type, an error, a status, a failed check, an incomplete row.  ``account`` has a row for each
+    capture, whatever became of it (:func:`run_account`).
 
     Extraction results and links are staged because the joins and positions need two passes
     over them.  Pages are parsed once, where they are read, before any join: fields are a
     thousandth of the markup, so markup is never shuffled.
     """
-    searches = stage(page_facts(checked_pages(captures, rules, "search"), [c for c in CHECKED if c not in PAGE_KEY]),
-                     "searches")
-    products = stage(extract_fields(checked_pages(captures, rules, "product"), [*CHECKED, "captured_at"]), "products")
+    searches = stage(page_facts(checked_pages(captures, rules, "search"), [c for c in CHECKED if c not in PAGE_KEY])
+                     .withColumn("capture_no", F.monotonically_increasing_id()), "searches")
+    products = stage(extract_fields(checked_pages(captures, rules, "product"), [*CHECKED, "captured_at"])
+                     .withColumn("capture_no", F.monotonically_increasing_id()), "products")
     rejects = stage(run_rejects(captures, rules, searches, products), "rejects")
 
     facts = keep_first(searches.where("is_valid").select(*PAGE_KEY, "base_url", "captured_at", "hrefs", "n_links", "has_next"),
@@ -112,8 +115,45 @@ def run(captures: DataFrame, terms: DataFrame, rules: DataFrame,
     found = stage(link_products(links, complete), "found")
     kept = positioned(found, TERM, "page_num", ["pos"]).where(within_cap(F.col("seq"), F.col("max_items")))
     stored = stage(kept, "stored")
+    account = stage(run_account(rejects, searches, products, pages, found, stored, store, keys), "account")
     unstage(searches, products, facts, links)
-    return Run(pages, found, stored, rejects, run_summary(terms, pages, found, stored, rejects))
+    return Run(pages, found, stored, rejects, run_summary(terms, pages, found, stored, rejects), account)
+
+
+def run_account(rejects: DataFrame, searches: DataFrame, products: DataFrame, pages: DataFrame, found: DataFrame,
+                stored: DataFrame, store: DataFrame | None, keys: list[str]) -> DataFrame:
+    """One row for each capture of the run with its ``fate``.
+
+    A listing is ``stored`` (for some term), ``beyond cap``, ``already stored`` (an earlier run has it), ``not linked`` (no page
+    that was read asks for it) or a ``repeat`` of an earlier capture of its address; a search page is ``read``, ``page not
+    reached`` or a ``repeat``; any other capture has the reason of its reject.
+    """
+    def fated(table: DataFrame, fate: str) -> DataFrame:
+        return table.select("market", "url", F.lit(fate).alias("fate"))
+
+    # The first of these counts where several hold for an address.
+    order = ["stored", "beyond cap", "already stored"]
+    fates = fated(stored, order[0]).unionByName(fated(found, order[1]))
+    if store is not None:
+        asked = search_links(pages).select(*keys).distinct()
+        fates = fates.unionByName(fated(asked.join(store.select(*keys).distinct(), keys, "left_semi"), order[2]))
+    rank = F.array_position(F.array(*[F.lit(f) for f in order]), F.col("fate"))
+    fates = fates.groupBy("market", "url").agg(F.min(F.struct(rank.alias("rank"), "fate"))["fate"].alias("fate"))
+
+    def first(rows: DataFrame, key: list[str]) -> DataFrame:
+        kept = keep_first(rows.select(*key, "captured_at", "capture_no"), key, ["captured_at"])
+        return kept.select("capture_no", F.lit(True).alias("_first"))
+
+    listings = products.where(F.col("is_valid") & is_complete()).select(*REJECT, "captured_at", "capture_no")
+    listings = listings.join(first(listings, ["market", "url"]), "capture_no", "left")
+    listings = spread_join(listings, fates, ["market", "url"], F.col("capture_no"), "left").withColumn(
+        "fate", F.when(F.col("_first"), F.coalesce("fate", F.lit("not linked"))).otherwise("repeat"))
+    valid = searches.where("is_valid").select(*REJECT, "captured_at", "capture_no")
+    read = pages.select(*PAGE_KEY).distinct().withColumn("_read", F.lit("read"))
+    valid = valid.join(first(valid, PAGE_KEY), "capture_no", "left").join(read, PAGE_KEY, "left").withColumn(
+        "fate", F.when(F.col("_first"), F.coalesce("_read", F.lit("page not reached"))).otherwise("repeat"))
+    whole = [*REJECT, "fate"]
+    return rejects.withColumnRenamed("reason", "fate").select(*whole).unionByName(listings.select(*whole)).unionByName(valid.select(*whole))
 
 
 def not_fetched() -> Column:
@@ -148,10 +188,14 @@ def run_rejects(captures: DataFrame, rules: DataFrame, searches: DataFrame, prod
         *REJECT, "reason", "outcome", compact_time(F.col("captured_at")).alias("quarantined_at"))
 
 
-def save_run(result: Run, store_path: str, quarantine_path: str) -> None:
-    """Append the new rows to the store and set the rejects aside."""
-    write_store(result.stored, store_path)
-    result.rejects.write.mode("append").partitionBy("market").parquet(quarantine_path)
+def save_run(result: Run, store_path: str, quarantine_path: str, run_id: str) -> None:
+    """Save the new rows to the store and the rejects to the quarantine, each under the run's own folder.
+
+    Saving the same run again replaces what it saved, so a save that was stopped is mended by repeating it.
+    """
+    at = f"run={run_id}"
+    result.rejects.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("market").parquet(f"{quarantine_path}/{at}")
+    write_store(result.stored, f"{store_path}/{at}", "overwrite")
 
 
 def one_cap(terms: DataFrame) -> DataFrame:

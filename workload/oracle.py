@@ -180,6 +180,14 @@ ends AS (SELECT market, search_term, least(coalesce(min(page_num) FILTER (WHERE
                 max(page_num)) AS last_page FROM facts GROUP BY ALL),
 reached AS (SELECT facts.* FROM facts JOIN ends USING (market, search_term) WHERE page_num <= last_page)"""
 
+_ASKED = """,
+asked0 AS (SELECT r.market, r.search_term, r.page_num, k0.pos, k0.item, row_number() OVER (
+             PARTITION BY r.market, r.search_term, k0.item ORDER BY r.page_num, k0.pos) AS copy
+           FROM reached r JOIN k0 ON r.okey = k0.l_orderkey),
+asked AS (SELECT a.market, a.search_term, a.page_num, a.item, d.url, d.title, row_number() OVER (
+            PARTITION BY a.market, a.search_term ORDER BY a.page_num, a.pos) AS seq
+          FROM asked0 a JOIN done d ON d.k = a.item WHERE copy = 1)"""
+
 ORACLE: dict[str, str] = {
     "q_capture_scan": _search(
         """SELECT market, 'search' AS page_type, count(*) AS pages FROM s0 WHERE okey % 13 <> 3 GROUP BY ALL
@@ -207,6 +215,8 @@ ORACLE: dict[str, str] = {
         """SELECT market, CASE WHEN market = 'NL' THEN 0 ELSE count(*) END AS rows,
                   market = 'NL' OR bool_or(k % 30 = 7 OR k % 40 = 3) AS changed, true AS self_equal, false AS then_equal
            FROM done GROUP BY market"""),
+    "q_snapshot_sync": _listing("SELECT market, search_term, url, title FROM done WHERE market <> 'NL'"),
+    "q_attr_references": """SELECT p_partkey, '/itm/' || p_partkey || '?q=café' || chr(160) || '"''<&copy=1&amp;€€' AS href FROM part""",
     "q_quarantine": _listing(
         f"""SELECT market, url, {_LISTING_VERDICT} AS reason, strftime(captured_at, '%Y%m%d_%H%M%S') AS quarantined_at
             FROM l2 WHERE NOT ok UNION ALL
@@ -373,6 +383,17 @@ ORACLE: dict[str, str] = {
         m1 AS (SELECT m0.market, m0.search_term, m0.page_num, d.url, d.title, row_number() OVER (
                  PARTITION BY m0.market, m0.search_term ORDER BY m0.page_num, m0.pos) AS seq
                FROM m0 JOIN done d ON d.k = m0.item WHERE copy = 1 AND item % 2 <> 0)"""),
+    "q_run_account": _search(
+        f"""SELECT market, page_type, fate, count(*) AS captures FROM (
+              SELECT market, 'product' AS page_type, CASE WHEN NOT ok THEN {_LISTING_VERDICT}
+                  WHEN title IS NULL OR current_price IS NULL THEN 'incomplete product'
+                  WHEN kept THEN 'stored' WHEN NOT kept THEN 'beyond cap' ELSE 'not linked' END AS fate
+              FROM l2 LEFT JOIN (SELECT item, bool_or(coalesce(seq <= nullif({_CAP}, 0), true)) AS kept FROM asked GROUP BY item) ON item = k
+              UNION ALL SELECT f.market, 'search', CASE WHEN r.okey IS NULL THEN 'page not reached' ELSE 'read' END
+              FROM facts f LEFT JOIN reached r ON r.okey = f.okey) GROUP BY ALL""", LISTINGS + "," + _REACH + _ASKED),
+    "q_run_saved_twice": _search(
+        f"""SELECT market, search_term, page_num, url, seq, title, CAST(0 AS BIGINT) AS again FROM asked
+            WHERE coalesce(seq <= nullif({_CAP}, 0), true)""", LISTINGS + "," + _REACH + _ASKED),
     "q_run_rejects": _listing(
         f"""SELECT * FROM (SELECT CASE WHEN k % 37 = 0 THEN 'JP' ELSE market END AS market, url, attempt,
               CASE WHEN k % 37 = 0 THEN 'unknown market' WHEN z = 5 THEN 'status 404' WHEN z = 6 THEN 'timeout'

@@ -16,12 +16,13 @@ from pagemill.operators.links import (link_products, page_facts, reached_pages,
                                       search_links, unseen)
 from pagemill.operators.sequence import (chunk_no, is_snapshot_batch, keep_first, positioned,
                                          progress, spread_join, within_cap)
+from pagemill.operators.snapshot import open_snapshot, read_snapshot, sync_snapshot
 from pagemill.operators.store import (appended, changed_since, envelopes, same_rows,
                                       store_file_name, store_totals)
 from pagemill.operators.summary import TERM
 from pagemill.operators.validate import attempt_class, capture_outcome, with_verdict
 from pagemill.plans.pipeline import (checked_pages, page_rejects, product_rows, rejected_products,
-                                     run, stage)
+                                     run, save_run, stage)
 from pagemill.plans.rules import unknown_markets
 from pagemill.schemas import CAPTURE
 from pagemill.session import work_dir
@@ -183,6 +184,18 @@ def q_snapshot_changed(spark, sf):
             .join(F.broadcast(other.withColumnRenamed("equal", "then_equal"))))
 
 
+@query
+def q_snapshot_sync(spark, sf):
+    """A snapshot brought up to date: rows added and changed, and the terms of one market gone."""
+    now = stage(_complete(spark, sf), "snapshot")
+    item = F.substring_index("url", "/", -1).cast("bigint")
+    path = work_dir(spark, "snapshots") + "/products"
+    open_snapshot(spark, path)
+    sync_snapshot(now.where(item % 30 != 7).withColumn("title", F.when(item % 40 == 3, "old").otherwise(F.col("title"))), path)
+    sync_snapshot(now.where(F.col("market") != "NL"), path)
+    return read_snapshot(spark, path).select(*TERM, "url", "title")
+
+
 @query
 def q_quarantine(spark, sf):
     captures = R.listing_captures(spark, sf)
@@ -391,6 +404,17 @@ def q_attr_read(spark, sf):
         F.coalesce(attribute(F.col("_l.attrs"), "href"), F.lit("")).alias("href"))
 
 
+@query
+def q_attr_references(spark, sf):
+    """Named and numeric references in an address; a name without semicolon and a doubly written one stay as they are."""
+    key = F.col("p_partkey").cast("string")
+    href = F.concat(F.lit("&#47;itm&#x2F;"), key, F.lit("?q=caf&eacute;&nbsp;&quot;&apos;&lt;&copy=1&amp;amp;&euro;&#8364;"))
+    quote = F.when(F.col("p_partkey") % 2 == 0, "'").otherwise('"')
+    page = R.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("<p><a href="), quote, href, quote, F.lit(">x</a>")).alias("html"))
+    link = S.first_where(F.col("els"), S.is_tag("a"))
+    return with_elements(page).withColumn("_a", link).select("p_partkey", attribute(F.col("_a.attrs"), "href").alias("href"))
+
+
 @query
 def q_subtree_text(spark, sf):
     return _first_text(spark, sf, S.first_where(
@@ -705,6 +729,25 @@ def q_run_store(spark, sf):
     return new.select(*TERM, "page_num", "url", "seq", "title")
 
 
+@query
+def q_run_account(spark, sf):
+    """What became of every capture of a run."""
+    account = run(_all_captures(spark, sf), _caps(spark, sf), R.rules(spark)).account
+    return account.groupBy("market", "page_type", "fate").agg(F.count(F.lit(1)).alias("captures"))
+
+
+@query
+def q_run_saved_twice(spark, sf):
+    """A run saved, saved again, and followed by a run over the same captures that knows the store."""
+    captures, caps, rules, out = _all_captures(spark, sf), _caps(spark, sf), R.rules(spark), work_dir(spark, "saved")
+    first = run(captures, caps, rules)
+    for _ in range(2):
+        save_run(first, out + "/store", out + "/aside", "1")
+    again = run(captures, caps, rules, store=spark.read.parquet(out + "/store/run=1"))
+    fresh = again.stored.where(F.coalesce("max_items", F.lit(0)) == 0).agg(F.count(F.lit(1)).alias("again"))
+    return spark.read.parquet(out + "/store/run=1").select(*TERM, "page_num", "url", "seq", "title").join(F.broadcast(fresh))
+
+
 def _strange_markets(spark, sf):
     market = F.when(F.col("item") % 37 == 0, "JP").otherwise(F.col("market"))
     return R.listing_captures(spark, sf).withColumn("market", market)
