@@ -9,6 +9,8 @@ instead the sum of three parts, each from a window of bounded size:
 * the rows in earlier blocks of the term (at most 2**31 / PAGE_BLOCK blocks).
 
 The last two come from per-page counts, which are combined on the map side.
+
+:func:`ranked` gets the same from one range sort that is written, and is the one to take where rows may be written.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.session import work_dir
+
 PAGE_BLOCK = 1024
 
 
@@ -53,6 +57,39 @@ def positioned(rows: DataFrame, group: list[str], page: str, order: list[str],
             .select(*wanted))
 
 
+def ranked(rows: DataFrame, group: list[str], order: list[str], name: str = "seq",
+           per_group: DataFrame | None = None) -> DataFrame:
+    """Add the 1-based position of each row in ``group`` by ``order`` (nulls first): a distributed prefix sum.
+
+    Rows are range-sorted once by (group, order) and written, so a group with a third of all rows covers a third of the tasks.
+    Each task counts its rows of each group; the counts, at most one a task and group, are summed up in task order and
+    joined back.  ``per_group`` (a row a group, such as caps) comes along on those counts, so nothing is salted.  Rows with
+    equal ``order`` get positions in no certain order.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The sort of a task gives its rows numbers without gaps in the low bits.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = (rows.repartitionByRange(tasks, *group, *order).sortWithinPartitions(*group, *order)
+             .select("*", F.spark_partition_id().alias("_task"), place.alias("_place")))
+    path = work_dir(spark, "ranked") + "/table"
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    counts = dealt.groupBy(*group, "_task").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).drop("_rows", "_first")
+    extra = []
+    if per_group is not None:
+        extra = [c for c in per_group.columns if c not in group]
+        starts = starts.join(per_group.select(*group, *extra), group, "left")
+    starts = starts.select(F.col("_task").alias("_of"), *[F.col(c).alias(f"_of_{c}") for c in group], "_start", *extra)
+    same = F.col("_task") == F.col("_of")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return dealt.join(starts, same).select(
+        *rows.columns, *extra, (F.col("_start") + F.col("_place") + 1).cast("bigint").alias(name))
+
+
 def within_cap(seq: Column, cap: Column) -> Column:
     """Null or 0 means no cap."""
     return F.coalesce(F.nullif(cap, F.lit(0)).isNull() | (seq <= cap), F.lit(True))

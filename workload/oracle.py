@@ -446,3 +446,8 @@ ORACLE: dict[str, str] = {
            FROM done, range(1, 3) t(r) GROUP BY ALL"""),
     "q_stream_resume": _listing("SELECT market, search_term, url, title FROM done"),
 }
+
+# The same rows by another way.
+ORACLE.update({new: ORACLE[old] for new, old in {
+    "q_key_index": "q_upsert_new", "q_tree_join": "q_sel_descendant", "q_store_totals_merge": "q_store_totals",
+    "q_stream_page_reach": "q_page_reach", "q_stream_outcome": "q_capture_outcome"}.items()})

@@ -12,14 +12,17 @@ from pagemill.functions import text as X
 from pagemill.functions import urls as U
 from pagemill.functions.markup import attribute, page_elements, with_elements
 from pagemill.operators import fields as FD
+from pagemill.operators.containment import nearest_above
+from pagemill.operators.key_index import KeyIndex, open_key_index
 from pagemill.operators.links import (link_products, page_facts, reached_pages,
                                       search_links, unseen)
 from pagemill.operators.sequence import (chunk_no, is_snapshot_batch, keep_first, positioned,
-                                         progress, spread_join, within_cap)
+                                         progress, ranked, within_cap)
 from pagemill.operators.snapshot import open_snapshot, read_snapshot, sync_snapshot
 from pagemill.operators.store import (appended, changed_since, envelopes, same_rows,
                                       store_file_name, store_totals)
 from pagemill.operators.summary import TERM
+from pagemill.operators.totals import add_batch, running_totals
 from pagemill.operators.validate import attempt_class, capture_outcome, with_verdict
 from pagemill.plans.pipeline import (checked_pages, page_rejects, product_rows, rejected_products,
                                      run, save_run, stage)
@@ -31,6 +34,7 @@ from pagemill.sources.store_io import read_envelopes, stored_products, write_env
 from pagemill.sources.terms import search_requests, search_terms
 from pagemill.streaming import flow
 from pagemill.streaming.links import link_stream, linked_products, listing_stream
+from pagemill.streaming.paging import outcome_stream, reached_stream
 from pagemill.streaming.state import capped_stream, keyed_state
 from workload import render as R
 
@@ -170,6 +174,22 @@ def q_upsert_new(spark, sf):
     return appended(store, rows.where("okey % 4 = 0")).drop("okey", "pos")
 
 
+@query
+def q_key_index(spark, sf):
+    """q_upsert_new with the store's keys in an index that grew batch by batch; the store itself is not read for them."""
+    keys = ["market", "search_term", "url"]
+    rows = stage(_key_rows(spark, sf), "rows")
+    path = work_dir(spark, "key-index") + "/keys"
+    open_key_index(spark, path, keys, buckets=16, expected_keys=1_000_000)
+    index = KeyIndex(spark, path)
+    for i in (1, 2, 3):
+        index = index.append(rows.where(F.col("okey") % 4 == i))
+    index = index.fold()
+    store = keep_first(rows.where("okey % 4 <> 0"), keys, ["page_num", "pos"])
+    batch = keep_first(rows.where("okey % 4 = 0"), keys, ["page_num", "pos"])
+    return store.unionByName(index.new_rows(batch)).drop("okey", "pos")
+
+
 @query
 def q_snapshot_changed(spark, sf):
     now = stage(_complete(spark, sf), "snapshot")
@@ -249,8 +269,8 @@ def q_validate(spark, sf):
     return judged.select("market", "page_type", "url", "verdict", "is_valid", "blocked")
 
 
-@query
-def q_capture_outcome(spark, sf):
+def _attempts(spark, sf):
+    """Events as attempts at a page (a user), numbered in time."""
     e = R.table(spark, sf, "events").select(
         "user_id", "ts", "event_id", "event_type",
         F.floor(F.unix_timestamp("ts") / 86400).alias("day"))
@@ -261,9 +281,13 @@ def q_capture_outcome(spark, sf):
     error = F.when(F.col("event_type") == "purchase", F.when(
         F.col("event_id") % 2 == 0, "Connection reset").otherwise("bad certificate"))
     valid = F.col("event_type") == "view"
-    classed = log.withColumn("error", error).withColumn(
+    return log.withColumn("error", error).withColumn(
         "attempt_class", attempt_class(status, F.col("error"), valid, F.lit(False)))
-    return capture_outcome(classed, ["user_id"])
+
+
+@query
+def q_capture_outcome(spark, sf):
+    return capture_outcome(_attempts(spark, sf), ["user_id"])
 
 
 @query
@@ -313,6 +337,18 @@ def q_sel_descendant(spark, sf):
         els, S.has_class("x-item-title__mainTitle", "h1"), S.is_tag("span"))))
 
 
+@query
+def q_tree_join(spark, sf):
+    """q_sel_descendant over rows of elements: a page is never one array value after the parse."""
+    pages = stage(_all_listing_elements(spark, sf), "elements")
+    rows = page_elements(pages, ["item"])
+    title = F.array_contains("classes", "x-item-title__mainTitle") & (F.col("tag") == "h1")
+    spans = nearest_above(rows, ["item"], title).where("tag = 'span' and above is not null")
+    first = spans.groupBy("item").agg(F.min(F.struct("eid", "t_start", "t_end")).alias("_el"))
+    return (pages.select("item", "texts").join(first, "item", "left")
+            .select("item", S.text(F.col("texts"), F.col("_el")).alias("text")))
+
+
 @query
 def q_sel_child(spark, sf):
     els = F.col("els")
@@ -656,11 +692,11 @@ def q_link_products(spark, sf):
 
 # --- order-dependent operators ---------------------------------------------
 
-def _placed(spark, sf):
+def _placed(spark, sf, per_term=None):
     """Distinct links of each term with their position in it."""
     links = stage(keep_first(_links(spark, sf).drop("captured_at"), ["market", "search_term", "url"],
                              ["page_num", "pos"]), "links")
-    return positioned(links, TERM, "page_num", ["pos"])
+    return ranked(links, TERM, ["page_num", "pos"], per_group=per_term)
 
 
 def _caps(spark, sf):
@@ -682,7 +718,7 @@ def q_dedup_first(spark, sf):
 
 @query
 def q_cap_per_term(spark, sf):
-    capped = spread_join(_placed(spark, sf), _caps(spark, sf), TERM, F.col("seq"))
+    capped = _placed(spark, sf, _caps(spark, sf))
     return capped.where(within_cap(F.col("seq"), F.col("max_items"))).select(
         *TERM, "page_num", "pos", "item_id", "seq")
 
@@ -694,7 +730,7 @@ def q_chunks(spark, sf):
 
 @query
 def q_progress(spark, sf):
-    capped = spread_join(_placed(spark, sf), _caps(spark, sf), TERM, F.col("seq"))
+    capped = _placed(spark, sf, _caps(spark, sf))
     return capped.select(*TERM, "item_id", progress(F.col("seq"), F.col("max_items")).alias("progress"))
 
 
@@ -776,6 +812,16 @@ def q_store_totals(spark, sf):
     return store_totals(_key_rows(spark, sf), ["market"])
 
 
+@query
+def q_store_totals_merge(spark, sf):
+    """q_store_totals after three batches, without a scan of what is stored."""
+    rows, path = stage(_key_rows(spark, sf), "rows"), work_dir(spark, "totals") + "/parts"
+    item = F.substring_index("url", "/", -1).cast("bigint")
+    for i in (0, 1, 2, 1):  # one batch comes twice
+        add_batch(rows.where(F.col("okey") % 3 == i), path, i, ["market"], item)
+    return running_totals(spark, path, ["market"])
+
+
 # --- streams ---------------------------------------------------------------
 
 SLICES = 3
@@ -912,6 +958,47 @@ def q_stream_links(spark, sf):
     return spark.read.schema(joined.schema).parquet(out + "/rows").select(*TERM, "item_id", "url", "title", "current_price", "missing")
 
 
+def _run_keyed(spark, stream, out):
+    """One start of a stream that keeps keyed state, until it has read all there is."""
+    with keyed_state(spark):
+        started = (stream.writeStream.format("parquet").option("path", out + "/rows")
+                   .option("checkpointLocation", out + "/checkpoint").trigger(availableNow=True).start())
+    started.awaitTermination()
+
+
+@query
+def q_stream_page_reach(spark, sf):
+    """q_page_reach from search pages that arrive last page first, in several starts; a much later page lets the terms close."""
+    path, out = work_dir(spark, "captures") + "/in", work_dir(spark, "paging")
+    facts = stage(_facts(spark, sf).drop("hrefs"), "facts")
+    holes = facts.where(~((F.col("page_num") == 7) & F.col("market").isin("AU", "US")))
+    later = facts.limit(1).withColumns({"market": F.lit("later"), "page_num": F.lit(0).cast(facts.schema["page_num"].dataType) + 1,
+                                        "captured_at": F.col("captured_at") + F.expr("interval 20000 days")})
+    slices = [holes.where(F.col("page_num") % SLICES == i) for i in (2, 0, 1)]
+    for rows in [*slices, later]:
+        rows.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(facts.schema).parquet(path)
+        _run_keyed(spark, reached_stream(stream, silence=86400, delay="10000 days"), out)
+    done = spark.read.parquet(out + "/rows").where("market <> 'later'")
+    closed = done.where("ended is not null").select(*TERM, F.col("page_num").alias("last_page"))
+    return (done.where("ended is null").join(closed, TERM).where(F.col("page_num") <= F.col("last_page"))
+            .select(*TERM, "page_num", "n_links", "has_next"))
+
+
+@query
+def q_stream_outcome(spark, sf):
+    """q_capture_outcome from attempts that arrive out of order; each page gives its row when no attempt came for a day."""
+    path, out = work_dir(spark, "attempts") + "/in", work_dir(spark, "outcomes")
+    log = stage(_attempts(spark, sf).select("user_id", "attempt", "attempt_class", "error", F.col("ts").cast("timestamp").alias("captured_at")), "log")
+    later = log.limit(1).withColumns({"user_id": F.lit(-1).cast(log.schema["user_id"].dataType),
+                                      "captured_at": F.col("captured_at") + F.expr("interval 20000 days")})
+    for rows in [log.where("attempt % 2 = 0"), log.where("attempt % 2 = 1"), later]:
+        rows.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(log.schema).parquet(path)
+        _run_keyed(spark, outcome_stream(stream, "user_id", silence=86400, delay="10000 days"), out)
+    return spark.read.parquet(out + "/rows").where("user_id <> -1")
+
+
 @query
 def q_stream_reset(spark, sf):
     """Two runs over the same captures: each starts with nothing seen."""
