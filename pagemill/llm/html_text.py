@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pagemill.llm.common import bound_batches, list_array, stage
 
-#: Words that a repeated substring has at least; a shorter block is compared whole.
+#: Words that a repeated substring has at least; a shorter block is compared whole, and counts with its neighbours only.
 LONG = 6
 #: A block counts as repeated if this share of its words is covered.
 COVERED = 0.5
@@ -32,7 +32,7 @@ COVERED = 0.5
 SHORT_SHARE = 0.1
 
 # Names in markup.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title", "select")
+RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "object", "title", "select")
 ZONES = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head"}
 ROOTS = {"article", "main"}
 BLOCKS = {"p", "div", "article", "main", "section", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table",
@@ -51,8 +51,9 @@ BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.I | re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+    # A quote opens a value only behind an equals sign, and only if it is closed.
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(?:>|\Z)", re.I | re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 #: Zones of blocks: outside the article, inside it, declared to be no main text (outside it too).
@@ -101,7 +102,7 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
         nonlocal certain
         for parts, zone in ((kept, INSIDE if roots else OPEN), (noise, DECLARED)):
             if parts:
-                text = " ".join(entities.unescape("".join(parts)).split())
+                text = " ".join("".join(parts).split())
                 if text:
                     out.append((text, zone, tuple(why) if zone == DECLARED and not certain else ()))
                 parts.clear()
@@ -110,6 +111,8 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
 
     def add(text: str) -> None:
         nonlocal certain
+        if "&" in text:  # decoded piece by piece: a reference does not go on behind a tag
+            text = entities.unescape(text)
         if banned or named:
             noise.append(text)
             if text.strip():
@@ -292,6 +295,20 @@ def repeated_runs(outside: DataFrame, long: int = LONG) -> DataFrame:
     return whole.unionByName(partly)
 
 
+def in_long_stretches(found: DataFrame, long: int = LONG) -> DataFrame:
+    """Rows of ``found`` (page, place, zone, block, size, runs) without short blocks that stand alone.
+
+    A block of fewer than ``long`` words is no long substring by itself: it counts only where it and the blocks right beside
+    it on its page, each repeated, hold ``long`` repeated words together.  Repeated rows of a page are one.
+    """
+    found = found.groupBy("page", "place", "block").agg(*[F.first(c).alias(c) for c in ("zone", "size", "runs")])
+    order = Window.partitionBy("page").orderBy("place")
+    stretch = Window.partitionBy("page", "_stretch")
+    return (found.withColumn("_stretch", F.col("place") - F.dense_rank().over(order))
+            .withColumn("_words", F.sum(_covered()).over(stretch))
+            .where((F.col("size") >= long) | (F.col("_words") >= long)).drop("_stretch", "_words"))
+
+
 def _covered() -> Column:
     return F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"])
 
@@ -314,6 +331,7 @@ def extract_text(pages: DataFrame, long: int = LONG, share: float = COVERED) ->
     """page_id, url, text, n_repeated: the blocks of each page without what the host repeats, joined by line feeds, and how
     many blocks outside articles are repeated for ``share`` of their words or more.
 
+    A block of fewer than ``long`` words, such as a heading, goes only in a row of repeated blocks that hold as many together.
     Null and empty pages give the empty text.  Repeated rows each give their row; two rows with one page_id and
     url are one page, and so are copies of a page on its host, so their text is not repeated across pages.  Extra columns are
     left out.
@@ -331,7 +349,7 @@ def extract_text(pages: DataFrame, long: int = LONG, share: float = COVERED) ->
         F.explode("stream.blocks").alias("b")).select(
         "host", "page", "copy", "b.place", "b.zone", F.xxhash64("host", "b.text").alias("block"), "b.text"), "html-outside")
     runs = repeated_runs(outside.select("host", F.col("copy").alias("page"), "block", "text"), long)
-    gone = (outside.select("page", "place", "zone", "block").join(runs, "block")
+    gone = (in_long_stretches(outside.select("page", "place", "zone", "block").join(runs, "block"), long)
             .groupBy("page").agg(F.collect_set(F.when(F.col("zone") == OPEN, F.struct("place", "runs"))).alias("gone"),
                                  F.count_distinct(F.when(_covered() >= share * F.col("size"), F.col("place"))).alias("n_repeated")))
     # The check after it: what markup declares to be no main text goes too where the host says it once.

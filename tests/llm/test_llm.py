@@ -127,6 +127,52 @@ def test_html_names_do_not_take_articles(page):
     assert html_text.page_blocks(page) == [("story", html_text.INSIDE)]
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p title=it's>hello</p>", "hello"), ('<a href="x>link</a>', "link"), ("<p title=it's>a</p><p title=it's>a</p>", "a"),
+    ("<p title='a > b'>hello</p>", "hello"), ("a &<b>amp;</b> c", "a &amp; c"), ("<p>a &amp;amp; b&nbsp;&#x2F;</p>", "a &amp; b /"),
+    ("<article>x <svg width=1><title>t</title><text>label</text></svg> <math><mi>y</mi></math></article>", "x label y")])
+def test_html_broken_markup(page, text):
+    assert {t for t, _ in html_text.page_blocks(page)} == {text}
+
+
+def test_html_short_blocks_go_with_neighbours_only(spark):
+    """Whole texts against brute force: a block goes where a stretch of repeated ones around it holds six words."""
+    rng = random.Random(11)
+    short = ["Summary", "Yes.", "Read on", "About us", "Back to the top"]
+    long = ["this host repeats the same long line", "all rights are reserved by this host"]
+    pages = {}
+    for page in range(30):
+        pages[page] = [rng.choice(short) if rng.random() < 0.5 else rng.choice(long) if rng.random() < 0.3 else prose(1000 + page * 20 + k, 12)
+                       for k in range(rng.randrange(4, 12))] + [prose(3000 + page, 12)]
+    owners = {}
+    for page, blocks in pages.items():
+        for b in blocks:
+            owners.setdefault(b, set()).add(page)
+    want = {}
+    for page, blocks in pages.items():
+        left, again = [], [len(owners[b]) > 1 for b in blocks]
+        for k, b in enumerate(blocks):
+            i, j = k, k
+            while i >= 0 and again[i]:
+                i -= 1
+            while j < len(blocks) and again[j]:
+                j += 1
+            if not again[k] or len(b.split()) < 6 and sum(len(x.split()) for x in blocks[i + 1:j]) < 6:
+                left.append(b)
+        want[page] = "\n".join(left)
+    rows = [(p, f"http://h.example/{p}", "".join(f"<p>{b}</p>" for b in blocks)) for p, blocks in pages.items()]
+    df = spark.createDataFrame(rows + rows[:2], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    assert got == want and any("Summary" in t for t in got.values())
+
+
+def test_html_empty_table_and_clashing_names(spark):
+    schema = "page_id bigint, url string, html string, blocks string, gone string, page string, host string"
+    assert html_text.page_texts(spark.createDataFrame([], schema)).count() == 0
+    one = html_text.page_texts(spark.createDataFrame([(1, None, "<article>" + "word " * 60000 + "</article>", "a", "b", "c", "d")], schema)).first()
+    assert one.n_chars == 5 * 60000 - 1 and one.n_repeated == 0
+
+
 def test_html_names_declare():
     for mark in ("hidden", "HIDDEN=''", "aria-hidden=true", "style='display: none'", "class='x ad'", "id=comments", "role=navigation"):
         assert html_text.page_blocks(f"<div {mark}>gone</div><p>stays</p>") == [("gone", html_text.DECLARED), ("stays", html_text.OPEN)], mark
