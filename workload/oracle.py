@@ -232,6 +232,8 @@ ORACLE: dict[str, str] = {
                  count(*) OVER (PARTITION BY market, search_term) AS total FROM done)) GROUP BY market, search_term, part"""),
     "q_store_read": _listing(
         f"SELECT market, replace(search_term, ' ', '_') AS term_slug, url, {FIELDS} FROM done"),
+    "q_envelope_source": _listing(
+        f"SELECT market, replace(search_term, ' ', '_') AS term_slug, url, {FIELDS} FROM done"),
     "q_validate": _search(
         f"""SELECT 'US' AS market, 'product' AS page_type, 'page ' || page_id AS url, {_RAW_VERDICT} AS verdict,
                    false AS is_valid, {_RAW_VERDICT} IN ('Error page: Robot Check', 'Error page: Security Measure') AS blocked FROM pages

@@ -30,6 +30,7 @@ from pagemill.plans.rules import unknown_markets
 from pagemill.schemas import CAPTURE
 from pagemill.session import work_dir
 from pagemill.sources.captures import fetched, read_captures, stream_captures
+from pagemill.sources.envelope_source import document_rows, read_terms, replace_terms
 from pagemill.sources.store_io import read_envelopes, stored_products, write_envelopes
 from pagemill.sources.terms import search_requests, search_terms
 from pagemill.streaming import flow
@@ -253,6 +254,23 @@ def q_store_read(spark, sf):
     return _flat_store_info(stored_products(read, ["market", "term_slug"]))
 
 
+@query
+def q_envelope_source(spark, sf):
+    """Envelopes through the data source: written, some markets' terms replaced in fewer parts, broken and empty ones, read in splits."""
+    path = work_dir(spark, "envelope-source")
+    done = stage(_complete(spark, sf), "products")
+    asked, at = F.lit(None).cast("int"), F.col("captured_at")
+    first = stage(document_rows(envelopes(done, asked, at, part_size=40)), "documents")
+    odd = first.select("market").distinct()
+    replace_terms(first.unionByName(odd.select("market", F.lit("broken").alias("term_slug"), F.lit(0).cast("bigint").alias("part"),
+                                               F.lit('{"products": [{"url": "x"').alias("value")))
+                  .unionByName(odd.select("market", F.lit("empty").alias("term_slug"), F.lit(0).cast("bigint").alias("part"),
+                                          F.lit("").alias("value"))), path)
+    again = done.where(F.col("market").isin("US", "FR", "NL"))
+    replace_terms(stage(document_rows(envelopes(again, asked, at)), "documents"), path)
+    return _flat_store_info(stored_products(read_terms(spark, path, splitBytes=1 << 20), ["market", "term_slug"]))
+
+
 # --- checks ----------------------------------------------------------------
 
 @query
