@@ -479,6 +479,24 @@ def test_jaccard_empty(spark, docs):
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a bigint, b bigint")
     assert {r.node: r.component for r in graph.components(chain).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+    assert graph.components(chain.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, 1), (None, 2), (5, 4), (4, 5), (5, 4)], "x bigint, y bigint")
+    assert {r.node: r.component for r in graph.components(odd).collect()} == {4: 4, 5: 4}
+
+
+def test_components_of_random_graphs(spark):
+    for seed in range(2):
+        rng = random.Random(seed)
+        pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+        root = list(range(60))
+        for _ in root:
+            for x, y in pairs:
+                root[x] = root[y] = min(root[x], root[y])
+        ends = {x for p in pairs if p[0] != p[1] for x in p}
+        got = graph.components(spark.createDataFrame(pairs, "x bigint, y bigint")).collect()
+        assert {r.node: r.component for r in got} == {x: root[x] for x in ends}
+        assert len(got) == len(ends)
+
 
 
 def test_pipeline(spark):
