@@ -14,26 +14,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.session import work_dir
-
-#: Bytes of one Arrow batch where the session sets none.
-BATCH_BYTES = 4 << 20
-
+from pagemill.session import bound_batches, work_dir  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches in bytes, so that many long texts never meet in one batch."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    value = str(spark.conf.get(key)).strip().lower().removesuffix("b")
-    if value[-1:] in "kmg":
-        value = str(int(value[:-1]) << {"k": 10, "m": 20, "g": 30}[value[-1]])
-    if not value.isdigit() or not 0 < int(value) <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table in the shared folder: cuts lineage, survives lost executors."""
     path = work_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex[:6]}")

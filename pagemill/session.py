@@ -18,7 +18,7 @@ def build_session(app: str = "pagemill", master: str | None = None, **conf) -> S
         # Pages are wide rows that grow when parsed; keep read splits moderate.
         "spark.sql.files.maxPartitionBytes": "64m",
         # A batch of whole pages goes to a Python worker; keep it small.
-        "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
         # Whole-store rewrites are never wanted; only touched partitions are replaced.
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         **conf,
@@ -31,6 +31,20 @@ def build_session(app: str = "pagemill", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
+#: Bytes of one Arrow batch where the session sets none, or a larger number.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in bytes, so that many long texts never meet in one batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    value = str(spark.conf.get(key)).strip().lower().removesuffix("b")
+    if value[-1:] in "kmg":
+        value = str(int(value[:-1]) << {"k": 10, "m": 20, "g": 30}[value[-1]])
+    if not value.isdigit() or not 0 < int(value) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables and stream checkpoints.
 

@@ -1,8 +1,11 @@
 """Element building on well-formed and broken markup."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions import markup
 from pagemill.functions import select as S
 from pagemill.functions.markup import attribute, with_elements
 
@@ -62,3 +65,32 @@ def test_attributes(spark):
     a = with_elements(df).select(F.col("els")[1]["attrs"].alias("t"))
     row = a.select(*[attribute(F.col("t"), n).alias(n) for n in ("href", "type", "disabled", "rel")]).first()
     assert tuple(row) == ("/q?a=1&b=2", "next", "", None)
+
+
+def test_a_batch_of_pages_is_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        page = "<p>" + "x" * 1000 + "</p>"
+        with_elements(spark.range(10).select(F.lit(page).alias("html"))).count()
+        assert int(spark.conf.get(key)) <= 4 << 20
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_tag_is_read_once_a_batch():
+    out, patterns = markup.Columns(), (
+        re.compile(markup.TOKEN_PATTERN, re.I | re.S), re.compile(markup.PLAIN_TAG_PATTERN, re.I | re.S),
+        re.compile(markup.ATTRIBUTE_PATTERN), re.compile(markup.REFERENCE_PATTERN), re.compile(markup.SETTLED_PATTERN))
+    for _ in range(50):
+        markup.read_page('<ul><li class="a">x</li><li class="a">y</li></ul>', *patterns, out)
+    assert len(out.kind) == 200 and out.tags == ["", "ul", "li"] and out.classes == [[], [], ["a"]]
+
+
+@pytest.mark.parametrize("page, tags", [
+    ("<p a='<b>'>x</p><i>", ["p", "i"]), ("<p a='<b>x</p><i>", ["b", "i"]), ("<script>'<p>'</script x='>'><p>", ["script"]),
+    ("<!-- <p> --><p><!x <p>", ["p"]), ("<p <b>< b></p", ["b"]), ("<STYLE a><p></Style ><style-x><p>", ["style", "style"])])
+def test_cuts_inside_a_token(spark, page, tags):
+    els = with_elements(spark.createDataFrame([(page,)], "html string")).first().els
+    assert [e.tag for e in els[1:]] == tags
