@@ -6,6 +6,7 @@ Both hold a few numbers per key in the stream's own state and close a key by an
 
 from __future__ import annotations
 
+import json
 import sys
 
 import pandas as pd
@@ -50,32 +51,60 @@ class _Silence:
         self.due.update((due,))
 
 
+# Pages beyond a hole that share one value of the state, and rows of a frame that goes out.
+BLOCK, FRAME = 256, 10_000
+
+
 class PageRun(StatefulProcessor):
-    """State of one term: the last page of the run that starts at page 1, whether paging ended there, and the pages beyond a hole."""
+    """State of one term: the last page of the run that starts at page 1, whether paging ended there, and the pages beyond a hole.
+
+    Those pages are kept in blocks of neighbours, each read and written at most once a batch; pages that continue the run at
+    once are never written.
+    """
 
     def __init__(self, silence_ms: int):
         self.silence_ms = silence_ms
 
     def init(self, handle) -> None:
         self.run = handle.getValueState("run", "last int, ended boolean")
-        self.waiting = handle.getMapState("waiting", "page_num int", "more boolean, payload string")
+        self.waiting = handle.getMapState("blocks", "block int", "pages int, rows string")
         self.silence = _Silence(handle, self.silence_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         last, ended = self.run.get() if self.run.exists() else (0, False)
-        out, newest = [], None
+        out, newest, fresh = [], None, {}
         for part in rows:
-            for page, more, payload, at in part[["page_num", "more", "payload", "at"]].itertuples(index=False, name=None):
-                newest = int(at) if newest is None else max(newest, int(at))
-                if pd.isna(page) or page <= last or ended or self.waiting.containsKey((int(page),)):
-                    continue  # a repeat, or behind the end
-                self.waiting.updateValue((int(page),), (bool(more), payload))
-        while not ended and self.waiting.containsKey((last + 1,)):
-            last += 1
-            more, payload = self.waiting.getValue((last,))
-            self.waiting.removeKey((last,))
-            out.append((*key, last, payload, None, None))
-            ended = not more
+            latest = int(part["at"].max())
+            newest = latest if newest is None else max(newest, latest)
+            if ended:
+                continue
+            part = part[part["page_num"] > last]  # others are repeats, or have no number
+            for page, more, payload in zip(part["page_num"].tolist(), part["more"].tolist(), part["payload"].tolist()):
+                page = int(page)
+                fresh.setdefault(page // BLOCK, {}).setdefault(page, (bool(more), payload))
+        ahead = sorted(fresh, reverse=True)
+        while ahead and not ended:
+            block = ahead.pop()
+            stored = self.waiting.containsKey((block,))
+            pages = fresh.pop(block, {})
+            if stored:
+                pages.update((page, (more, payload)) for page, more, payload in json.loads(self.waiting.getValue((block,))[1]))
+            while not ended and last + 1 in pages:
+                last += 1
+                more, payload = pages.pop(last)
+                out.append((*key, last, payload, None, None))
+                ended = not more
+            if pages:
+                rows_ = json.dumps([(page, *row) for page, row in pages.items()], ensure_ascii=False)
+                self.waiting.updateValue((block,), (len(pages), rows_))
+            elif stored:
+                self.waiting.removeKey((block,))
+            # the run went on to a block of which nothing came now
+            if (last + 1) // BLOCK == block + 1 and block + 1 not in fresh and self.waiting.containsKey((block + 1,)):
+                ahead.append(block + 1)
+            if len(out) >= FRAME:
+                yield _frame(out, REACHED)
+                out = []
         if ended:
             self.waiting.clear()
         self.run.update((last, ended))
@@ -85,7 +114,7 @@ class PageRun(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         last, ended = self.run.get()
-        waiting = sum(1 for _ in self.waiting.keys())
+        waiting = sum(pages for pages, _ in self.waiting.values())
         how = "last page" if ended else "hole" if waiting else "silent"
         for state in (self.run, self.waiting, self.silence.due):
             state.clear()

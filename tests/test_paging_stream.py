@@ -53,3 +53,24 @@ def test_outcomes_come_once_the_page_is_silent(spark, tmp_path):
     assert {r.page: tuple(r)[1:] for r in got} == {
         "ok": (2, 2, "success", 2, "e1"), "bad": (2, 1, "failed", None, "f"), "worn": (4, 3, "exhausted", None, "e3"),
         "open": (1, 1, "pending", None, None), "late": (1, 3, "exhausted", None, None), None: (1, 1, "success", 1, None)}
+
+
+def test_waiting_pages_share_values_of_the_state(spark, tmp_path):
+    page = lambda n, text: ("US", "t", n, at(0), 3, n < 1100, text)
+    odd = [page(n, f"\u00e9{n}") for n in range(3, 1103, 2)]
+    even = [page(n, f"\u00e9{n}") for n in range(2, 1103, 2)]
+    again = [page(n, "repeat") for n in range(2, 1103)]
+    out, states = str(tmp_path / "out"), []
+
+    def run(stream):
+        with keyed_state(spark):
+            query = (reached_stream(stream, silence=86400, delay="2 days").writeStream.format("parquet").option("path", out)
+                     .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        states.extend(p.stateOperators[0].numRowsTotal for p in query.recentProgress[:1] if p.stateOperators)
+        return query
+
+    stream_of(spark, str(tmp_path / "in"), FACTS, [odd, even, again, [page(1, "\u00e91")]], run)
+    got = [(r.page_num, r._row) for r in spark.read.parquet(out).where("ended is null").orderBy("page_num").collect()]
+    assert got == [(n, f"\u00e9{n}") for n in range(1, 1101)]  # page 1100 has no next one
+    assert max(states) < 50  # 1,101 pages waited
