@@ -61,11 +61,14 @@ def page_facts(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def search_links(facts: DataFrame) -> DataFrame:
-    """One row per listing link with its 0-based place on the page."""
+    """One row per listing link with its 0-based place on the page.
+
+    An inner explode would test the links' array in filters of its own, each of which finds the links again.
+    """
     item = U.item_id(F.col("href"))
     return (facts.select(*PAGE_KEY, "base_url", "captured_at",
-                         F.posexplode("hrefs").alias("pos", "href"))
-            .select(*PAGE_KEY, "pos", "captured_at", item.alias("item_id"),
+                         F.posexplode_outer("hrefs").alias("pos", "href"))
+            .where("pos is not null").select(*PAGE_KEY, "pos", "captured_at", item.alias("item_id"),
                     U.listing_url(F.col("base_url"), item).alias("url")))
 
 

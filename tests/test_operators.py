@@ -301,3 +301,17 @@ def test_a_second_run_adds_nothing_and_names_failed_pages(spark):
     lost = second.rejects.where("page_type = 'search'")
     assert lost.count() == captures.where("page_type = 'search' and market = 'GB'").count()
     assert {r.outcome for r in lost.select("outcome").distinct().collect()} == {"pending"}
+
+
+def test_links_are_found_once(spark):
+    """An inner explode puts its array into filters below it, each of which finds the links again."""
+    from workload import queries as Q
+    plan = Q._links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+
+
+def test_ordered_links_sort_a_written_table(spark):
+    """A range sort reads its input twice."""
+    from workload import queries as Q
+    plan = Q.q_ordered_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" in plan and "parse_page" not in plan

@@ -663,7 +663,8 @@ def q_search_links(spark, sf):
 
 @query
 def q_ordered_links(spark, sf):
-    links = _links(spark, sf)
+    # a range sort reads its input twice, so pages are not read in it
+    links = stage(_links(spark, sf).select("market", "search_term", "page_num", "pos", "item_id"), "links")
     return links.orderBy("market", "search_term", "page_num", "pos").select(
         "market", "search_term", "page_num", "pos", "item_id")
 
