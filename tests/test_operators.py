@@ -315,3 +315,10 @@ def test_ordered_links_sort_a_written_table(spark):
     from workload import queries as Q
     plan = Q.q_ordered_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort" in plan and "parse_page" not in plan
+
+
+def test_tree_join_sorts_titles_and_spans_only(spark):
+    from workload import queries as Q
+    plan = Q.q_tree_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Generate inline")[0]
+    assert "Window" in above and "span" in above and "attrs" not in above

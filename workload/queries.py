@@ -359,9 +359,11 @@ def q_sel_descendant(spark, sf):
 def q_tree_join(spark, sf):
     """q_sel_descendant over rows of elements: a page is never one array value after the parse."""
     pages = stage(_all_listing_elements(spark, sf), "elements")
-    rows = page_elements(pages, ["item"])
     title = F.array_contains("classes", "x-item-title__mainTitle") & (F.col("tag") == "h1")
-    spans = nearest_above(rows, ["item"], title).where("tag = 'span' and above is not null")
+    # what is neither a title nor a span is no answer and does not ask
+    rows = (page_elements(pages.select("item", "els"), ["item"]).select("item", "eid", "last", "t_start", "t_end", "tag", title.alias("title"))
+            .where("tag = 'span' or title"))
+    spans = nearest_above(rows, ["item"], F.col("title")).where("tag = 'span' and above is not null")
     first = spans.groupBy("item").agg(F.min(F.struct("eid", "t_start", "t_end")).alias("_el"))
     return (pages.select("item", "texts").join(first, "item", "left")
             .select("item", S.text(F.col("texts"), F.col("_el")).alias("text")))
