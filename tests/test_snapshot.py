@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from pagemill.functions.markup import attribute, with_elements
 from pagemill.functions.select import first_where, is_tag
 from pagemill.operators.snapshot import latest_version, manifest, open_snapshot, read_snapshot, sync_snapshot
+from pagemill.plans import pipeline
 from pagemill.plans.pipeline import run, save_run
 from pagemill.schemas import CAPTURE, PRODUCT
 from workload import render as R
-from workload.queries import _all_captures, _caps
+from workload.queries import QUERIES, _all_captures, _caps
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,6 +70,23 @@ def test_every_capture_has_one_fate(spark, tmp_path):
     assert again.account.where("fate = 'already stored'").count() > 0 and again.account.count() == captures.count()
 
 
+def test_runs_over_the_same_captures_share_what_was_parsed(spark, monkeypatch):
+    captures = R.listing_captures(spark, SF).select(*CAPTURE.names).unionByName(R.search_captures(spark, SF).select(*CAPTURE.names))
+    terms, rules = _caps(spark, SF), R.rules(spark)
+    read, checked_pages = [], pipeline.checked_pages
+    monkeypatch.setattr(pipeline, "checked_pages", lambda *a: read.append(a[2]) or checked_pages(*a))
+    parsed = pipeline.parse_captures(captures, rules)
+    had = parsed.products.where("is_valid and title like '%1 & more%'").select("market", "search_term", "url")
+    shared, own = run(captures, terms, rules, "market", had, parsed), run(captures, terms, rules, "market", had)
+    assert read == ["search", "product"] * 2
+    for part in ("pages", "stored", "rejects", "summary", "account"):
+        a, b = (sorted(map(repr, getattr(r, part).collect())) for r in (shared, own))
+        assert a == b and (a or part == "rejects")
+    parsed.unstage()
+    read.clear()
+    assert QUERIES["q_run_saved_twice"](spark, SF).count() > 0 and read == ["search", "product"]
+
+
 @pytest.mark.parametrize("value, want", [
     ("a&#x2F;b&eacute;&nbsp;c&#47;itm/1", "a/bé\xa0c/itm/1"), ("?a=1&amp;copy=2&copy=3", "?a=1&copy=2&copy=3"),
     ("&amp;quot;&quot;&#39;&lt;", "&quot;\"'<"), ("&unknown;&#65&", "&unknown;A&")])
