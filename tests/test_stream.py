@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from pagemill.operators.store import keep_first, same_rows
+from pagemill.schemas import CAPTURE
 from pagemill.streaming import flow
 from pagemill.streaming.links import linked_products
 from pagemill.streaming.state import PROVIDER, capped_stream, keyed_state
@@ -55,6 +56,21 @@ def test_a_failing_batch_has_its_own_folder(spark, tmp_path):
     assert spark.read.parquet(aside).count() == products.count()
 
 
+def test_pages_of_one_file_go_to_many_tasks(spark, tmp_path):
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in CAPTURE.fields}
+    held = {"market": F.lit("US"), "page_type": F.lit("product"), "status": F.lit(404),
+            "url": F.concat(F.lit("/itm/"), F.col("id").cast("string"))}
+    captures = spark.range(200).select(*[held.get(n, c).alias(n) for n, c in empty.items()])
+    captures.coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = []
+    stream = flow.product_stream(spark.readStream.schema(CAPTURE).parquet(str(tmp_path / "in")), R.rules(spark), rejects=True)
+    (stream.writeStream.foreachBatch(lambda batch, _: rows.extend(batch.select("url", "reason", F.spark_partition_id()).collect()))
+     .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination())
+    assert sorted(r[0] for r in rows) == sorted(f"/itm/{i}" for i in range(200))
+    assert {r[1] for r in rows} == {"status 404"}
+    assert len({r[2] for r in rows}) > 1
+
+
 def test_old_keys_leave_the_state(spark, tmp_path):
     source = str(tmp_path / "in")
     schema = "url string, captured_at timestamp"
