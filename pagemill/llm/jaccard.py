@@ -5,10 +5,14 @@
    threshold asks for has no partner.  Only the others go on.
 3. Their sets are cut into so many ranges of hash values that two sets within the threshold must agree in a whole range
    (a pair differs in at most ``min(n) * (1 - t) / t`` elements, and there are more ranges than that).  Each range's
-   content is one signature.  Nodes that share one are in one cluster; pairs across clusters cannot be linked.
+   content is one signature.  There are spare ranges, so linked sets agree in several of them, and each set leaves out
+   as many of its most frequent signatures: a pair that agrees in c of them still shares the rarest of these c while
+   each side leaves out fewer than c.  So a passage that many texts hold does not make them all one cluster.
+   Nodes that share one of the others are in one cluster; pairs across clusters cannot be linked.
 4. Inside a cluster, cut into blocks of bounded size, trees over the nodes hold OR-combined bitmaps and size
    ranges.  A dual traversal of two trees drops pairs of tree nodes by the largest overlap they leave possible;
-   what stays is counted exactly.
+   what stays is counted exactly.  Pairs of blocks are dealt out in so many rounds that the copies of texts that
+   one round shuffles stay a fixed multiple of the texts.
 5. Links make components.  A task emits at most one link per node it holds, enough to connect what it found.
 
 The classes of sizes grow by the threshold, so linked sets are in one class or in neighbours; a set has signatures
@@ -17,9 +21,11 @@ for its own class and for the one below.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import Shared, bound_batches, drop_staged, list_array, mix64, release, stage, text_of, trimmed, word_hashes
@@ -36,8 +42,11 @@ LEAF, BITS = 16, 4096
 COLUMNS = 1 << 12
 #: Bits of the filter that spares texts without a candidate the shuffle.
 FILTER_BITS = 1 << 26
-#: Ranges beyond the largest number of differing elements, as a share of it; they allow empty ranges to be left out.
-SLACK = 0.12
+#: Ranges beyond the largest number of differing elements, as a share of it, and at least so many; for each, an empty
+#: range or a frequent signature can be left out.
+SLACK, SPARE = 0.25, 2
+#: Copies of a text in one round of block pairs, on average.
+COPIES = 8
 #: Shingles and documents packed together for counting.
 PACKED, PACKED_DOCS = 1 << 20, 1 << 15
 #: Bytes of text hashed at a time.
@@ -101,15 +110,18 @@ def size_class(n: int, threshold: int = THRESHOLD) -> tuple[int, int, int, int]:
 _CLASSES: dict[tuple[int, int], tuple[int, int, int, int]] = {}
 
 
-def signatures(s: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
-    """Hashes of the set's ranges, for its own class of sizes and the one below; none where only equal sets link."""
+def signatures(s: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int, np.ndarray]]:
+    """(class, spare, hashes of the set's ranges) for its own class of sizes and the one below; none where only equal sets link.
+
+    Linked sets still share a hash of one class if each leaves out ``spare`` of its own, the last in one order of all hashes.
+    """
     n = len(s)
     found = _CLASSES.get((n, threshold))
     if found is None:
         found = _CLASSES[(n, threshold)] = size_class(n, threshold)
     own, last, below, before = found
     if not n or last * (100 - threshold) // threshold == 0:
-        return np.zeros(0, np.uint64)
+        return []
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
         out = []
@@ -117,14 +129,15 @@ def signatures(s: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
             differ = size * (100 - threshold) // threshold
             if k < 0 or not differ:
                 continue
-            parts = differ + 1 + int(differ * SLACK)
+            parts = differ + 1 + max(SPARE, int(differ * SLACK))
             edges = (np.arange(1, parts, dtype=np.float64) * (2.0 ** 64 / parts)).astype(np.uint64)
             at = np.concatenate([[0], np.searchsorted(s, edges), [n]])
             names = mix64(total[at[1:]] - total[at[:-1]] + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(k << 32)))
             full = at[1:] > at[:-1]
             # A partner agrees in ``parts - differ`` ranges at least; if fewer are empty, a full one is among them.
-            out.append(names[full] if parts - int(full.sum()) < parts - differ else names)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            spare = parts - differ - 1 - (parts - int(full.sum()))
+            out.append((k, spare, names[full]) if spare >= 0 else (k, 0, names))
+    return out
 
 
 def set_name(s: np.ndarray) -> int:
@@ -265,14 +278,42 @@ def _sign(words: int, threshold: int):
         for batch in batches:
             signed = []
             for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words)):
-                signed.append(np.zeros(0, np.uint64) if node in seen else signatures(s, threshold))
+                signed += [] if node in seen else [(node, *x) for x in signatures(s, threshold)]
                 seen.add(node)
-            values = np.concatenate(signed) if signed else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array([len(x) for x in signed], pa.array(values.view(np.int64)))],
-                                             names=["node", "signatures"])
+            values = np.concatenate([x[3] for x in signed]) if signed else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in signed], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))),
+                                              list_array([len(x[3]) for x in signed], pa.array(values.view(np.int64)))],
+                                             names=["node", "class", "spare", "signatures"])
     return run
 
 
+def _near(texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """node, low: each node of ``texts`` (node, text) with the smallest node of those that it shares a signature with.
+
+    The most frequent signatures of a node are left out, as many as its class spares; any order of all signatures would
+    do, so it does not matter that a node's second row counts again.
+    """
+    signed = stage(texts.select("node", "text").mapInArrow(
+        trimmed(_sign(words, threshold)), "node bigint, class int, spare int, signatures array<bigint>"), "signed")
+    each = signed.select("node", "class", "spare", F.explode("signatures").alias("signature"))
+    often = stage(each.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("times"))
+                  .where("low < high").select("signature", "times"), "shared-signatures")
+    release(texts.sparkSession)
+    frequent_first = Window.partitionBy("node", "class").orderBy(F.desc("times"), F.desc("signature"))
+    kept = stage(each.join(often, "signature").withColumn("place", F.row_number().over(frequent_first))
+                 .where("place > spare").select("node", "signature"), "kept-signatures")
+    for table in (signed, often):
+        drop_staged(table)
+    release(texts.sparkSession)
+    shared = stage(kept.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+                   .select("signature", "low"), "lowest")
+    near = stage(kept.join(shared, "signature").where("node <> low").select("node", "low").distinct(), "near")
+    for table in (kept, shared):
+        drop_staged(table)
+    release(texts.sparkSession)
+    return near
+
+
 class Tree:
     """Bitmaps and size ranges over sets in order of size; level 0 holds leaves."""
 
@@ -454,6 +495,27 @@ def _may_hold(wanted: DataFrame):
     return may_hold
 
 
+def _rounds(wanted: DataFrame) -> int:
+    """In how many rounds pairs of blocks are dealt out: a text goes to as many pairs as its cluster has blocks."""
+    copies, texts = wanted.agg(F.sum("blocks"), F.count(F.lit(1))).first()
+    return max(1, -(-(copies or 0) // (COPIES * max(1, texts))))
+
+
+def _links_of(members: DataFrame, words: int, threshold: int, k: int, rounds: int) -> DataFrame:
+    """a, b: links inside those pairs of blocks of ``members`` (cluster, blocks, own, node, text) whose turn is round ``k``."""
+    spark = members.sparkSession
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if rounds > 1:
+        others = F.filter(others, lambda other: (F.col("own") + other) % rounds == k)
+    paired = members.select("cluster", "own", "node", "text", F.explode(others).alias("other")).select(
+        "cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "text")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = stage(paired.repartition(tasks, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
+                  .mapInArrow(trimmed(_join_blocks(words, threshold)), "a bigint, b bigint"), "links")
+    release(spark)
+    return found
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text).
 
@@ -473,30 +535,23 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: int = THR
     able = stage(able, "able")
     texts = stage(_texts_of(rows.select("row", "text"), able), "texts")
     release(spark)
-    signed = stage(texts.select("node", "text").mapInArrow(trimmed(_sign(words, threshold)), "node bigint, signatures array<bigint>")
-                   .where(F.size("signatures") > 0), "signed").select("node", F.explode("signatures").alias("signature"))
-    shared = stage(signed.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-                   .select("signature", "low"), "shared-signatures")
-    near = stage(signed.join(shared, "signature").where("node <> low").select("node", "low").distinct(), "near")
-    release(spark)
+    near = _near(texts, words, threshold)
     clusters = stage(components(near), "clusters")
     blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     wanted = stage(clusters.join(blocks, "component").select(
         "node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "wanted")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    paired = texts.select("node", "text").join(wanted.hint("merge"), "node").select("cluster", "own", "node", "text", F.explode(others).alias("other")).select(
-        "cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "text")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stage(paired.repartition(tasks, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
-                  .mapInArrow(trimmed(_join_blocks(words, threshold)), "a bigint, b bigint"), "links")
-    release(spark)
-    linked = stage(components(found), "linked")
+    rounds = _rounds(wanted)
+    members = texts.select("node", "text").join(wanted.hint("merge"), "node")
+    if rounds > 1:
+        members = stage(members, "members")
+    found = [_links_of(members, words, threshold, k, rounds) for k in range(rounds)]
+    linked = stage(components(reduce(DataFrame.unionByName, found)), "linked")
     named = base.select("doc_id", "n_shingles", "node").join(linked, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     smallest = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("members"))
     grouped = stage(smallest.where("members > 1").select("component", "smallest"), "groups")
     # What is returned reads the sets, the groups and the links' components.
-    for table in (able, texts, signed, shared, near, clusters, wanted, found):
+    for table in (able, texts, near, clusters, wanted, *found, *([members] if rounds > 1 else [])):
         drop_staged(table)
     return named.join(grouped, "component", "left").select(
         "doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))

@@ -471,6 +471,40 @@ def test_jaccard(spark, docs, n, threshold, block):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want)
 
 
+def test_jaccard_common_passage(spark, monkeypatch):
+    """A passage that all texts hold does not make one cluster of them, whose blocks would all meet."""
+    passage, rng, rows = prose(7, 30), random.Random(7), []
+    for k in range(400):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(60, 140))]
+        rows += [(2 * k, f"{passage} {' '.join(words)}"), (2 * k + 1, f"{passage} {' '.join(words[:-1])}")]
+    sizes, real = [], jaccard.stage
+
+    def stage(df, name):
+        out = real(df, name)
+        if name == "wanted":
+            sizes.extend(r["count"] for r in out.groupBy("cluster").count().collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", stage)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(table, 5, 80).collect())
+    assert got == brute_components(rows, 5, 80)
+    assert len(sizes) > 350 and max(sizes) <= 8
+
+
+def test_jaccard_rounds(spark, monkeypatch):
+    """Blocks of a large cluster meet in rounds: no shuffle holds more than a fixed number of copies of its texts."""
+    words = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(words[:k] + [f"v{k}"] + words[k + 1:])) for k in range(40)]
+    monkeypatch.setattr(jaccard, "COPIES", 3)
+    names, real = [], jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: names.append(name) or real(df, name))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(table, 3, 80, 4).collect())
+    assert got == brute_components(rows, 3, 80)
+    assert names.count("links") == 4  # ten blocks
+
+
 def test_jaccard_empty(spark, docs):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
     assert jaccard.one_of_each(docs).columns == docs.columns
