@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import drop_staged, stage
 
+#: Edges of a task that writes a round's table.
+TASK_EDGES = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each end of an edge can reach.
@@ -15,19 +18,21 @@ def components(edges: DataFrame) -> DataFrame:
     small-star moves hang every node on the smallest it knows, until the edges are stars: no node hangs on two, and none
     hangs on a node that hangs itself.  A longer chain takes more rounds, there is no last one.
     A node with many neighbours is only ever aggregated on the map side first and joined, which skewed joins split.
+    Rounds write as many files as their edges fill, however many partitions a shuffle has.
     """
     a, b = edges.columns
     now = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-now.count() // TASK_EDGES))
     while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written, so that a join can split the rows of a node with many neighbours.
-        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "smallest")
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks), "smallest")
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage(large, "large-star")
+        large = stage(large.coalesce(tasks), "large-star")
         drop_staged(low)
-        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "smallest")
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "smallest")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = stage(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "small-star")
+        after = stage(small.unionByName(low.withColumnRenamed("m", "v")).distinct().coalesce(tasks), "small-star")
         drop_staged(large)
         drop_staged(low)
         drop_staged(now)
